@@ -4,7 +4,7 @@ from importlib import import_module
 
 from aerolattice.catalog.registry import ORACLES, QUERIES
 
-MODULES = ["geometry"]
+MODULES = ["geometry", "planning"]
 
 
 def load_all():

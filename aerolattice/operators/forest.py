@@ -12,30 +12,37 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolattice.runtime import written
+from aerolattice.runtime import pinned
 
 
 def _to_roots(parents: DataFrame) -> DataFrame:
-    """Follow `p` from every `c` until it no longer moves; two doublings per written table."""
+    """Follow `p` from every `c` until it no longer moves; three doublings per written table."""
     while True:
-        jumped = parents
+        before = parents.select("c", "p", F.col("p").alias("was"))
+        jumped = parents.select("c", "p")
         for _ in range(2):
-            ahead = jumped.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-            jumped = jumped.join(ahead, "p", "left").select("c", F.coalesce("pp", "p").alias("p"))
-        before = parents.select("c", F.col("p").alias("was"))
-        moved = written(jumped.join(before, "c").select("c", "p", (F.col("p") != F.col("was")).alias("moved")))
-        parents = moved.select("c", "p")
-        if moved.where("moved").isEmpty():
+            jumped = _jump(jumped, jumped)
+        followed = before.join(jumped.select(F.col("c").alias("p"), F.col("p").alias("pp")), "p", "left")
+        settled = pinned(
+            followed.select("c", F.coalesce("pp", "p").alias("p"), (F.coalesce("pp", "p") != F.col("was")).alias("moved"))
+        )
+        parents = settled.select("c", "p")
+        if settled.where("moved").isEmpty():
             return parents
 
 
+def _jump(pointers: DataFrame, ahead: DataFrame) -> DataFrame:
+    nxt = ahead.select(F.col("c").alias("p"), F.col("p").alias("pp"))
+    return pointers.join(nxt, "p", "left").select("c", F.coalesce("pp", "p").alias("p"))
+
+
 def minimum_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Forest of `edges(u, v, w, cu, cv)` under the total order (w, u, v), and root of each start component.
 
     `u < v` name the edge; `cu`, `cv` are the components its ends start in (the ends themselves, or labels that
     are to be joined further). Returns (forest(u, v, w), roots(c, root)).
     """
-    live = written(edges.where("cu <> cv").select("u", "v", "w", "cu", "cv"))
+    live = pinned(edges.where("cu <> cv").select("u", "v", "w", "cu", "cv"))
     start = live.select(F.explode(F.array("cu", "cv")).alias("c")).distinct()
     forest: list[DataFrame] = []
     hops: list[DataFrame] = []
@@ -44,12 +51,12 @@ def minimum_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         outgoing = live.select(F.col("cu").alias("c"), edge.alias("e"), F.col("cv").alias("o")).unionAll(
             live.select(F.col("cv").alias("c"), edge.alias("e"), F.col("cu").alias("o"))
         )
-        picked = written(outgoing.groupBy("c").agg(F.min(F.struct("e", "o")).alias("m")).select("c", "m.e", "m.o"))
+        picked = pinned(outgoing.groupBy("c").agg(F.min(F.struct("e", "o")).alias("m")).select("c", "m.e", "m.o"))
         forest.append(picked.select("e.u", "e.v", "e.w").distinct())
         back = picked.select(F.col("c").alias("o"), F.col("o").alias("oo"))
         mutual = (F.col("oo") == F.col("c")) & (F.col("c") < F.col("o"))
         parents = picked.select("c", "o").join(back, "o").select("c", F.when(mutual, F.col("c")).otherwise(F.col("o")).alias("p"))
-        roots = _to_roots(written(parents))
+        roots = _to_roots(parents)
         hops.append(roots)
         renamed = (
             live.join(roots.select(F.col("c").alias("cu"), F.col("p").alias("ru")), "cu")
@@ -59,7 +66,7 @@ def minimum_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         thinned = renamed.groupBy(F.least("ru", "rv").alias("cu"), F.greatest("ru", "rv").alias("cv")).agg(
             F.min(edge).alias("e")
         )
-        live = written(thinned.select("e.u", "e.v", "e.w", "cu", "cv"))
+        live = pinned(thinned.select("e.u", "e.v", "e.w", "cu", "cv"))
     final = start.select("c", F.col("c").alias("root"))
     for roots in hops:
         step = roots.select(F.col("c").alias("root"), "p")
@@ -72,7 +79,7 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Label every vertex `v` with the smallest vertex of its component over `edges(u, v)`."""
     ordered = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
     _, roots = minimum_forest(ordered.select("u", "v", F.lit(0).alias("w"), F.col("u").alias("cu"), F.col("v").alias("cv")))
-    rooted = written(roots)
+    rooted = pinned(roots)
     smallest = rooted.groupBy("root").agg(F.min("c").alias("label"))
     labels = rooted.join(smallest, "root").select(F.col("c").alias("v"), "label")
     return vertices.select("v").distinct().join(labels, "v", "left").select("v", F.coalesce("label", "v").alias("label"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolattice.functions import hexmath as hx
-from aerolattice.runtime import written
+from aerolattice.runtime import pinned
 
 
 def betweenness(g1_edges: DataFrame) -> DataFrame:
@@ -19,15 +19,15 @@ def betweenness(g1_edges: DataFrame) -> DataFrame:
     many paths as it has later-numbered descendants in the source's tree. No path is ever listed.
     """
     ends = g1_edges.select(hx.pack(F.col("aq"), F.col("ar")).alias("v"), hx.pack(F.col("bq"), F.col("br")).alias("w"))
-    links = written(ends.unionAll(ends.select(F.col("w").alias("v"), F.col("v").alias("w"))).distinct())
+    links = pinned(ends.unionAll(ends.select(F.col("w").alias("v"), F.col("v").alias("w"))).distinct())
     sources = links.select(F.col("v").alias("s")).distinct()
-    layers = [written(sources.select("s", F.col("s").alias("v"), F.lit(None).cast("bigint").alias("p")))]
+    layers = [pinned(sources.select("s", F.col("s").alias("v"), F.lit(None).cast("bigint").alias("p")))]
     while True:
         nearer = layers[-1].select("s", "v")
         if len(layers) > 1:
             nearer = nearer.unionAll(layers[-2].select("s", "v"))
         grown = layers[-1].select("s", "v").join(links, "v").groupBy("s", F.col("w").alias("v")).agg(F.min("v").alias("p"))
-        layer = written(grown.join(nearer, ["s", "v"], "left_anti"))
+        layer = pinned(grown.join(nearer, ["s", "v"], "left_anti"))
         if layer.isEmpty():
             break
         layers.append(layer)
@@ -39,7 +39,7 @@ def betweenness(g1_edges: DataFrame) -> DataFrame:
             counted = layer.select("s", "p", own.alias("n"))
         else:
             counted = layer.join(below, ["s", "v"], "left").select("s", "p", (own + F.coalesce("n", F.lit(0))).alias("n"))
-        below = written(counted.groupBy("s", F.col("p").alias("v")).agg(F.sum("n").alias("n")))
+        below = pinned(counted.groupBy("s", F.col("p").alias("v")).agg(F.sum("n").alias("n")))
         visits.append(below.where("s <> v").select("v", "n"))
     if not visits:
         visits = [links.select("v", F.lit(0).cast("bigint").alias("n")).limit(0)]

@@ -16,7 +16,7 @@ from aerolattice.operators.graph import forward_literal
 from aerolattice.operators.grid import box_cells
 from aerolattice.operators.ordered import running
 from aerolattice.operators.proximity import near_candidates
-from aerolattice.runtime import written
+from aerolattice.runtime import pinned
 
 MODES = ("knn", "Single-Linkage_HAC", "all_pairs")
 
@@ -53,7 +53,7 @@ def knn_pairs(terminals: DataFrame, k: int) -> DataFrame:
     """
     first = Window.partitionBy("q", "r").orderBy("feature_id")
     members = terminals.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= k)
-    cells = written(
+    cells = pinned(
         members.groupBy("q", "r")
         .agg(F.sort_array(F.collect_list("feature_id")).alias("ids"))
         .select(F.lit(0).alias("zone"), hx.pack(F.col("q"), F.col("r")).alias("id"), F.col("q").alias("u"), F.col("r").alias("v"), F.size("ids").alias("m"), "ids")
@@ -111,7 +111,7 @@ def backbone_candidates(terminals: DataFrame) -> DataFrame:
 
     A minimum spanning tree of all pairs can be chosen among these, and there are at most three per cell.
     """
-    regions = written(nearest_terminal(terminals))
+    regions = pinned(nearest_terminal(terminals))
     ahead = regions.select("seed", F.explode(forward_literal()).alias("d"), "q", "r").select(
         F.col("seed").alias("s"), (F.col("q") + F.col("d.q")).alias("q"), (F.col("r") + F.col("d.r")).alias("r")
     )
@@ -149,7 +149,7 @@ def connected_pairs(terminals: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     key = terminals.select(hx.pack(F.col("q"), F.col("r")).alias("v")).distinct()
     given = pairs.select(hx.pack(F.col("aq"), F.col("ar")).alias("u"), hx.pack(F.col("bq"), F.col("br")).alias("v"))
-    labels = written(components(key, given))
+    labels = pinned(components(key, given))
     tree = backbone_edges(terminals)
     joined = tree.join(labels.select(F.col("v").alias("u"), F.col("label").alias("cu")), "u").join(
         labels.select("v", F.col("label").alias("cv")), "v"

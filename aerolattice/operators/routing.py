@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from aerolattice.functions import hexmath as hx
 from aerolattice.operators.forest import components
 from aerolattice.operators.graph import STEP_WEIGHT, edge_weight, g0_edges
-from aerolattice.runtime import written
+from aerolattice.runtime import pinned
 
 PAIR = ["aq", "ar", "bq", "br"]
 SOURCE = ["aq", "ar"]
@@ -30,7 +30,7 @@ def routable_pairs(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
 def reachable_pairs(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
     """Pairs whose ends lie in one component of the graph."""
     edges = g0_edges(vertices).select(hx.pack(F.col("q"), F.col("r")).alias("u"), hx.pack(F.col("nq"), F.col("nr")).alias("v"))
-    labels = written(components(vertices.select(hx.pack(F.col("q"), F.col("r")).alias("v")), edges))
+    labels = pinned(components(vertices.select(hx.pack(F.col("q"), F.col("r")).alias("v")), edges))
     keyed = pairs.withColumn("_a", hx.pack(F.col("aq"), F.col("ar"))).withColumn("_b", hx.pack(F.col("bq"), F.col("br")))
     a = labels.select(F.col("v").alias("_a"), F.col("label").alias("_la"))
     b = labels.select(F.col("v").alias("_b"), F.col("label").alias("_lb"))
@@ -42,10 +42,10 @@ def shortest_paths(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
 
     Edge weight is 1 plus the mean cost of both cells. Among equal costs the smallest direction string wins.
     """
-    graph = written(vertices.select("q", "r", "cost"))
-    wanted = written(routable_pairs(pairs, graph))
+    graph = pinned(vertices.select("q", "r", "cost"))
+    wanted = pinned(routable_pairs(pairs, graph))
     lightest = STEP_WEIGHT + (graph.agg(F.min("cost")).first()[0] or 0.0)
-    state = written(
+    state = pinned(
         wanted.select(*SOURCE)
         .distinct()
         .join(graph.select(F.col("q").alias("aq"), F.col("r").alias("ar"), "cost"), SOURCE)
@@ -60,7 +60,7 @@ def shortest_paths(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
     turn = 0
     while not state.where(F.col("best.round") == turn).isEmpty():
         if turn == PATIENCE:
-            wanted = written(reachable_pairs(wanted, graph))
+            wanted = pinned(reachable_pairs(wanted, graph))
         front = state.where(F.col("best.round") == turn).join(_reach(wanted, state), SOURCE)
         front = front.where(F.col("best.g") + lightest <= F.col("reach"))
         hop = (
@@ -86,7 +86,7 @@ def shortest_paths(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
             )
         )
         turn += 1
-        state = written(state.unionByName(hop).groupBy(*SOURCE, "q", "r").agg(F.min("best").alias("best")))
+        state = pinned(state.unionByName(hop).groupBy(*SOURCE, "q", "r").agg(F.min("best").alias("best")))
     arrived = state.select(*SOURCE, F.col("q").alias("bq"), F.col("r").alias("br"), "best")
     found = wanted.join(arrived, PAIR)
     return found.select(*PAIR, F.col("best.g").alias("cost"), _walk(F.col("aq"), F.col("ar"), F.col("best.steps")).alias("cells"))
@@ -102,9 +102,8 @@ def _reach(wanted: DataFrame, state: DataFrame) -> DataFrame:
 def _walk(q: Column, r: Column, steps: Column) -> Column:
     dirs = hx.direction_literal()
     origin = F.struct(q.alias("q"), r.alias("r"))
-    ways = F.when(F.length(steps) == 0, F.array().cast("array<int>")).otherwise(
-        F.transform(F.split(steps, "(?!^)"), lambda s: s.cast("int"))
-    )
+    places = F.when(F.length(steps) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.length(steps)))
+    ways = F.transform(places, lambda i: F.substr(steps, i, F.lit(1)).cast("int"))
 
     def go(cells: Column, way: Column) -> Column:
         last, d = F.element_at(cells, -1), F.element_at(dirs, way + 1)

@@ -7,8 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-BROADCAST_ROW_LIMIT = 200_000
-
 
 def local_session(app: str = "aerolattice", cores: str = "8") -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
@@ -27,22 +25,22 @@ def local_session(app: str = "aerolattice", cores: str = "8") -> SparkSession:
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder for written intermediates: `spark.checkpoint.dir`, or a temporary one on a local master."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not sc.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="aerolattice-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back.
+def pinned(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder and read it back, which cuts its lineage.
 
-    The result has no lineage beyond the files, so a lost executor costs a re-read and not a replay of
-    the rounds before it, and it has size statistics, which `persist` and `checkpoint` do not give.
+    A lost executor then costs a re-read of files and not a replay of the rounds before them. A written table also
+    carries its size, so joins can choose to broadcast it; and unlike a checkpointed frame it does not carry the
+    constraints of the plan behind it, which multiply from round to round until planning no longer ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
