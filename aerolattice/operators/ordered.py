@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 RANGE_WIDTH = 1 << 20
 FOLD_WIDTH = 1 << 10
+SCAN_WIDTH = 1 << 8
 
 
 def running(
@@ -75,32 +76,68 @@ def compose(first: Column, then: Column) -> Column:
     return F.transform(first, lambda s: F.element_at(then, s + 1))
 
 
-def identity(states: int) -> Column:
-    return F.array(*[F.lit(s) for s in range(states)])
+def _chained(run: Column) -> Column:
+    """Composition of the maps of a sorted run."""
+    states = F.size(run[0]["change"])
+    return F.aggregate(run, F.sequence(F.lit(0), states - 1), lambda acc, e: compose(acc, e["change"]))
 
 
-def folded(events: DataFrame, keys: Sequence[str], order: str, change: str, states: int, width: int = FOLD_WIDTH) -> DataFrame:
+def _parts(events: DataFrame, keys: list[str], width: int) -> DataFrame:
+    return (
+        events.withColumn("_part", F.floor(F.col("_at") / width))
+        .groupBy(*keys, "_part")
+        .agg(F.array_sort(F.collect_list(F.struct("_at", "change"))).alias("_run"))
+    )
+
+
+def _maps(events: DataFrame, keys: list[str], order: str, change: str) -> DataFrame:
+    return events.select(*keys, F.col(order).cast("bigint").alias("_at"), F.col(change).alias("change"))
+
+
+def folded(events: DataFrame, keys: Sequence[str], order: str, change: str, width: int = FOLD_WIDTH) -> DataFrame:
     """Compose the state maps `change` of every key in `order`; columns keys and `change`.
 
-    Composition is associative, so ranges of the order column are folded first and their results again, until one
-    map per key is left. No group ever holds more than `width` rows, provided `order` is unique per key and not
-    negative.
+    A map is an array that holds the next state of each state. Composition is associative, so ranges of the order
+    column are folded first and their results again, until one map per key is left. No group ever holds more than
+    `width` rows, provided `order` is unique per key and not negative.
     """
     keys = list(keys)
     top = events.agg(F.max(order)).first()[0] or 0
-    level = events.select(*keys, F.col(order).alias("_at"), F.col(change).alias("change"))
+    level = _maps(events, keys, order, change)
     while True:
-        level = level.withColumn("_at", F.col("_at").cast("bigint"))
-        level = (
-            level.withColumn("_part", F.floor(F.col("_at") / width))
-            .groupBy(*keys, "_part")
-            .agg(F.array_sort(F.collect_list(F.struct("_at", "change"))).alias("_run"))
-            .select(
-                *keys,
-                F.col("_part").alias("_at"),
-                F.aggregate("_run", identity(states), lambda acc, e: compose(acc, e["change"])).alias("change"),
-            )
-        )
+        level = _parts(level, keys, width).select(*keys, F.col("_part").alias("_at"), _chained(F.col("_run")).alias("change"))
         top = top // width
         if top == 0:
             return level.select(*keys, "change")
+
+
+def scanned(events: DataFrame, keys: Sequence[str], order: str, change: str, width: int = SCAN_WIDTH) -> DataFrame:
+    """Add `state`, the state before each event when every key starts in state 0.
+
+    Ranges of the order column are composed, their start states come from scanning the composed ranges the same way,
+    and each range is then walked from its start state.
+    """
+    keys = list(keys)
+    top = events.agg(F.max(order)).first()[0] or 0
+    walked = _scan(_maps(events, keys, order, change), keys, top, width)
+    return events.join(walked.withColumnRenamed("_at", order), keys + [order])
+
+
+def _scan(maps: DataFrame, keys: list[str], top: int, width: int) -> DataFrame:
+    parts = _parts(maps, keys, width)
+    if top // width == 0:
+        started = parts.withColumn("_start", F.lit(0))
+    else:
+        summary = parts.select(*keys, F.col("_part").alias("_at"), _chained(F.col("_run")).alias("change"))
+        starts = _scan(summary, keys, top // width, width)
+        started = parts.join(starts.select(*keys, F.col("_at").alias("_part"), F.col("state").alias("_start")), keys + ["_part"])
+    begun = F.struct(F.col("_start").alias("state"), F.array().cast("array<struct<_at:bigint,state:int>>").alias("seen"))
+
+    def step(acc: Column, e: Column) -> Column:
+        here = F.struct(e["_at"].alias("_at"), acc["state"].alias("state"))
+        return F.struct(
+            F.element_at(e["change"], acc["state"] + 1).alias("state"), F.concat(acc["seen"], F.array(here)).alias("seen")
+        )
+
+    seen = F.aggregate("_run", begun, step, lambda acc: acc["seen"])
+    return started.select(*keys, F.inline(seen))
