@@ -4,7 +4,7 @@ from importlib import import_module
 
 from aerolattice.catalog.registry import ORACLES, QUERIES
 
-MODULES = ["geometry", "planning", "records", "events", "globe"]
+MODULES = ["geometry", "planning", "records", "events", "globe", "clusters"]
 
 
 def load_all():
