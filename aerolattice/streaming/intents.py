@@ -52,8 +52,8 @@ class CellAutomaton(StatefulProcessor):
         self.heliport = handle.getValueState("heliport", STATE)
         self.waiting = handle.getListState("waiting", WAITING)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        watermark = timer_values.getCurrentWatermarkInMs()
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
         fresh, late = [], 0
         for frame in rows:
             for row in frame.itertuples(index=False):
@@ -72,8 +72,8 @@ class CellAutomaton(StatefulProcessor):
             self.handle.registerTimer(max(at for _, at, _ in fresh))
         yield pd.DataFrame(columns=CHANGES.names)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
-        watermark = timer_values.getCurrentWatermarkInMs()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
         waiting = sorted(tuple(row) for row in self.waiting.get())
         due = [row for row in waiting if row[1] <= watermark]
         rest = [row for row in waiting if row[1] > watermark]
