@@ -2,11 +2,14 @@
 
 All sources advance together: a state row (source, cell) holds the best cost so far and the directions walked, one
 character per hop, so the path is known on arrival and no walk back is needed. A source stops growing when no
-frontier row can still improve one of its targets.
+frontier row can still improve one of its targets. Several hops are planned at a time, because the state is written
+once per turn and not once per hop; all but the last hop's states have then been grown already.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ from aerolattice.runtime import pinned
 
 PAIR = ["aq", "ar", "bq", "br"]
 SOURCE = ["aq", "ar"]
+# Hops per written state, and the number of hops after which unreachable pairs are looked for.
+HOPS = 3
 PATIENCE = 12
 
 
@@ -56,42 +61,46 @@ def shortest_paths(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
             F.struct(F.lit(0.0).alias("g"), F.lit("").alias("steps"), F.lit(0).alias("round"), "cost").alias("best"),
         )
     )
-    ahead = F.posexplode(hx.direction_literal()).alias("way", "d")
-    turn = 0
+    turn, checked = 0, False
     while not state.where(F.col("best.round") == turn).isEmpty():
-        if turn == PATIENCE:
-            wanted = pinned(reachable_pairs(wanted, graph))
-        front = state.where(F.col("best.round") == turn).join(_reach(wanted, state), SOURCE)
-        front = front.where(F.col("best.g") + lightest <= F.col("reach"))
-        hop = (
-            front.select(*SOURCE, "q", "r", "best", ahead)
-            .select(
-                *SOURCE,
-                (F.col("q") + F.col("d.q")).alias("q"),
-                (F.col("r") + F.col("d.r")).alias("r"),
-                "best",
-                F.col("way").cast("string").alias("way"),
-            )
-            .join(graph, ["q", "r"])
-            .select(
-                *SOURCE,
-                "q",
-                "r",
-                F.struct(
-                    (F.col("best.g") + edge_weight(F.col("best.cost"), F.col("cost"))).alias("g"),
-                    F.concat(F.col("best.steps"), F.col("way")).alias("steps"),
-                    F.lit(turn + 1).alias("round"),
-                    F.col("cost"),
-                ).alias("best"),
-            )
-        )
-        turn += 1
-        state = pinned(state.unionByName(hop).groupBy(*SOURCE, "q", "r").agg(F.min("best").alias("best")))
+        if turn >= PATIENCE and not checked:
+            wanted, checked = pinned(reachable_pairs(wanted, graph)), True
+        reach = _reach(wanted, state)
+        grown = [state]
+        front = state.where(F.col("best.round") == turn)
+        for _ in range(HOPS):
+            turn += 1
+            useful = front.join(reach, SOURCE).where(F.col("best.g") + lightest <= F.col("reach"))
+            front = _best(_hop(useful, graph, turn))
+            grown.append(front)
+        state = pinned(_best(reduce(DataFrame.unionByName, grown)))
     arrived = state.select(*SOURCE, F.col("q").alias("bq"), F.col("r").alias("br"), "best")
     found = wanted.join(arrived, PAIR)
     return found.select(*PAIR, F.col("best.g").alias("cost"), _walk(F.col("aq"), F.col("ar"), F.col("best.steps")).alias("cells"))
 
 
+def _hop(front: DataFrame, graph: DataFrame, turn: int) -> DataFrame:
+    """Neighbours of the frontier, one direction character longer."""
+    ahead = front.select(*SOURCE, "q", "r", "best", F.posexplode(hx.direction_literal()).alias("way", "d")).select(
+        *SOURCE,
+        (F.col("q") + F.col("d.q")).alias("q"),
+        (F.col("r") + F.col("d.r")).alias("r"),
+        "best",
+        F.col("way").cast("string").alias("way"),
+    )
+    arrival = F.struct(
+        (F.col("best.g") + edge_weight(F.col("best.cost"), F.col("cost"))).alias("g"),
+        F.concat(F.col("best.steps"), F.col("way")).alias("steps"),
+        F.lit(turn).alias("round"),
+        F.col("cost"),
+    )
+    return ahead.join(graph, ["q", "r"]).select(*SOURCE, "q", "r", arrival.alias("best"))
+
+
+def _best(states: DataFrame) -> DataFrame:
+    return states.groupBy(*SOURCE, "q", "r").agg(F.min("best").alias("best"))
+
+
 def _reach(wanted: DataFrame, state: DataFrame) -> DataFrame:
     """Per source, the cost up to which its search must go on: infinite until every target has been met."""
     met = state.select(*SOURCE, F.col("q").alias("bq"), F.col("r").alias("br"), F.col("best.g").alias("g"))
