@@ -56,7 +56,21 @@ def core_distance(spark, d):
     return cluster.core_distances(points(spark, d), 2, BASE).select("zone", "id", r6(c.core, "core"))
 
 
-@query("mutual_reach_mst")
+# A link is in the tree when no way round it uses only earlier links: its rank is the smallest greatest rank between its ends.
+ROUND_SQL = "\n".join(
+    f", m{k} AS (SELECT a.zone, a.u, b.v, min(greatest(a.n, b.n)) AS n FROM m{k - 1} a JOIN m{k - 1} b ON a.zone = b.zone AND a.v = b.u GROUP BY ALL)"
+    for k in range(1, 7)
+)
+TREE_SQL = f"""WITH p AS ({POINTS_SQL}), core AS ({CORE_SQL}),
+link AS (SELECT a.zone, a.id AS u, b.id AS v, greatest(ca.core, cb.core, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS w
+         FROM p a JOIN p b ON a.zone = b.zone AND a.id < b.id JOIN core ca ON ca.id = a.id JOIN core cb ON cb.id = b.id),
+ranked AS (SELECT *, row_number() OVER (ORDER BY w, u, v) AS n FROM link),
+m0 AS (SELECT zone, u, v, n FROM ranked UNION ALL SELECT zone, v, u, n FROM ranked UNION ALL SELECT zone, id, id, 0 FROM p)
+{ROUND_SQL}
+SELECT r.u, r.v, round(r.w, 6) + 0e0 AS w FROM ranked r JOIN m6 ON m6.u = r.u AND m6.v = r.v AND m6.n = r.n"""
+
+
+@query("mutual_reach_mst", TREE_SQL)
 def mutual_reach_mst(spark, d):
     return cluster.mutual_reach_tree(points(spark, d), 2, BASE).select("u", "v", r6(c.w, "w"))
 

@@ -93,6 +93,20 @@ def cells_on_route(spark, d):
     return graph.cells_on_routes(site.cells(), site.paths()).select("q", "r")
 
 
+@query(
+    "random_block",
+    with_views(
+        "cells vterm",
+        """SELECT q, r FROM cells WHERE ((q * 7919 + r * 104729) % 1000 + 1000) % 1000 < 150
+           AND NOT EXISTS (SELECT 1 FROM vterm v WHERE v.q = cells.q AND v.r = cells.r)""",
+    ),
+)
+def random_block(spark, d):
+    """A repeatable sample of 15 percent of the cells, without the terminals' own, to be blocked."""
+    site = fx.Site(spark, d)
+    return sites.blocked_share(site.cells(), 0.15).join(site.terminals(), ["q", "r"], "left_anti").select("q", "r")
+
+
 # graphs
 
 
@@ -154,18 +168,15 @@ def pairs_all(spark, d):
     return pairs.all_pairs_profile(fx.Site(spark, d).terminals())
 
 
-@query(
-    "pairs_knn",
-    with_views(
-        "vterm",
-        """SELECT DISTINCT CASE WHEN less THEN q ELSE bq END AS aq, CASE WHEN less THEN r ELSE br END AS ar,
-                  CASE WHEN less THEN bq ELSE q END AS bq, CASE WHEN less THEN br ELSE r END AS br
-           FROM (SELECT *, (q < bq OR (q = bq AND r < br)) AS less FROM (
-             SELECT a.feature_id, a.q, a.r, b.q AS bq, b.r AS br,
-                    row_number() OVER (PARTITION BY a.feature_id ORDER BY greatest(abs(a.q - b.q), abs(a.r - b.r), abs(a.q + a.r - b.q - b.r)), b.feature_id) AS n
-             FROM vterm a JOIN vterm b ON a.q <> b.q OR a.r <> b.r) WHERE n <= 2)""",
-    ),
-)
+KNN_SQL = """SELECT DISTINCT CASE WHEN less THEN q ELSE bq END AS aq, CASE WHEN less THEN r ELSE br END AS ar,
+       CASE WHEN less THEN bq ELSE q END AS bq, CASE WHEN less THEN br ELSE r END AS br
+FROM (SELECT *, (q < bq OR (q = bq AND r < br)) AS less FROM (
+  SELECT a.feature_id, a.q, a.r, b.q AS bq, b.r AS br,
+         row_number() OVER (PARTITION BY a.feature_id ORDER BY greatest(abs(a.q - b.q), abs(a.r - b.r), abs(a.q + a.r - b.q - b.r)), b.feature_id) AS n
+  FROM vterm a JOIN vterm b ON a.q <> b.q OR a.r <> b.r) WHERE n <= 2)"""
+
+
+@query("pairs_knn", with_views("vterm", KNN_SQL))
 def pairs_knn(spark, d):
     return pairs.knn_pairs(fx.Site(spark, d).terminals(), 2)
 
@@ -175,7 +186,23 @@ def pairs_mst(spark, d):
     return pairs.backbone_pairs(fx.Site(spark, d).terminals())
 
 
-@query("components")
+TOUCHING = """cell AS (SELECT DISTINCT q, r FROM vterm),
+step AS (SELECT a.q, a.r, b.q AS nq, b.r AS nr, greatest(abs(a.q - b.q), abs(a.r - b.r), abs(a.q + a.r - b.q - b.r)) AS far
+         FROM cell a JOIN cell b ON a.q <> b.q OR a.r <> b.r)"""
+
+
+@query(
+    "components",
+    with_views(
+        "vterm",
+        """SELECT q, r, CAST(floor(min(root) / 100000e0) AS INT) AS label_q, CAST(min(root) - floor(min(root) / 100000e0) * 100000 - 50000 AS INT) AS label_r
+           FROM walk GROUP BY q, r""",
+        recursive=TOUCHING
+        + """,
+walk(q, r, root) AS (SELECT q, r, CAST(q AS BIGINT) * 100000 + r + 50000 FROM cell
+                     UNION SELECT s.nq, s.nr, w.root FROM walk w JOIN step s ON s.q = w.q AND s.r = w.r AND s.far = 1)""",
+    ),
+)
 def components_query(spark, d):
     """Terminal cells joined when they touch."""
     at = pinned(fx.Site(spark, d).terminals().select("q", "r").distinct())
@@ -188,13 +215,51 @@ def components_query(spark, d):
     return labels.select(q.alias("q"), r.alias("r"), lq.alias("label_q"), lr.alias("label_r"))
 
 
+@query(
+    "pairs_mst_lengths",
+    with_views(
+        "vterm",
+        """SELECT CAST(far AS INT) AS length, n FROM (SELECT far, lag(parts, 1, (SELECT count(*) FROM cell)) OVER (ORDER BY far) - parts AS n FROM (
+             SELECT far, count(DISTINCT root) AS parts FROM (SELECT far, q, r, min(root) AS root FROM walk GROUP BY far, q, r) GROUP BY far)) WHERE n > 0""",
+        recursive=TOUCHING
+        + """,
+walk(far, q, r, root) AS (SELECT t.far, q, r, CAST(q AS BIGINT) * 100000 + r + 50000 FROM cell, (SELECT unnest(range(1, 121)) AS far) t
+                          UNION SELECT w.far, s.nq, s.nr, w.root FROM walk w JOIN step s ON s.q = w.q AND s.r = w.r AND s.far <= w.far)""",
+    ),
+)
+def pairs_mst_lengths(spark, d):
+    """How many links of each length the backbone has, which does not depend on how ties are broken."""
+    tree = pairs.backbone_edges(fx.Site(spark, d).terminals())
+    return tree.groupBy(c.w.cast("int").alias("length")).agg(F.count("*").alias("n"))
+
+
 @query("pairs_connected")
 def pairs_connected(spark, d):
     at = pinned(fx.Site(spark, d).terminals())
     return pairs.connected_pairs(at, pinned(pairs.knn_pairs(at, 2)))
 
 
-@query("shortest_path")
+def search_sql(pairs_sql, depth):
+    """Breadth-first search from every origin of `pair`, to a depth no shortest path of the fixture exceeds."""
+    return f"""pair AS ({pairs_sql}),
+walk(aq, ar, q, r, d) AS (SELECT DISTINCT aq, ar, aq, ar, 0 FROM pair JOIN open ON open.q = aq AND open.r = ar
+                          UNION SELECT w.aq, w.ar, o.q, o.r, w.d + 1 FROM walk w, dirs, open o WHERE o.q = w.q + dq AND o.r = w.r + dr AND w.d < {depth}),
+found AS (SELECT p.aq, p.ar, p.bq, p.br, min(d) AS d FROM pair p JOIN walk w ON w.aq = p.aq AND w.ar = p.ar AND w.q = p.bq AND w.r = p.br GROUP BY ALL)"""
+
+
+COARSE_LEGS = """SELECT DISTINCT q AS aq, r AS ar, bq, br FROM (
+  SELECT q, r, lead(q) OVER (ORDER BY feature_id) AS bq, lead(r) OVER (ORDER BY feature_id) AS br FROM placed_coarse WHERE layer = 'vertiport')
+  WHERE bq IS NOT NULL AND (bq <> q OR br <> r)"""
+
+
+@query(
+    "shortest_path",
+    with_views(
+        "coarse placed_coarse dirs",
+        "SELECT aq, ar, bq, br, d * 2e0 AS cost, d + 1 AS num_cells FROM found",
+        recursive="open AS (SELECT q, r FROM coarse EXCEPT SELECT q, r FROM placed_coarse WHERE layer = 'heliport'), " + search_sql(COARSE_LEGS, 60),
+    ),
+)
 def shortest_path(spark, d):
     """Cost of the cheapest path between consecutive vertiports."""
     site = fx.Site(spark, d, COARSE)
@@ -203,7 +268,14 @@ def shortest_path(spark, d):
     return routing.shortest_paths(ends, site.vertices()).select("aq", "ar", "bq", "br", r6(c.cost, "cost"), F.size("cells").alias("num_cells"))
 
 
-@query("interconnect")
+@query(
+    "interconnect",
+    with_views(
+        "vterm g0v dirs",
+        "SELECT aq || ':' || ar || '>' || bq || ':' || br AS path_id, d * 2e0 AS cost, d + 1 AS num_cells FROM found",
+        recursive="open AS (SELECT q, r FROM g0v), " + search_sql(KNN_SQL, 12),
+    ),
+)
 def interconnect_query(spark, d):
     site = fx.Site(spark, d)
     found = interconnect(site.terminals(), site.vertices(), "knn", 2)

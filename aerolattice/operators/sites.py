@@ -52,3 +52,9 @@ def available_cells(cells: DataFrame, heliport_cells: DataFrame) -> DataFrame:
 def holding(cells: DataFrame, site_cells: DataFrame) -> DataFrame:
     """Cells that hold at least one site."""
     return cells.join(site_cells.select(*CELL).distinct(), CELL, "left_semi")
+
+
+def blocked_share(cells: DataFrame, share: float) -> DataFrame:
+    """About `share` of the cells, picked by a fixed rule on (q, r) so that every run and engine picks the same."""
+    draw = F.pmod(F.col("q") * 7919 + F.col("r") * 104729, F.lit(1000))
+    return cells.where(draw < int(share * 1000))
