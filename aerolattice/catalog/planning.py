@@ -215,15 +215,29 @@ def components_query(spark, d):
     return labels.select(q.alias("q"), r.alias("r"), lq.alias("label_q"), lr.alias("label_r"))
 
 
+def far_sql(a, b):
+    return f"greatest(abs({a}.q - {b}.q), abs({a}.r - {b}.r), abs({a}.q + {a}.r - {b}.q - {b}.r))"
+
+
+# A link with a third cell closer to both ends is in no backbone. Looking for that cell among an end's twelve nearest
+# leaves few links to walk per length.
+LINKS = f"""cell AS (SELECT DISTINCT q, r FROM vterm),
+pair AS (SELECT a.q, a.r, b.q AS nq, b.r AS nr, {far_sql('a', 'b')} AS far FROM cell a JOIN cell b ON a.q <> b.q OR a.r <> b.r),
+near AS (SELECT q, r, nq, nr, far FROM pair QUALIFY row_number() OVER (PARTITION BY q, r ORDER BY far, nq, nr) <= 12),
+step AS (SELECT q, r, nq, nr, far FROM pair EXCEPT
+         SELECT p.q, p.r, p.nq, p.nr, p.far FROM pair p JOIN near c ON c.q = p.q AND c.r = p.r AND c.far < p.far
+         WHERE greatest(abs(c.nq - p.nq), abs(c.nr - p.nr), abs(c.nq + c.nr - p.nq - p.nr)) < p.far)"""
+
+
 @query(
     "pairs_mst_lengths",
     with_views(
         "vterm",
         """SELECT CAST(far AS INT) AS length, n FROM (SELECT far, lag(parts, 1, (SELECT count(*) FROM cell)) OVER (ORDER BY far) - parts AS n FROM (
              SELECT far, count(DISTINCT root) AS parts FROM (SELECT far, q, r, min(root) AS root FROM walk GROUP BY far, q, r) GROUP BY far)) WHERE n > 0""",
-        recursive=TOUCHING
+        recursive=LINKS
         + """,
-walk(far, q, r, root) AS (SELECT t.far, q, r, CAST(q AS BIGINT) * 100000 + r + 50000 FROM cell, (SELECT unnest(range(1, 121)) AS far) t
+walk(far, q, r, root) AS (SELECT t.far, q, r, CAST(q AS BIGINT) * 100000 + r + 50000 FROM cell, (SELECT DISTINCT far FROM step) t
                           UNION SELECT w.far, s.nq, s.nr, w.root FROM walk w JOIN step s ON s.q = w.q AND s.r = w.r AND s.far <= w.far)""",
     ),
 )
