@@ -13,7 +13,6 @@ from aerolattice.catalog.fixtures import table
 from aerolattice.catalog.registry import c, query
 from aerolattice.functions import text
 from aerolattice.operators import lineage, messages
-from aerolattice.runtime import pinned
 
 TRADE_SQL = """
 SELECT 'S' || min(l_suppkey) AS module, 'P' || l_partkey AS artifact, 'PRODUCED' AS role FROM lineitem GROUP BY l_partkey

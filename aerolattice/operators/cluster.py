@@ -17,7 +17,9 @@ from aerolattice.runtime import pinned
 # Radius of a lone cluster's circle and its number of sides.
 LONE_RADIUS = 50.0
 CIRCLE_SIDES = 64
+# Point pairs a box pair may make before its boxes are halved, and the finest box as a share of the first.
 PAIR_WORK = 4096
+FINEST = 2.0**-40
 WIDEN = 4.0
 
 
@@ -111,7 +113,7 @@ def _closest_links(spots: DataFrame, limit: float) -> DataFrame:
         .select("zone", *[F.col(name).alias("a" + name) for name in BOX], F.col("nu").alias("bbu"), F.col("nv").alias("bbv"))
     )
     pairs = pinned(_kept(around.join(_side(nodes, "b"), ["zone", "bbu", "bbv"]).where("acomp < bcomp"), limit))
-    while (pairs.agg(F.max(F.col("an") * F.col("bn"))).first()[0] or 0) > PAIR_WORK:
+    while side > limit * FINEST and (pairs.agg(F.max(F.col("an") * F.col("bn"))).first()[0] or 0) > PAIR_WORK:
         side /= 2
         halves = pinned(_nodes(spots, side))
         split = pairs.select("zone", "acomp", "bcomp", "abu", "abv", "bbu", "bbv")
@@ -121,10 +123,7 @@ def _closest_links(spots: DataFrame, limit: float) -> DataFrame:
             keyed = child.withColumns({f"{k}_up": v for k, v in parent.items()})
             up = split.withColumnsRenamed({f"{letter}bu": f"{letter}bu_up", f"{letter}bv": f"{letter}bv_up"})
             split = up.join(keyed, ["zone", f"{letter}comp", f"{letter}bu_up", f"{letter}bv_up"]).drop(f"{letter}bu_up", f"{letter}bv_up")
-        before = pairs
         pairs = pinned(_kept(split, limit))
-        if before.agg(F.max(F.col("an") * F.col("bn"))).first()[0] == pairs.agg(F.max(F.col("an") * F.col("bn"))).first()[0] and side < limit / 2**40:
-            break
     at = spots.withColumn("bu", F.floor(F.col("u") / side)).withColumn("bv", F.floor(F.col("v") / side))
     small = pairs.select("zone", "acomp", "bcomp", "abu", "abv", "bbu", "bbv")
     for letter in ("a", "b"):

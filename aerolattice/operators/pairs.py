@@ -18,8 +18,6 @@ from aerolattice.operators.ordered import running
 from aerolattice.operators.proximity import near_candidates
 from aerolattice.runtime import pinned
 
-MODES = ("knn", "Single-Linkage_HAC", "all_pairs")
-
 
 def all_pairs_profile(terminals: DataFrame) -> DataFrame:
     """The all-pairs set in closed form: per cell, the number of its pairs, without making them.
