@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from aerolattice.llm.bytetext import columns
 from aerolattice.runtime import pinned
@@ -212,16 +213,28 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     )
 
 
+def _mark(width: int, text_at: int):
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text_at).cast(pa.binary())
+            keys = pa.array([hashlib.sha256((x.as_py() or b"").lower()).digest() for x in texts], pa.binary())
+            yield pa.record_batch([*batch.columns, keys], names=[f"_c{i}" for i in range(width)] + ["_key"])
+
+    return mark
+
+
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with all their columns: one of each group of equal texts.
 
-    Rows are taken out by their id, which is joined null-safely, so a row with a null id stays only if its whole group
-    has none. Of rows that repeat the id that stays, one is kept.
+    Rows are matched by digest and, null-safely, by id; of rows that repeat both, one stays.
     """
-    found = pinned(exact_dedup(docs, id_column, text))
-    name = F.col(f"`{id_column}`").eqNullSafe(F.col("_keep"))
-    kept = found.where("kept").select(F.col("doc_id").alias("_keep"), "digest", "repeats").distinct()
-    plain = kept.where("repeats = 1")
-    rows = docs.join(plain, name, "left_semi")
-    again = docs.join(kept.where("repeats > 1").select("_keep").distinct(), name, "left_semi")
-    return rows.unionByName(again.dropDuplicates([id_column, text]))
+    kept = pinned(exact_dedup(docs, id_column, text).where("kept").select("doc_id", "digest", "repeats").distinct())
+    names, width = docs.columns, len(docs.columns)
+    spread = docs.toDF(*[f"_c{i}" for i in range(width)])
+    at = names.index(id_column)
+    schema = StructType([*spread.schema.fields, StructField("_key", BinaryType())])
+    marked = spread.mapInArrow(_mark(width, names.index(text)), schema)
+    same = (F.col("_key") == F.col("digest")) & F.col(f"_c{at}").eqNullSafe(F.col("doc_id"))
+    once = marked.join(kept.where("repeats = 1"), same, "left_semi")
+    again = marked.join(kept.where("repeats > 1"), same, "left_semi").dropDuplicates([f"_c{at}", "_key"])
+    return once.unionByName(again).drop("_key").toDF(*names)

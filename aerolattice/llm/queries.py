@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolattice.llm import exact_dedup, packing
+from aerolattice.llm import decontamination, exact_dedup, packing
 from aerolattice.llm.bytetext import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,30 @@ def byte_bpe() -> str:
 @query
 def op10_best_fit_packing(spark, sf_dir):
     return packing.best_fit_packing(documents(spark, sf_dir), byte_bpe())
+
+
+@query
+def op8_benchmark_decontamination(spark, sf_dir):
+    return decontamination.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+ORACLES["op8_benchmark_decontamination"] = """
+WITH plain AS (
+  SELECT doc_id AS id, false AS test, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL
+  SELECT item_id, true, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+split AS (
+  SELECT id, test, list_filter(string_split_regex(coalesce(t, ''), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM plain),
+item AS (
+  SELECT DISTINCT id, least(len(w), 13) AS size, array_to_string(w[s:s + least(len(w), 13) - 1], ' ') AS words
+  FROM split, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS u(s) WHERE test AND len(w) > 0),
+found AS (
+  SELECT doc, start, k.size, item.id AS item FROM
+    (SELECT id AS doc, s AS start, size, array_to_string(w[s:s + size - 1], ' ') AS words
+     FROM split, (SELECT DISTINCT size FROM item) AS z, unnest(range(1, len(w) - size + 2)) AS u(s) WHERE NOT test) AS k
+  JOIN item USING (words, size)),
+hit AS (SELECT doc, count(DISTINCT start + o) AS n FROM found, unnest(range(size)) AS u(o) GROUP BY doc),
+named AS (SELECT doc, count(*) AS n, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc, item::VARCHAR AS i FROM found) GROUP BY doc)
+SELECT id AS doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(w) AS contaminated
+FROM split LEFT JOIN hit ON hit.doc = id LEFT JOIN named ON named.doc = id WHERE NOT test"""
