@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolattice.llm import decontamination, exact_dedup, packing
+from aerolattice.llm import decontamination, exact_dedup, packing, toxicity
 from aerolattice.llm.bytetext import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,18 @@ named AS (SELECT doc, count(*) AS n, string_agg(i, ',' ORDER BY i) AS ids FROM (
 SELECT id AS doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(w) AS contaminated
 FROM split LEFT JOIN hit ON hit.doc = id LEFT JOIN named ON named.doc = id WHERE NOT test"""
+
+
+@query
+def op5_toxicity(spark, sf_dir):
+    found = toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    first = F.col("offending")[0]
+    return found.select(
+        "doc_id",
+        "held_out",
+        "score",
+        "predicted",
+        F.size("offending").alias("n_offending"),
+        first["start"].alias("first_start"),
+        first["end"].alias("first_end"),
+    )
