@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolattice.llm import decontamination, exact_dedup, packing, quality, toxicity
+from aerolattice.llm import decontamination, exact_dedup, packing, quality, secrets, toxicity
 from aerolattice.llm.bytetext import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,8 @@ def op5_toxicity(spark, sf_dir):
 @query
 def op4_quality(spark, sf_dir):
     return quality.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op1_secret_scan(spark, sf_dir):
+    return secrets.secret_scan(documents(spark, sf_dir)).drop("findings")
