@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolattice.llm import decontamination, exact_dedup, packing, quality, secrets, toxicity
+from aerolattice.llm import decontamination, exact_dedup, jaccard_join, packing, quality, secrets, toxicity
 from aerolattice.llm.bytetext import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,8 @@ def op4_quality(spark, sf_dir):
 @query
 def op1_secret_scan(spark, sf_dir):
     return secrets.secret_scan(documents(spark, sf_dir)).drop("findings")
+
+
+@query
+def op6_ngram_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_components(documents(spark, sf_dir))
