@@ -75,7 +75,7 @@ FROM split LEFT JOIN hit ON hit.doc = id LEFT JOIN named ON named.doc = id WHERE
 @query
 def op5_toxicity(spark, sf_dir):
     found = toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    first = F.col("offending")[0]
+    first = F.get("offending", 0)
     return found.select(
         "doc_id",
         "held_out",
