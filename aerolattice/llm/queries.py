@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolattice.llm import decontamination, exact_dedup, jaccard_join, lpf_dedup, packing, quality, secrets, toxicity
+from aerolattice.llm import decontamination, exact_dedup, jaccard_join, lm_scoring, lpf_dedup, packing, quality, secrets, toxicity
 from aerolattice.llm.bytetext import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,8 @@ def op6_ngram_jaccard_join(spark, sf_dir):
 @query
 def op3_suffix_array_dedup(spark, sf_dir):
     return lpf_dedup.remove_repeats(documents(spark, sf_dir)).drop("spans")
+
+
+@query
+def op9_lm_scoring(spark, sf_dir):
+    return lm_scoring.score_documents(documents(spark, sf_dir))
