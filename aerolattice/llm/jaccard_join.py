@@ -147,7 +147,7 @@ def _arrays(n: int):
         for batch in batches:
             data, places = flat(batch.column(1))
             found = [x.tobytes() for _, _, part, at in slices(data, places) for x in _sets(part, at, n)]
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(found, pa.binary())], names=["set", "tiles", "shingles"])
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=["set", "shingles"])
 
     return make
 
@@ -206,11 +206,9 @@ def _tile_solver(percent: int):
     return solve
 
 
-def _solved(texts: DataFrame, placed: DataFrame, n: int, percent: int) -> DataFrame:
+def _solved(arrays: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     """Links in the tiles of placed(set, tiles)."""
-    rows = texts.join(placed.withColumnRenamed("set", "doc_id"), "doc_id").select("doc_id", "text", "tiles")
-    arrays = rows.mapInArrow(_arrays(n), "set bigint, tiles array<string>, shingles binary")
-    spread = arrays.select(F.explode("tiles").alias("tile"), "set", "shingles")
+    spread = arrays.join(placed, "set").select(F.explode("tiles").alias("tile"), "set", "shingles")
     return pinned(spread.groupBy("tile").applyInArrow(_tile_solver(percent), "u bigint, v bigint"))
 
 
@@ -232,6 +230,9 @@ def _links(texts: DataFrame, sets: DataFrame, ties: DataFrame, n: int, percent:
     band = F.size(F.filter(edges, lambda e: e <= F.col("n_shingles"))) - 1
     grouped = _labels(ties).withColumnRenamed("label", "cluster").join(sets, "set").withColumn("band", band)
     grouped = pinned(grouped)
+    # the texts of these sets move once; their list grows with the corpus, so it is not broadcast at any size
+    asked = grouped.select(F.col("set").alias("doc_id")).hint("merge")
+    arrays = pinned(texts.join(asked, "doc_id").mapInArrow(_arrays(n), "set bigint, shingles binary"))
     sizes = grouped.groupBy("cluster").agg(F.count("*").alias("members"))
     small = with_group(grouped, sizes, "cluster", "members")
     one = small.where(F.col("members") <= BLOCK).select("set", F.array(F.col("cluster").cast("string")).alias("tiles"))
@@ -261,7 +262,7 @@ def _links(texts: DataFrame, sets: DataFrame, ties: DataFrame, n: int, percent:
             F.transform(down, lambda b: tile(F.col("band") - 1, b, F.lit("next"), F.lit("")))
         ),
     )
-    first = _solved(texts, one.unionByName(blocked.select("set", near.alias("tiles"))), n, percent)
+    first = _solved(arrays, one.unionByName(blocked.select("set", near.alias("tiles"))), percent)
     if large.isEmpty():
         return first
     classes = large.join(_labels(first), "set", "left").withColumn("label", F.coalesce("label", "set"))
@@ -292,7 +293,7 @@ def _links(texts: DataFrame, sets: DataFrame, ties: DataFrame, n: int, percent:
     )
     as_rest = F.transform(blocks_near, lambda x: tile(x["o"], x["p"], F.col("band"), F.col("own")))
     tiles = F.when(F.col("out"), F.array_union(as_block, as_rest)).otherwise(as_block)
-    second = _solved(texts, met.withColumn("own", own_rest).select("set", tiles.alias("tiles")), n, percent)
+    second = _solved(arrays, met.withColumn("own", own_rest).select("set", tiles.alias("tiles")), percent)
     return first.unionByName(second)
 
 
