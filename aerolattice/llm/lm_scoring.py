@@ -25,8 +25,8 @@ from aerolattice.runtime import pinned, shuffle_width
 #: One in SHARE training documents takes part in gradient steps, in ROUNDS rounds; all of them are counted.
 SHARE, ROUNDS = 12, 3
 CHUNKS = 32
-#: Contexts of the byte model: two bytes before, hashed.
-CONTEXTS = 1024
+#: Contexts of the byte model: three bytes before, hashed.
+CONTEXTS = 8192
 SYMBOLS = 257
 COUNT_SLICE = 4 << 20
 
@@ -193,7 +193,7 @@ def _summed(buckets: int):
 
 
 class Speller:
-    """Log-probabilities of words letter by letter: each byte, and the end, after the two bytes before it."""
+    """Log-probabilities of words letter by letter: each byte, and the end, after the three bytes before it."""
 
     def __init__(self, counts: np.ndarray):
         counts = counts.reshape(CONTEXTS, SYMBOLS).astype(np.float64)
@@ -217,7 +217,8 @@ def spelled(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     symbol = np.where(last, 256, low[np.minimum(at, n)])
     one = np.where(step > 0, low[np.clip(at - 1, 0, n)].astype(np.int64), 0)
     two = np.where(step > 1, low[np.clip(at - 2, 0, n)].astype(np.int64), 0)
-    context = (one * 2654435761 + two * 40503 + (one * two)) % 1000003 % CONTEXTS
+    three = np.where(step > 2, low[np.clip(at - 3, 0, n)].astype(np.int64), 0)
+    context = (one * 65536 + two * 256 + three) * 2654435761 % 4294967291 % CONTEXTS
     return context * SYMBOLS + symbol, owner
 
 
@@ -262,7 +263,7 @@ def _studied(vocabulary: Vocabulary):
             yield from _rows(out)
         size = -(-len(counts) // CHUNKS)
         chunks = ((c, counts[c * size : (c + 1) * size]) for c in range(CHUNKS))
-        yield from _rows([(c, SPELL, x.astype("<i8").tobytes()) for c, x in chunks])
+        yield from _rows([(c, SPELL, zlib.compress(x.astype("<i8").tobytes(), 1)) for c, x in chunks])
 
     return study
 
@@ -401,7 +402,7 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, id_column: s
 
 
 def _add_counts(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, "<i8") for x in table.column("body").to_pylist()).astype("<f8")
+    total = sum(np.frombuffer(zlib.decompress(x), "<i8") for x in table.column("body").to_pylist()).astype("<f8")
     return pa.table({"bucket": table.column("bucket")[:1], "body": pa.array([total.tobytes()], pa.binary())})
 
 
