@@ -1,15 +1,17 @@
 """Exact n-gram Jaccard join over size-banded tiles with hashed bitmap signatures.
 
-Equal shingle sets are one set from the start. Sets meet as candidates by parts: the shingles of a set are dealt into a
-few more parts than the sets of a link can differ in, so two linked sets have a part in common that is equal and not
-empty. Candidates that hang together are compared in tiles of one or two neighbouring size bands: the bits in which two
-parity bitmaps differ bound the overlap from above, and what passes is intersected exactly as sorted arrays. Tiles
-return a spanning forest of their links, never all pairs.
+Equal shingle sets are one set from the start. Sets meet where they share one of their rarest shingles: enough of them
+that two linked sets must (prefix filter), rarest by counts of hashed shingles over the whole corpus, so a passage that
+many documents share brings nobody together. Where sets meet, the bits in which two parity bitmaps differ bound their
+overlap from above; what passes hangs together in clusters. Clusters are compared in tiles of one or two neighbouring
+size bands: again by bitmaps, then by exact intersection of sorted arrays. Tiles return a spanning forest of their links,
+never all pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +24,11 @@ from aerolattice.llm.lookup import with_group
 from aerolattice.operators import forest
 from aerolattice.runtime import pinned, shuffle_width
 
-#: Parts beyond the largest difference: a link is found although up to SPARE equal parts are empty.
-SPARE = 2
+#: Hash buckets in which shingles are counted over the corpus; the counts order shingles, so their size is fixed.
+SKETCH_BITS = 20
+SKETCH_CHUNKS = 16
+#: Sets that meet at one shingle beyond which they are tied as they are and left to the tiles.
+CROWDED = 4096
 #: Sets in a block; a tile holds three blocks at most.
 BLOCK = 512
 
@@ -51,39 +56,70 @@ class Rule:
         """The smallest intersection that links sets of these sizes."""
         return -(-(a + b) * self.percent // (100 + self.percent))
 
-    def parts(self, band: int) -> int:
-        """Parts that find every link of sets in this band with sets in this band or the next."""
-        most = int(self.edges[min(band + 2, len(self.edges) - 1)]) - 1
-        return 2 * most - 2 * int(self.least_overlap(most, most)) + 1 + SPARE
+
+def _sketched(n: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in batches:
+            data, places = flat(batch.column(0))
+            for _, _, part, at in slices(data, places):
+                hashes, starts = word_hashes(part, at, BLANK)
+                shingles, _ = shingle_hashes(hashes, starts, n)
+                counts += np.bincount((shingles >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+        parts = counts.reshape(SKETCH_CHUNKS, -1)
+        blobs = [zlib.compress(x.astype("<i8").tobytes(), 1) for x in parts]
+        yield pa.record_batch([pa.array(range(SKETCH_CHUNKS), pa.int32()), pa.array(blobs, pa.binary())], names=["chunk", "counts"])
+
+    return count
+
+
+def _add(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(zlib.decompress(x), "<i8") for x in table.column("counts").to_pylist())
+    return pa.table({"chunk": table.column("chunk")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def sketch(texts: DataFrame, n: int) -> np.ndarray:
+    """How often the shingles of each hash bucket occur in all texts, capped at 32 bits; 4 MB whatever the corpus."""
+    partial = texts.mapInArrow(_sketched(n), "chunk int, counts binary")
+    summed = partial.groupBy("chunk").applyInArrow(_add, "chunk int, counts binary").collect()
+    found = [np.frombuffer(bytes(r[1]), "<i8") for r in sorted(summed, key=lambda r: r[0])]
+    return np.minimum(np.concatenate([np.zeros(0, np.int64), *found]), (1 << 32) - 1).astype(np.uint32)
 
 
-def _part_keys(shingles: np.ndarray, band: int, parts: int) -> np.ndarray:
-    """A key for each part that is not empty; a set with more than SPARE empty parts also gets the key of such sets."""
-    place = (mix(shingles ^ U(band + 1)) % U(parts)).astype(np.int64)
-    total = np.zeros(parts, np.uint64)
-    with np.errstate(over="ignore"):
-        np.add.at(total, place, mix(shingles + U(0x5851F42D4C957F2D)))
-        full = np.flatnonzero(np.bincount(place, minlength=parts))
-        keys = mix(mix(total[full] + U(band) * U(0x9E3779B97F4A7C15)) + full.astype(np.uint64))
-    if parts - len(full) > SPARE:
-        keys = np.append(keys, mix(np.array([band], np.uint64) ^ U(0xD1B54A32D192ED03)))
-    return keys
+def _rarest(shingles: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The prefix of a sorted set in the order (count, hash): two sets that link share a shingle of their prefixes."""
+    size = len(shingles)
+    order = np.argsort(counts[(shingles >> U(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
+    return shingles[order[: size - -(-size * percent // 100) + 1]]
 
 
-def _set_keys(shingles: np.ndarray, rule: Rule) -> np.ndarray:
-    band = int(rule.band(len(shingles)))
-    return np.concatenate([_part_keys(shingles, b, rule.parts(b)) for b in (band - 1, band) if b >= 0])
+def bitmap(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """A shingle flips one bit, so two maps differ in no more bits than the sets have differences.
+
+    A map folds to half its bits by xor of its halves.
+    """
+    out = np.zeros(bits // 64, np.uint64)
+    place = mix(shingles + U(77)) & U(bits - 1)
+    np.bitwise_xor.at(out, (place >> U(6)).astype(np.int64), U(1) << (place & U(63)))
+    return out
+
+
+def bits_for(size: int) -> int:
+    bits = 256
+    while bits < 4096 and bits < size:
+        bits *= 2
+    return bits
 
 
-SETS = "doc_id bigint, n_shingles bigint, digest binary, keys binary"
+SETS = "doc_id bigint, n_shingles bigint, digest binary, keys binary, bits binary"
 
 
-def _set_maker(n: int, percent: int):
+def _set_maker(n: int, percent: int, counts: np.ndarray):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rule, seen = Rule(percent), set()
+        seen = set()
         for batch in batches:
             data, places = flat(batch.column(1))
-            sizes, digests, keys = [], [], []
+            sizes, digests, keys, maps = [], [], [], []
             for _, _, part, at in slices(data, places):
                 for shingles in _sets(part, at, n):
                     sizes.append(len(shingles))
@@ -91,11 +127,10 @@ def _set_maker(n: int, percent: int):
                     digests.append(digest)
                     new = digest is not None and digest not in seen
                     seen.add(digest)
-                    keys.append(_set_keys(shingles, rule).tobytes() if new else None)  # once a task
-            yield pa.record_batch(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.binary())],
-                names=["doc_id", "n_shingles", "digest", "keys"],
-            )
+                    keys.append(_rarest(shingles, counts, percent).tobytes() if new else None)  # once a task
+                    maps.append(bitmap(shingles, bits_for(len(shingles))).tobytes() if new else None)
+            out = [pa.array(sizes, pa.int64()), *[pa.array(x, pa.binary()) for x in (digests, keys, maps)]]
+            yield pa.record_batch([batch.column(0), *out], names=["doc_id", "n_shingles", "digest", "keys", "bits"])
 
     return make
 
@@ -125,7 +160,7 @@ def _dealer(buckets: int):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each set that shares a key with others is tied to the smallest of them; a tie found by many keys is told once."""
+    """Groups of sets that share a key; a group found by many keys of the partition is told once."""
     keys, sets = [], []
     for batch in batches:
         keys += [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
@@ -135,11 +170,92 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, owner = np.concatenate(keys), np.concatenate(sets)
     order = np.lexsort((owner, key))
     key, owner = key[order], owner[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    leader = owner[np.repeat(first, np.diff(np.append(first, len(key))))]
-    ties = np.unique(np.stack([leader, owner], 1)[leader != owner], axis=0)
-    for at in range(0, len(ties), 50_000):
-        yield pa.record_batch([pa.array(c) for c in np.ascontiguousarray(ties[at : at + 50_000].T)], names=["u", "v"])
+    edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+    many = np.flatnonzero(np.diff(edge) > 1)
+    groups: dict[bytes, np.ndarray] = {}
+    for i in many.tolist():
+        members = owner[edge[i] : edge[i + 1]]
+        groups.setdefault(hashlib.sha256(members.tobytes()).digest()[:16], members)
+    found = list(groups.items())
+    for at in range(0, len(found), 2000):
+        part = found[at : at + 2000]
+        names = pa.array([g for g, _ in part], pa.binary())
+        yield pa.record_batch([names, pa.array([m for _, m in part], pa.list_(pa.int64()))], names=["group", "members"])
+
+
+def _overlap_bound(a: np.ndarray, b: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """From above, by the bits in which maps of one length differ; `both` are the sizes of the two sets together."""
+    return (both - np.bitwise_count(a ^ b).sum(1, dtype=np.int64)) // 2
+
+
+def _folded(raw: bytes, bits: int) -> np.ndarray:
+    out = np.frombuffer(raw, np.uint64)
+    while len(out) * 64 > bits:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
+
+
+def group_ties(ids: np.ndarray, sizes: np.ndarray, raw: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of a group whose sizes and bitmaps allow a link."""
+    rule = Rule(percent)
+    order = np.lexsort((ids, sizes))
+    ids, sizes, raw = ids[order], sizes[order], [raw[i] for i in order]
+    bits = min(len(x) for x in raw) * 8
+    maps = np.stack([_folded(x, bits) for x in raw])
+    label = np.arange(len(ids))
+    ties = []
+    for i in range(1, len(ids)):
+        first = int(np.searchsorted(sizes[:i], -(-sizes[i] * percent // 100)))
+        if first == i:
+            continue
+        both = sizes[first:i] + sizes[i]
+        near = np.flatnonzero(_overlap_bound(maps[first:i], maps[i], both) >= rule.least_overlap(both, 0)) + first
+        for other in np.unique(label[near]):
+            ties.append((int(ids[near[label[near] == other][0]]), int(ids[i])))
+        if len(near):
+            label[np.isin(label[:i], label[near]).nonzero()[0]] = label[near].min()
+            label[i] = label[near].min()
+    return ties
+
+
+def _tier(percent: int):
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (group, set, n_shingles, bits) in order of their groups, which may go on from batch to batch."""
+        name, rows = None, []
+
+        def close() -> pa.RecordBatch:
+            ties = group_ties(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [r[2] for r in rows], percent)
+            return pa.record_batch([pa.array([t[i] for t in ties], pa.int64()) for i in range(2)], names=["u", "v"])
+
+        found = []
+        for batch in batches:
+            for group, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if group != name:
+                    if len(rows) > 1:
+                        found.append(close())
+                    name, rows = group, []
+                rows.append(row)
+            if found:
+                yield from pa.Table.from_batches(found).combine_chunks().to_batches()
+                found = []
+        if len(rows) > 1:
+            yield close()
+
+    return tie
+
+
+def candidate_ties(sets: DataFrame, percent: int) -> DataFrame:
+    """u, v: pairs of sets(set, n_shingles, keys, bits) through which every two sets that may link hang together."""
+    width = shuffle_width(sets.sparkSession)
+    dealt = sets.where("keys IS NOT NULL").select("set", "keys").mapInArrow(_dealer(width), "bucket int, keys binary, sets binary")
+    met = dealt.repartition(width, "bucket").mapInArrow(_meet, "group binary, members array<bigint>")
+    groups = pinned(met.dropDuplicates(["group"]))
+    crowd = groups.where(F.size("members") > CROWDED)
+    star = crowd.select(F.col("members")[0].alias("u"), F.explode("members").alias("v")).where("u <> v")
+    spread = groups.where(F.size("members") <= CROWDED).select("group", F.explode("members").alias("set"))
+    facts = spread.join(sets.select("set", "n_shingles", "bits").hint("merge"), "set").select("group", "set", "n_shingles", "bits")
+    ordered = facts.repartition(width, "group").sortWithinPartitions("group")
+    return pinned(ordered.mapInArrow(_tier(percent), "u bigint, v bigint").unionByName(star).distinct())
 
 
 def _arrays(n: int):
@@ -152,25 +268,14 @@ def _arrays(n: int):
     return make
 
 
-def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
-    """Parity bitmaps: a shingle flips one bit, so two maps differ in no more bits than the sets have differences."""
-    out = np.zeros((len(sets), bits // 64), np.uint64)
-    for row, shingles in zip(out, sets, strict=True):
-        place = mix(shingles + U(77)) % U(bits)
-        np.bitwise_xor.at(row, (place >> U(6)).astype(np.int64), U(1) << (place & U(63)))
-    return out
-
-
 def tile_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among the sets of a tile."""
     rule = Rule(percent)
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), ids[i]))
     ids, sets = ids[order], [sets[i] for i in order]
     sizes = np.array([len(x) for x in sets], np.int64)
-    bits = 256
-    while bits < 4096 and bits < sizes.max(initial=0) // 2:
-        bits *= 2
-    maps = bitmaps(sets, bits)
+    bits = bits_for(int(sizes.max(initial=1)))
+    maps = np.stack([bitmap(x, bits) for x in sets])
     parent = np.arange(len(sets))
     links = []
 
@@ -183,10 +288,9 @@ def tile_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tu
         end = int(np.searchsorted(sizes, sizes[i] * 100 // percent, "right"))
         if end <= i + 1:
             continue
-        differ = np.bitwise_count(maps[i + 1 : end] ^ maps[i]).sum(1, dtype=np.int64)
         both = sizes[i + 1 : end] + sizes[i]
-        least = rule.least_overlap(both, 0)
-        for j in np.flatnonzero((both - differ) // 2 >= least) + i + 1:
+        near = _overlap_bound(maps[i + 1 : end], maps[i], both) >= rule.least_overlap(both, 0)
+        for j in np.flatnonzero(near) + i + 1:
             a, b = root(i), root(int(j))
             if a != b:
                 common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
@@ -310,19 +414,21 @@ def jaccard_components(
     """
     rows = columns(docs, id_column, text)
     rows = rows.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    made = pinned(rows.mapInArrow(_set_maker(n, percent), SETS))
+    counts = sketch(rows.select("text"), n)
+    made = pinned(rows.mapInArrow(_set_maker(n, percent, counts), SETS)) if len(counts) else None
+    if made is None:  # no partition, so no rows
+        return rows.select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     full = made.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     sets = pinned(
         full.groupBy("digest").agg(
             F.min("doc_id").alias("set"),
             F.first("n_shingles").alias("n_shingles"),
             F.first("keys", ignorenulls=True).alias("keys"),
+            F.first("bits", ignorenulls=True).alias("bits"),
             F.count("*").alias("copies"),
         )
     )
-    width = shuffle_width(docs.sparkSession)
-    dealt = sets.where("keys IS NOT NULL").select("set", "keys").mapInArrow(_dealer(width), "bucket int, keys binary, sets binary")
-    ties = pinned(dealt.repartition(width, "bucket").mapInArrow(_meet, "u bigint, v bigint").distinct())
+    ties = candidate_ties(sets, percent)
     own = sets.select("set", "n_shingles")
     labels = _labels(_links(rows.where("doc_id IS NOT NULL"), own, ties, n, percent))
     groups = sets.select("digest", "set", "copies").join(labels, "set", "left")
