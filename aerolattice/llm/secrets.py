@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolattice.llm.bytetext import columns
+from aerolattice.runtime import pinned
 
 #: Fixed patterns of the base findings.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -57,8 +58,15 @@ def _identifiers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def identifier_dictionary(docs: DataFrame, text: str = "text", most: int = DICTIONARY_BYTES) -> bytes:
     """The most frequent identifiers of all texts, the commonest last as zstandard prefers, `most` bytes at most."""
     rows = columns(docs, text).select(F.col(text).cast("string"))
-    counted = rows.mapInArrow(_identifiers, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.where("n > 1").orderBy(F.desc("n"), "word").limit(most // 5).collect()  # each takes five bytes at least
+    counted = pinned(rows.mapInArrow(_identifiers, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"))
+    most_words = most // 5  # each takes five bytes at least
+    step = F.floor(F.log2("n") * 16).cast("int")
+    enough, least = 0, 0
+    for row in sorted(counted.groupBy(step.alias("step")).count().collect(), reverse=True):  # some hundred steps
+        least, enough = row[0], enough + row[1]
+        if enough >= most_words:
+            break
+    top = counted.where(step >= least).orderBy(F.desc("n"), "word").limit(most_words).collect()
     words, room = [], most
     for row in top:
         room -= len(row[0]) + 1
