@@ -20,7 +20,9 @@ ORACLE_SQL = None
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows of `docs` whose doc_id is not among the ids in `gone`."""
     ids = pinned(gone.select(F.col("doc_id").alias("_gone")).where("_gone IS NOT NULL").distinct())
-    return docs.join(ids, docs["doc_id"] == ids["_gone"], "left_anti")
+    names = docs.columns
+    rows = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    return rows.join(ids, F.col(f"_c{names.index('doc_id')}") == F.col("_gone"), "left_anti").toDF(*names)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
