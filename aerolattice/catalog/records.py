@@ -369,7 +369,8 @@ NODES_SQL = f"""SELECT 'F' || (CAST(substr(module, 2) AS BIGINT) % 50) AS flow,
         f""", nodes AS ({NODES_SQL}), node AS (
             SELECT flow, module, kind, returns, count(*) FILTER (WHERE role = 'CONSUMED') AS used, count(*) FILTER (WHERE role = 'PRODUCED') AS made,
                    count(DISTINCT artifact) FILTER (WHERE role = 'CONSUMED') AS used_kinds, count(DISTINCT artifact) FILTER (WHERE role = 'PRODUCED') AS made_kinds,
-                   0 AS both_ways FROM nodes GROUP BY flow, module, kind, returns)""",
+                   count(DISTINCT artifact) FILTER (WHERE role = 'CONSUMED') + count(DISTINCT artifact) FILTER (WHERE role = 'PRODUCED')
+                     - count(DISTINCT artifact) FILTER (WHERE role IN ('CONSUMED', 'PRODUCED')) AS both_ways FROM nodes GROUP BY flow, module, kind, returns)""",
     ),
 )
 def contract_lint(spark, d):
@@ -473,16 +474,17 @@ def publisher_ids(spark, d):
 
 @query(
     "trace_label",
-    """SELECT o_orderkey, 't:' || right(CAST(o_orderkey AS VARCHAR), 4) AS trace, coalesce(c_name, 'Publisher') || '#p:' || o_custkey AS publisher
-       FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey""",
+    """SELECT o_orderkey, 't:' || right(CAST(o_orderkey AS VARCHAR), 4) AS trace, coalesce(s_name, 'Publisher') || '#p:' || o_custkey AS publisher
+       FROM orders LEFT JOIN supplier ON o_custkey = s_suppkey""",
 )
 def trace_label(spark, d):
-    known = table(spark, d, "customer").where("c_acctbal > 0").select(c.c_custkey.alias("o_custkey"), "c_name")
+    """Publishers go by supplier names; there are more customers than suppliers, so some are unknown."""
+    known = table(spark, d, "supplier").select(c.s_suppkey.alias("o_custkey"), "s_name")
     joined = table(spark, d, "orders").join(known, "o_custkey", "left")
     return joined.select(
         "o_orderkey",
         F.concat(F.lit("t:"), messages.trace_tail(c.o_orderkey)).alias("trace"),
-        messages.publisher_label(c.c_name, c.o_custkey).alias("publisher"),
+        messages.publisher_label(c.s_name, c.o_custkey).alias("publisher"),
     )
 
 

@@ -1,8 +1,8 @@
 """WGS84 geodesics for the azimuthal-equidistant frame, and UTM as column expressions.
 
 The geodesics iterate, which column expressions can only do by repeating themselves, so they run as Arrow-batched
-functions over whole columns; the number of iterations is fixed and a point that has not converged (close to the
-antipode of the centre) is null.
+functions over whole columns; the number of iterations is fixed, and a point that has not converged by then (close to the
+antipode of the centre) is an error.
 """
 
 from __future__ import annotations
@@ -58,7 +58,9 @@ def inverse(lat0: float, lon0: float, lat, lon):
         away = B * big * (sigma - _delta(small, sin_s, cos_s, cos_2m))
     azimuth = np.arctan2(c2 * np.sin(lam), c1 * s2 - s1 * c2 * np.cos(lam))
     lost = np.abs(lam - before) > 1e-11
-    return np.where(lost, np.nan, away), np.where(lost, np.nan, azimuth)
+    if np.any(lost):
+        raise ValueError("a point near the antipode of the centre has no place in its frame")
+    return away, azimuth
 
 
 def direct(lat0: float, lon0: float, away, azimuth):

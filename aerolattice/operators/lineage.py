@@ -9,19 +9,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolattice.operators.ordered import running, scanned
+from aerolattice.operators.ordered import running
 from aerolattice.runtime import pinned
 
 
 def consumed(contracts: DataFrame) -> DataFrame:
-    return contracts.where("role = 'CONSUMED'").select("module", "artifact")
+    """What each module consumes, each pair once however often it is stated."""
+    return contracts.where("role = 'CONSUMED'").select("module", "artifact").distinct()
 
 
 def produced(contracts: DataFrame) -> DataFrame:
-    return contracts.where("role = 'PRODUCED'").select("module", "artifact")
+    return contracts.where("role = 'PRODUCED'").select("module", "artifact").distinct()
 
 
 def dependency_edges(contracts: DataFrame) -> DataFrame:
@@ -125,7 +126,7 @@ def _artifact_levels(links: DataFrame) -> DataFrame:
 
 
 def validity_after(contracts: DataFrame, publishes: DataFrame) -> DataFrame:
-    """Validity of every produced artifact after each run's log: (run_id, artifact, valid).
+    """Validity of every produced artifact after each run's log: (run_id, artifact, valid); one not touched is not valid.
 
     Producing makes an artifact valid. Writing an artifact that the module neither produces nor consumes touches
     what depends on it, and a touch that meets a valid artifact makes it invalid and touches further. Artifacts are
@@ -154,7 +155,10 @@ def validity_after(contracts: DataFrame, publishes: DataFrame) -> DataFrame:
         onward = fell.join(links, "up").select("run_id", "seq", F.col("down").alias("artifact"))
         settled = pinned(settled.unionByName(arrived.withColumn("valid", F.lit(False)).select("run_id", "artifact", "seq", "valid")))
         pending = pinned(pending.join(here, "artifact", "left_anti").unionByName(onward, allowMissingColumns=False).distinct())
-    return settled.groupBy("run_id", "artifact").agg(F.max_by("valid", "seq").alias("valid"))
+    last = settled.groupBy("run_id", "artifact").agg(F.max_by("valid", "seq").alias("last"))
+    every = log.select(F.col("run_id").alias("_run")).distinct().join(makes.select(F.col("artifact").alias("_made")).distinct())
+    found = every.join(last, F.col("run_id").eqNullSafe(F.col("_run")) & (F.col("artifact") == F.col("_made")), "left")
+    return found.select(F.col("_run").alias("run_id"), F.col("_made").alias("artifact"), F.coalesce("last", F.lit(False)).alias("valid"))
 
 
 def artifact_versions(publishes: DataFrame) -> DataFrame:
@@ -253,30 +257,38 @@ def fire_any(contracts: DataFrame, publishes: DataFrame) -> DataFrame:
     return heard.join(ready, ["run_id", "module"]).where("seq >= ready").select("run_id", "module", "seq")
 
 
-def _bits(contracts: DataFrame) -> DataFrame:
-    """Bit of every consumed artifact within its module and the mask of all bits."""
-    names = consumed(contracts).groupBy("module").agg(F.sort_array(F.collect_set("artifact")).alias("needs"))
-    numbered = names.select("module", F.size("needs").alias("n"), F.posexplode("needs").alias("i", "artifact"))
-    return numbered.select(
-        "module", "artifact", F.expr("cast(shiftleft(1, i) as int)").alias("bit"), F.expr("cast(shiftleft(1, n) - 1 as int)").alias("full")
-    )
-
-
-def _arm(state: Column, bit: Column, full: Column) -> Column:
-    raised = state.bitwiseOR(bit)
-    return F.when(raised == full, F.lit(0)).otherwise(raised)
-
-
 def fire_all(contracts: DataFrame, publishes: DataFrame) -> DataFrame:
     """Moments a module runs when every dependency has changed since its last run.
 
-    The set of changed dependencies is the state of a small automaton; see `scanned` for how its steps are found
-    without walking a run's log in one task.
+    After a run at s the next one is at the largest, over the dependencies, of their first publish after s. That is known
+    for every moment from one ordered pass per dependency; the runs are the chain from the start, marked by doubling the
+    hops. Work grows with publishes times dependencies. Publishes without `seq` have no moment and fire nothing.
     """
-    heard = publishes.select("run_id", "seq", "artifact").join(_bits(contracts), "artifact")
-    states = F.transform(F.sequence(F.lit(0), F.col("full")), lambda s: _arm(s, F.col("bit"), F.col("full")))
-    walked = scanned(heard.withColumn("change", states), ["run_id", "module"], "seq", "change")
-    return walked.where(F.col("state").bitwiseOR(F.col("bit")) == F.col("full")).select("run_id", "module", "seq")
+    uses = consumed(contracts)
+    place = ["run_id", "module"]
+    log = publishes.where("seq is not null").select("run_id", "seq", "artifact").distinct()
+    heard = pinned(log.join(uses, "artifact").select(*place, "seq", "artifact"))
+    start = heard.groupBy(*place).agg((F.min("seq") - 1).alias("seq"))
+    moments = heard.select(*place, "seq").distinct().unionByName(start)
+    asked = moments.join(uses, "module").select(*place, "artifact", "seq", F.lit(0).alias("told"))
+    told = heard.select(*place, "artifact", "seq", F.lit(1).alias("told"))
+    both = asked.unionByName(told).withColumn("back", -F.col("seq").cast("bigint"))
+    publish = F.when(F.col("told") == 1, F.col("seq").cast("bigint"))
+    seen = running(both, [*place, "artifact"], "back", {"ahead": ("last", publish)}, inclusive=False, ties=["told"])
+    known = F.when(F.count("ahead") == F.count("*"), F.max("ahead")).alias("next")
+    hops = pinned(seen.where("told = 0").groupBy(*place, "seq").agg(known).where("next is not null"))
+    fired = pinned(start.withColumn("fired", F.lit(False)))
+    while True:
+        at = fired.select(F.col("run_id").alias("_run"), F.col("module").alias("_module"), F.col("seq").alias("_seq"))
+        here = (F.col("run_id").eqNullSafe(F.col("_run"))) & (F.col("module") == F.col("_module"))
+        onward = hops.join(at, here & (F.col("seq") == F.col("_seq"))).select(*place, F.col("next").alias("seq"), F.lit(True).alias("fired"))
+        more = pinned(onward)
+        if more.isEmpty():
+            break
+        fired = pinned(fired.unionByName(more).groupBy(*place, "seq").agg(F.max("fired").alias("fired")))
+        after = hops.select(F.col("run_id").alias("_run"), F.col("module").alias("_module"), F.col("seq").alias("_seq"), F.col("next").alias("then"))
+        hops = pinned(hops.join(after, here & (F.col("next") == F.col("_seq"))).select(*place, "seq", F.col("then").alias("next")))
+    return fired.where("fired").select("run_id", "module", "seq")
 
 
 def missing_dependencies(needs: DataFrame, publishes: DataFrame) -> DataFrame:

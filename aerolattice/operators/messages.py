@@ -18,13 +18,12 @@ def deliveries(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
     A broadcast reaches every subscriber of the topic but the sender and the excluded; any other message reaches its
     addressee if that one subscribes to the topic.
     """
-    offered = messages.join(subscriptions.distinct(), "topic")
-    to_all = (
-        (F.col("to_id") == BROADCAST)
-        & (F.col("subscriber") != F.col("from_id"))
-        & ~F.array_contains("exclude_ids", F.col("subscriber"))
-    )
-    return offered.where(to_all | (F.col("subscriber") == F.col("to_id"))).select("trace_id", "topic", "from_id", "subscriber")
+    known = subscriptions.distinct()
+    to_all = messages.where(F.col("to_id") == BROADCAST).join(known, "topic")
+    to_all = to_all.where((F.col("subscriber") != F.col("from_id")) & ~F.array_contains("exclude_ids", F.col("subscriber")))
+    direct = messages.withColumn("subscriber", F.col("to_id")).join(known, ["topic", "subscriber"])
+    kept = ["trace_id", "topic", "from_id", "subscriber"]
+    return to_all.select(*kept).unionByName(direct.select(*kept))
 
 
 def with_delivered(messages: DataFrame, delivered: DataFrame) -> DataFrame:

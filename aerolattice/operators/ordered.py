@@ -7,6 +7,7 @@ a range, one summary row per range carries the rest over, and only those summari
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ def running(
 ) -> DataFrame:
     """Add running values per key in `order` (an integer column).
 
+    Every row comes back once. Null keys are a key like any other, and rows without an order come first in their key.
+
     `values` maps a new column to (kind, expression), kind being `sum`, `max`, `min` or `last`; `last` is the latest
     value that is not null. Exclusive running values leave the current row out.
     """
@@ -60,7 +63,14 @@ def running(
         else:
             value = (F.greatest if kind == "max" else F.least)(here, carry)
         merged.append(value.alias(name))
-    return local.join(summary, place).select(*df.columns, *merged)
+    return _joined(local, summary, place, "inner").select(*df.columns, *merged)
+
+
+def _joined(rows: DataFrame, facts: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on keys of which any may be null; null meets null."""
+    named = facts.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *[n for n in facts.columns if n not in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    return rows.join(named, same, how)
 
 
 def _plain(kind: str, source: Column) -> Column:
@@ -90,8 +100,12 @@ def _parts(events: DataFrame, keys: list[str], width: int) -> DataFrame:
     )
 
 
-def _maps(events: DataFrame, keys: list[str], order: str, change: str) -> DataFrame:
-    return events.select(*keys, F.col(order).cast("bigint").alias("_at"), F.col(change).alias("change"))
+def _maps(events: DataFrame, keys: list[str], order: str, change: str) -> tuple[DataFrame, int, int]:
+    """The maps with places counted from 1 (0: no order), the largest place, and what was taken off the order."""
+    low, high = events.agg(F.min(order), F.max(order)).first()
+    low, high = (0, 0) if low is None else (int(low), int(high))
+    at = F.coalesce(F.col(order).cast("bigint") - low + 1, F.lit(0).cast("bigint"))
+    return events.select(*keys, at.alias("_at"), F.col(change).alias("change")), high - low + 1, low - 1
 
 
 def folded(events: DataFrame, keys: Sequence[str], order: str, change: str, width: int = FOLD_WIDTH) -> DataFrame:
@@ -99,11 +113,10 @@ def folded(events: DataFrame, keys: Sequence[str], order: str, change: str, widt
 
     A map is an array that holds the next state of each state. Composition is associative, so ranges of the order
     column are folded first and their results again, until one map per key is left. No group ever holds more than
-    `width` rows, provided `order` is unique per key and not negative.
+    `width` rows, provided `order` is unique per key. Rows without an order come first in their key.
     """
     keys = list(keys)
-    top = events.agg(F.max(order)).first()[0] or 0
-    level = _maps(events, keys, order, change)
+    level, top, _ = _maps(events, keys, order, change)
     while True:
         level = _parts(level, keys, width).select(*keys, F.col("_part").alias("_at"), _chained(F.col("_run")).alias("change"))
         top = top // width
@@ -115,12 +128,14 @@ def scanned(events: DataFrame, keys: Sequence[str], order: str, change: str, wid
     """Add `state`, the state before each event when every key starts in state 0.
 
     Ranges of the order column are composed, their start states come from scanning the composed ranges the same way,
-    and each range is then walked from its start state.
+    and each range is then walked from its start state. `order` has to be unique per key, null included, which comes
+    first.
     """
     keys = list(keys)
-    top = events.agg(F.max(order)).first()[0] or 0
-    walked = _scan(_maps(events, keys, order, change), keys, top, width)
-    return events.join(walked.withColumnRenamed("_at", order), keys + [order])
+    maps, top, base = _maps(events, keys, order, change)
+    walked = _scan(maps, keys, top, width)
+    placed = walked.withColumn(order, F.when(F.col("_at") > 0, F.col("_at") + base)).drop("_at")
+    return _joined(events, placed, keys + [order], "inner").select(*events.columns, "state")
 
 
 def _scan(maps: DataFrame, keys: list[str], top: int, width: int) -> DataFrame:
@@ -130,7 +145,8 @@ def _scan(maps: DataFrame, keys: list[str], top: int, width: int) -> DataFrame:
     else:
         summary = parts.select(*keys, F.col("_part").alias("_at"), _chained(F.col("_run")).alias("change"))
         starts = _scan(summary, keys, top // width, width)
-        started = parts.join(starts.select(*keys, F.col("_at").alias("_part"), F.col("state").alias("_start")), keys + ["_part"])
+        starts = starts.select(*keys, F.col("_at").alias("_part"), F.col("state").alias("_start"))
+        started = _joined(parts, starts, keys + ["_part"], "inner").select(*parts.columns, "_start")
     begun = F.struct(F.col("_start").alias("state"), F.array().cast("array<struct<_at:bigint,state:int>>").alias("seen"))
 
     def step(acc: Column, e: Column) -> Column:

@@ -44,7 +44,7 @@ def all_pairs_profile(terminals: DataFrame) -> DataFrame:
 
 
 def knn_pairs(terminals: DataFrame, k: int) -> DataFrame:
-    """For each terminal the k nearest terminals in other cells, ties by feature_id.
+    """For each terminal the k nearest terminals in other cells, ties by feature_id, those without an id first.
 
     Copies share their neighbours, and copies of a neighbour use up places, so each cell is reduced to its first k
     members before any neighbour is looked up.
@@ -53,7 +53,7 @@ def knn_pairs(terminals: DataFrame, k: int) -> DataFrame:
     members = terminals.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= k)
     cells = pinned(
         members.groupBy("q", "r")
-        .agg(F.sort_array(F.collect_list("feature_id")).alias("ids"))
+        .agg(F.sort_array(F.collect_list(F.coalesce("feature_id", F.lit(-(1 << 63))))).alias("ids"))
         .select(F.lit(0).alias("zone"), hx.pack(F.col("q"), F.col("r")).alias("id"), F.col("q").alias("u"), F.col("r").alias("v"), F.size("ids").alias("m"), "ids")
     )
     met = near_candidates(cells.drop("ids"), k, 1.0, hx.distance)

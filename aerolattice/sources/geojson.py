@@ -16,6 +16,7 @@ COLLECTION = T.StructType(
                 T.StructType(
                     [
                         T.StructField("type", T.StringType()),
+                        T.StructField("id", T.StringType()),
                         T.StructField("properties", T.MapType(T.StringType(), T.StringType())),
                         T.StructField(
                             "geometry",
@@ -61,21 +62,38 @@ def read_layer(spark: SparkSession, path: str | None, layer: str, base: str | No
     if lines:
         features = spark.read.schema(FEATURE).json(full)
     else:
-        document = spark.read.schema(COLLECTION).json(full, multiLine=True)
-        features = document.select(F.explode("features").alias("f")).select("f.*")
+        crs = T.StructType([T.StructField("properties", T.MapType(T.StringType(), T.StringType()))])
+        document = spark.read.schema(T.StructType([*COLLECTION.fields, T.StructField("crs", crs)])).json(full, multiLine=True)
+        named = F.col("crs.properties")["name"].alias("crs_name")
+        features = document.select(F.explode("features").alias("f"), named).select("f.*", "crs_name")
     return features_as_points(features, layer)
 
 
 def features_as_points(features: DataFrame, layer: str) -> DataFrame:
-    """Rows of POINTS from feature structs; the id is the `id` property where there is one."""
+    """Rows of POINTS from feature structs.
+
+    The id is the feature's own or its `id` property, hashed if it is no integer; a feature without either goes by a hash
+    of its geometry and properties, so the same feature has the same id in every run. Coordinates have to be longitude
+    and latitude: a layer that declares another reference system (`crs_name`) is an error.
+    """
+    given = F.coalesce("id", F.col("properties")["id"])
+    entries = F.to_json(F.array_sort(F.map_entries("properties")))
+    content = F.xxhash64(F.to_json("geometry"), entries)
+    name = F.col("crs_name") if "crs_name" in features.columns else F.lit(None).cast("string")
+    degrees = name.isNull() | name.rlike("(?i)(EPSG:+4326|CRS:?84)$")
+    wrong = F.raise_error(F.concat(F.lit("layer is not in longitude and latitude: "), name))
+
+    def coordinate(i: int):
+        return F.when(degrees, F.get("geometry.coordinates", F.lit(i))).otherwise(wrong.cast("double"))
+
     return features.select(
         F.lit(layer).alias("layer"),
-        F.col("properties")["id"].cast("bigint").alias("feature_id"),
+        F.coalesce(given.try_cast("bigint"), F.when(given.isNotNull(), F.xxhash64(given)), content).alias("feature_id"),
         F.col("geometry.type").alias("geometry_type"),
-        F.get("geometry.coordinates", F.lit(0)).alias("lon"),
-        F.get("geometry.coordinates", F.lit(1)).alias("lat"),
+        coordinate(0).alias("lon"),
+        coordinate(1).alias("lat"),
         F.col("properties").alias("props"),
-        F.lit("EPSG:4326").alias("crs"),
+        F.when(degrees, F.lit("EPSG:4326")).otherwise(wrong.cast("string")).alias("crs"),
     )
 
 

@@ -66,25 +66,26 @@ def test_cut_and_members(spark):
     assert found == {(0, 0): 5, (0, 10): 4, (1, 200): 2}
 
 
-def outline(points, offset=80.0, resolution=360, gap_deg=20.0):
-    pts = np.array(points)
-    cx, cy = pts.mean(axis=0)
-    dx, dy = pts[:, 0] - cx, pts[:, 1] - cy
-    angle = np.arctan2(dy, dx)
-    angle[angle >= np.pi] = -np.pi
-    radius = np.hypot(dx, dy) + offset
-    virtual = np.linspace(-np.pi, np.pi, resolution)
-    free = np.array([np.all(np.abs(v - angle) >= np.radians(gap_deg)) for v in virtual])
-    a = np.concatenate([angle, virtual[free]])
-    r = np.concatenate([radius, np.full(free.sum(), offset)])
-    order = np.argsort(a, kind="stable")
-    a, r = a[order], r[order]
-    a, r = np.append(a, a[0] + 2 * np.pi), np.append(r, r[0])
-    theta = np.linspace(a[0], a[-1], 2 * resolution)
-    smooth = np.clip(np.interp(theta, a, r), 0, r.max() + offset)
-    padded = np.concatenate([[0, 0], smooth, [0, 0]])
-    smooth = np.maximum([np.sort(padded[i : i + 5])[2] for i in range(len(smooth))], offset)
-    return np.column_stack([cx + smooth * np.cos(theta), cy + smooth * np.sin(theta)])
+def supports(points, offset=80.0, virtual=360, gap=np.radians(20)):
+    """Known (angle, radius) pairs of an outline: the points' own, and the offset wherever a wide gap has none."""
+    centre = np.mean(points, axis=0)
+    own = []
+    for x, y in np.array(points) - centre:
+        turn = np.arctan2(y, x)
+        own.append((turn if turn < np.pi else -np.pi, np.hypot(x, y) + offset))
+    step = 2 * np.pi / (virtual - 1)
+    bare = [-np.pi + k * step for k in range(virtual)]
+    bare = [(v, offset) for v in bare if min(abs(v - a) for a, _ in own) >= gap]
+    return centre, sorted(own + bare)
+
+
+def radius_at(known, angle):
+    """Radius between the two known angles that enclose the angle, going round once."""
+    ring = known + [(known[0][0] + 2 * np.pi, known[0][1])]
+    for (a, ra), (b, rb) in zip(ring, ring[1:], strict=False):
+        if a <= angle <= b and b > a:
+            return ra + (rb - ra) * (angle - a) / (b - a)
+    return ring[-1][1]
 
 
 @pytest.mark.parametrize("seed,n", [(1, 3), (2, 12), (3, 400)])
@@ -95,4 +96,13 @@ def test_outline(spark, seed, n):
     df = spark.createDataFrame(rows, "zone int, label bigint, id bigint, x double, y double")
     got = np.array([(r.x, r.y) for r in sorted(cluster.radial_boundary(df).collect(), key=lambda r: r.pos)])
     assert got.shape == (720, 2)
-    assert np.abs(got - outline(points)).max() < 1e-6
+    centre, known = supports(points)
+    away = np.hypot(*(got - centre).T)
+    first, turn = known[0][0], 2 * np.pi / 719
+    raw = [radius_at(known, first + k * turn) for k in range(720)]
+    assert (away >= 80 - 1e-6).all() and (away <= max(r for _, r in known) + 1e-6).all()
+    for k in range(720):  # each is the median of the five radii around it, beyond the ends counted as nothing
+        five = [raw[j] if 0 <= j < 720 else 0.0 for j in range(k - 2, k + 3)]
+        assert away[k] == pytest.approx(max(80.0, float(np.median(five))), abs=1e-6)
+        angle = np.arctan2(*(got[k] - centre)[::-1])
+        assert np.cos(angle - first - k * turn) == pytest.approx(1, abs=1e-9)

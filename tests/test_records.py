@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aerolattice.operators import intents, lineage, messages, ordered
+from aerolattice.operators.ordered import running
 
 
 def log_rows(seed, n=300, keys=4):
@@ -110,10 +111,40 @@ def test_validity_after_random_logs(spark):
     rows = [(rnd.choice([1, 1, 2, 3]), i, *rnd.choice(own + foreign)) for i in range(250)]
     got = lineage.validity_after(contracts(spark), publishes(spark, rows)).collect()
     want = replay_validity(rows)
-    assert {(r.run_id, r.artifact): r.valid for r in got} == {
-        (run, a): v for run, state in want.items() for a, v in state.items() if (run, a) in {(r.run_id, r.artifact) for r in got}
-    }
-    assert all(not v for run, state in want.items() for a, v in state.items() if (run, a) not in {(r.run_id, r.artifact) for r in got})
+    assert {(r.run_id, r.artifact): r.valid for r in got} == {(run, a): v for run, state in want.items() for a, v in state.items()}
+
+
+def test_fire_all_with_many_dependencies(spark):
+    rnd = random.Random(5)
+    names = [f"a{i}" for i in range(40)]
+    uses = [("m", a, "CONSUMED") for a in names] + [("m", "a0", "CONSUMED"), ("few", "a1", "CONSUMED"), ("few", "a2", "CONSUMED")]
+    rows = [(rnd.choice([None, 1, 2]), i, "p", rnd.choice(names)) for i in range(3000)]
+    rows += [(1, None, "p", "a3")]
+    table = spark.createDataFrame(uses, "module string, artifact string, role string")
+    log = spark.createDataFrame(rows, "run_id bigint, seq bigint, module string, artifact string")
+    want = set()
+    for module in ("m", "few"):
+        needs = {a for m, a, _ in uses if m == module}
+        seen = {}
+        for run, seq, _, artifact in rows:
+            if seq is not None and artifact in needs:
+                fresh = seen.setdefault(run, set())
+                fresh.add(artifact)
+                if fresh == needs:
+                    want.add((run, module, seq))
+                    fresh.clear()
+    assert {tuple(r) for r in lineage.fire_all(table, log).collect()} == want
+    ready = {tuple(r)[:2] for r in lineage.fire_any(table, log).collect()}
+    assert {(1, "m"), (2, "m"), (1, "few"), (2, "few")} <= ready  # a contract stated twice is one dependency
+
+
+def test_running_values_keep_rows_with_null_keys_and_orders(spark):
+    rows = [(None, 1), (None, 5), (1, None), (1, 3), (1, 2000000), (1, -7)]
+    df = spark.createDataFrame(rows, "k bigint, at bigint")
+    found = running(df, ["k"], "at", {"n": ("sum", F.lit(1)), "top": ("max", F.col("at"))}, width=4).collect()
+    assert {(r.k, r["at"], r.n, r.top) for r in found} == {
+        (None, 1, 1, 1), (None, 5, 2, 5), (1, None, 1, None), (1, -7, 2, -7), (1, 3, 3, 3), (1, 2000000, 4, 2000000),
+    }
 
 
 def test_closure_on_a_cycle_and_through_invalid_artifacts(spark):
