@@ -138,7 +138,7 @@ def _summed(buckets: int):
             train = held[doc] == 0
             np.add.at(counts, word[train], times[train].astype(np.int64))
             places.append(word)
-        out = []
+        found, lack = [], []
         weight, plain = np.log10(counts + 1.0), np.log10(np.maximum(counts, 1.0))
         plain[vocabulary == END] = 0
         for (keys, _, _, _, doc, times), word in zip(parts, places, strict=True):
@@ -149,11 +149,12 @@ def _summed(buckets: int):
             part["log"] = np.bincount(doc, times * plain[word], minlength=n)
             part["known"] = np.bincount(doc, times * (counts[word] > 0), minlength=n)
             part["rows"] = np.bincount(doc, vocabulary[word] == END, minlength=n)
-            out += dealt(PART, part[np.bincount(doc, minlength=n) > 0])
+            found.append(part[np.bincount(doc, minlength=n) > 0])
             new = np.flatnonzero((counts[word] == 0) & (vocabulary[word] != END))
             unseen = np.zeros(len(new), lacking)
             unseen["key"], unseen["hash"], unseen["times"] = keys[doc[new]], vocabulary[word[new]], times[new]
-            out += dealt(UNSEEN, unseen)
+            lack.append(unseen)
+        out = dealt(PART, np.concatenate(found)) + dealt(UNSEEN, np.concatenate(lack))
         out.append((0, STATS, np.array([(counts > 0).sum(), counts.sum(), (counts == 1).sum()], "<i8").tobytes()))
         words_ = np.flatnonzero((counts > 0) & (vocabulary != END))
         top = words_[np.lexsort((vocabulary[words_], -counts[words_]))[: gru.VOCABULARY]]
