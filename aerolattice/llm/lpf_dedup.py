@@ -27,7 +27,9 @@ STEP = 1 << 16
 #: Different stretches around one gram beyond which they are dealt window by window instead of by the gram.
 CROWDED = 4096
 #: Windows put into suffix order at once, in whole groups.
-SORTED_AT_ONCE = 1 << 20
+SORTED_AT_ONCE = 1 << 19
+#: Bytes of text whose stretches are dealt at once.
+DEALT_AT_ONCE = 4 << 20
 
 ROWS = "bucket int, kind int, head binary, body binary, text binary"
 NAMES = ["bucket", "kind", "head", "body", "text"]
@@ -154,36 +156,38 @@ def _anchored(length: int, buckets: int):
             docs, known = _table(batch, data, places)
             number = np.full(batch.num_rows, -1)
             number[known] = np.arange(len(known))
-            parts = []
-            for first, _, part, at in slices(data, places):
-                gram, stretch, begin, size, back, doc = anchors(part, at, length)
-                row = number[doc + first]
-                keep = row >= 0
-                parts.append([x[keep] for x in (gram, stretch, begin - at[doc], size, back, row)])
-            if not parts:
-                continue
-            gram, stretch, begin, size, back, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-            # of stretches that are equal throughout, only those of the batch's smallest document travel by their gram
-            ids = docs["id"][doc]
-            order = np.lexsort((ids, stretch))
-            new = np.r_[True, stretch[order][1:] != stretch[order][:-1]] if len(order) else np.zeros(0, bool)
-            least = np.zeros(len(order), np.int64)
-            least[order] = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-            later = ids > least
-            sheaf = Sheaf()
-            home = _doc_bucket(docs, buckets)
-            gone = np.flatnonzero(later)
-            sheaf.add(REMOVED, home[doc[gone]], docs, doc=doc[gone], at=begin[gone], size=size[gone])
-            stay = np.flatnonzero(~later)
-            place = (((gram[stay] >> U(32)) * U(buckets)) >> U(32)).astype(np.int32)
-            sheaf.add(
-                ANCHOR, place, docs, gram=gram[stay], stretch=stretch[stay], doc=doc[stay], at=begin[stay], size=size[stay], back=back[stay]
-            )
-            yield from sheaf.batches()
+            for first, end, part, at in slices(data, places, DEALT_AT_ONCE):
+                yield from _dealt(part, at, docs, number[first:end], length, buckets).batches()
 
     return anchor
 
 
+def _dealt(data: np.ndarray, places: np.ndarray, docs: np.ndarray, number: np.ndarray, length: int, buckets: int) -> Sheaf:
+    """The stretches of some texts by their gram; `number` is each text's place in the table of documents, or -1."""
+    parts = []
+    for first, _, part, at in slices(data, places):
+        gram, stretch, begin, size, back, doc = anchors(part, at, length)
+        row = number[doc + first]
+        keep = row >= 0
+        parts.append([x[keep] for x in (gram, stretch, begin - at[doc], size, back, row)])
+    gram, stretch, begin, size, back, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+    # of stretches that are equal throughout, only those of the smallest document here travel by their gram
+    ids = docs["id"][doc]
+    order = np.lexsort((ids, stretch))
+    new = np.r_[True, stretch[order][1:] != stretch[order][:-1]] if len(order) else np.zeros(0, bool)
+    least = np.zeros(len(order), np.int64)
+    least[order] = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    later = ids > least
+    sheaf = Sheaf()
+    home = _doc_bucket(docs, buckets)
+    gone, stay = np.flatnonzero(later), np.flatnonzero(~later)
+    sheaf.add(REMOVED, home[doc[gone]], docs, doc=doc[gone], at=begin[gone], size=size[gone])
+    place = (((gram[stay] >> U(32)) * U(buckets)) >> U(32)).astype(np.int32)
+    rest = {"doc": doc[stay], "at": begin[stay], "size": size[stay], "back": back[stay]}
+    sheaf.add(ANCHOR, place, docs, gram=gram[stay], stretch=stretch[stay], **rest)
+    return sheaf
+
+
 def _collected(batches: Iterator[pa.RecordBatch], kinds: tuple[int, ...]) -> dict[int, list]:
     """Rows of a partition by kind: (table of documents, arrays, text)."""
     out: dict[int, list] = {k: [] for k in kinds}
@@ -395,7 +399,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin = shelf.starts(docs)[x["doc"]] + x["at"].astype(np.int64)
         np.add.at(edges, begin, 1)
         np.add.at(edges, begin + x["size"].astype(np.int64), -1)
-    cover = np.cumsum(edges[:-1]) > 0
+    cover = np.cumsum(edges[:-1], dtype=np.int32) > 0
     for rows in slots.values():
         spans = [slice(shelf.places[r], shelf.places[r + 1]) for r in rows]
         joint = np.logical_or.reduce([cover[s] for s in spans])
