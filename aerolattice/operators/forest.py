@@ -12,11 +12,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolattice.runtime import pinned
+from aerolattice.runtime import pinned, release
 
 
 def _to_roots(parents: DataFrame) -> DataFrame:
     """Follow `p` from every `c` until it no longer moves; three doublings per written table."""
+    old = None
     while True:
         before = parents.select("c", "p", F.col("p").alias("was"))
         jumped = parents.select("c", "p")
@@ -27,6 +28,8 @@ def _to_roots(parents: DataFrame) -> DataFrame:
             followed.select("c", F.coalesce("pp", "p").alias("p"), (F.coalesce("pp", "p") != F.col("was")).alias("moved"))
         )
         parents = settled.select("c", "p")
+        release(*[old] if old else [])
+        old = settled
         if settled.where("moved").isEmpty():
             return parents
 
@@ -42,7 +45,7 @@ def minimum_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     `u < v` name the edge; `cu`, `cv` are the components its ends start in (the ends themselves, or labels that
     are to be joined further). Returns (forest(u, v, w), roots(c, root)).
     """
-    live = pinned(edges.where("cu <> cv").select("u", "v", "w", "cu", "cv"))
+    live = given = pinned(edges.where("cu <> cv").select("u", "v", "w", "cu", "cv"))
     start = live.select(F.explode(F.array("cu", "cv")).alias("c")).distinct()
     forest: list[DataFrame] = []
     hops: list[DataFrame] = []
@@ -66,7 +69,9 @@ def minimum_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         thinned = renamed.groupBy(F.least("ru", "rv").alias("cu"), F.greatest("ru", "rv").alias("cv")).agg(
             F.min(edge).alias("e")
         )
-        live = pinned(thinned.select("e.u", "e.v", "e.w", "cu", "cv"))
+        passed, live = live, pinned(thinned.select("e.u", "e.v", "e.w", "cu", "cv"))
+        if passed is not given:  # which the result still reads
+            release(passed)
     final = start.select("c", F.col("c").alias("root"))
     for roots in hops:
         step = roots.select(F.col("c").alias("root"), "p")

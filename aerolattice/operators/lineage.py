@@ -7,13 +7,13 @@ artifact) is the log of writes. Every ordered operator works per (run, artifact)
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolattice.operators.ordered import running
-from aerolattice.runtime import pinned
+from aerolattice.runtime import pinned, release, shared_folder
 
 
 def consumed(contracts: DataFrame) -> DataFrame:
@@ -76,25 +76,27 @@ def unregister(contracts: DataFrame, validity: DataFrame, gone: DataFrame) -> tu
 def invalidation_closure(contracts: DataFrame, changed: DataFrame, validity: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(affected modules, artifacts made invalid) when `changed` artifacts are mutated.
 
+    What has fallen is one table that rounds append to.
+
     From a changed artifact the consumers are affected and what they produce becomes invalid; an artifact that was
     valid, or of unknown validity, passes this on. Artifacts are visited once, so cycles end.
     """
     uses, makes = pinned(consumed(contracts)), pinned(produced(contracts))
     dead = validity.where("not valid").select("artifact")
-    front = pinned(changed.select("artifact").distinct())
-    reached = [front]
-    fallen: list[DataFrame] = []
+    spark, path = contracts.sparkSession, f"{shared_folder(contracts.sparkSession)}/{uuid.uuid4().hex}"
+    front = start = pinned(changed.select("artifact").distinct())
+    front.limit(0).write.parquet(path)
     while not front.isEmpty():
         modules = uses.join(front, "artifact", "left_semi").select("module").distinct()
         hit = makes.join(modules, "module", "left_semi").select("artifact").distinct().join(dead, "artifact", "left_anti")
-        if fallen:
-            hit = hit.join(reduce(DataFrame.unionAll, fallen), "artifact", "left_anti")
-        front = pinned(hit)
-        fallen.append(front)
-        reached.append(front)
-    walked = reduce(DataFrame.unionAll, reached)
-    affected = uses.join(walked, "artifact", "left_semi").select("module").distinct()
-    return affected, reduce(DataFrame.unionAll, fallen) if fallen else walked.limit(0)
+        passed = front
+        front = pinned(hit.join(spark.read.schema(start.schema).parquet(path), "artifact", "left_anti"))
+        front.write.mode("append").parquet(path)
+        if passed is not start:
+            release(passed)
+    fallen = spark.read.schema(start.schema).parquet(path)
+    affected = uses.join(start.unionByName(fallen), "artifact", "left_semi").select("module").distinct()
+    return affected, fallen
 
 
 def validity_diff(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -46,7 +46,19 @@ def pinned(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._pinned_at = path
+    return back
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by `pinned` that nothing will read again; frames made otherwise are left alone."""
+    for df in tables:
+        path = getattr(df, "_pinned_at", None)
+        if path:
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:
