@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from aerolattice.llm.bytetext import LOWER, NOT_ALNUM, columns, flat, mix, prefix_hashes, slices, span_hashes, words
 from aerolattice.llm.labelled import fold, labelled_sample
+from aerolattice.runtime import pinned
 
 #: Labelled documents that the weights are learned from, at most.
-TRAIN_DOCS = 8_000
+TRAIN_DOCS = 6_000
 #: A feature needs this many of them to get a weight.
 MIN_DOCS = 6
 #: Besides whole words, longer words count by their first bytes, since offence is inflected.
@@ -84,30 +85,20 @@ def softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
-def train(rows: list[tuple[bytes, bytes, int]]) -> NoisyOr:
+def train(known: np.ndarray, rows: list[tuple[bytes, bytes, int, int]]) -> NoisyOr:
     """Weights that make the noisy-or of each document's sentences fit its label; lasso keeps most of them at zero.
 
-    A row has a document's feature hashes, the number of each one's sentence, and the label.
+    `known` are the sorted hashes of the features; a row has a document's features by their place among them, the number of
+    each one's sentence, how many sentences there are, and the label.
     """
-    distinct = [np.unique(np.frombuffer(r[0], np.uint64)) for r in rows]
-    known, spread = np.unique(np.concatenate([np.zeros(0, np.uint64), *distinct]), return_counts=True)
-    del distinct
-    known = known[spread >= MIN_DOCS]
     if not len(known):
         return NoisyOr(np.zeros(1, np.uint64), np.zeros(1), -4.0)
-    columns_, owners, sizes = [], [], []
-    for words_, numbers, _ in rows:
-        hashes, own = np.frombuffer(words_, np.uint64), np.frombuffer(numbers, "<i4")
-        at = np.searchsorted(known, hashes)
-        at[at == len(known)] = 0
-        use = known[at] == hashes
-        sentence, feature = np.divmod(np.unique(own[use].astype(np.int64) * len(known) + at[use]), len(known))
-        columns_.append(feature.astype(np.int32))
-        owners.append((sentence + sum(sizes[-1:])).astype(np.int32))
-        sizes.append(int(own.max(initial=-1)) + 1 + sum(sizes[-1:]))
-    column, row = np.concatenate(columns_), np.concatenate(owners)
-    sentence_doc = np.repeat(np.arange(len(rows)), np.diff([0, *sizes]))
-    label, docs = np.array([r[2] for r in rows]), len(rows)
+    sizes = np.array([r[2] for r in rows])
+    before = np.cumsum(sizes) - sizes
+    column = np.concatenate([np.frombuffer(r[0], "<i4") for r in rows])
+    row = np.concatenate([np.frombuffer(r[1], "<i4") + np.int32(at) for r, at in zip(rows, before, strict=True)])
+    sentence_doc = np.repeat(np.arange(len(rows)), sizes)
+    label, docs = np.array([r[3] for r in rows]), len(rows)
     weight, bias = np.zeros(len(known)), np.array([-6.0])
     m1, m2 = np.zeros(len(known) + 1), np.zeros(len(known) + 1)
     for step in range(1, ROUNDS + 1):
@@ -146,11 +137,45 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many documents have each feature."""
+    for batch in batches:
+        own = [np.unique(np.frombuffer(x, np.uint64)) for x in batch.column(0).to_pylist()]
+        found, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *own]), return_counts=True)
+        yield pa.record_batch([pa.array(found.astype(np.int64)), pa.array(count)], names=["feature", "docs"])
+
+
+def _placed(known: np.ndarray):
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns_, owners, sizes = [], [], []
+            for words_, numbers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hashes, own = np.frombuffer(words_, np.uint64), np.frombuffer(numbers, "<i4").astype(np.int64)
+                at = np.searchsorted(known, hashes)
+                at[at == len(known)] = 0
+                use = known[at] == hashes
+                sentence, feature = np.divmod(np.unique(own[use] * len(known) + at[use]), len(known))
+                columns_.append(feature.astype("<i4").tobytes())
+                owners.append(sentence.astype("<i4").tobytes())
+                sizes.append(int(own.max(initial=-1)) + 1)
+            out = [pa.array(columns_, pa.binary()), pa.array(owners, pa.binary()), pa.array(sizes, pa.int32()), batch.column(2)]
+            yield pa.record_batch(out, names=["features", "sentences", "size", "label"])
+
+    return place
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held: int = 2, most: int = TRAIN_DOCS) -> NoisyOr:
-    """Learn from at most `most` labelled documents outside the held-out fold; only these reach the driver."""
+    """Learn from at most `most` labelled documents outside the held-out fold; only their frequent features reach the driver."""
     sample = labelled_sample(docs, labels, label, folds, held, most).select("text", F.col("label").cast("int"))
-    rows = [(bytes(r[0]), bytes(r[1]), r[2]) for r in sample.mapInArrow(_bags, "words binary, sentences binary, label int").collect()]
-    return train(sorted(rows))
+    bags = pinned(sample.mapInArrow(_bags, "words binary, sentences binary, label int"))
+    counted = bags.select("words").mapInArrow(_spread, "feature bigint, docs bigint").groupBy("feature").agg(F.sum("docs").alias("docs"))
+    frequent = counted.where(F.col("docs") >= MIN_DOCS).select("feature").toPandas()["feature"].to_numpy(np.int64)
+    known = np.sort(frequent.astype(np.uint64))
+    if not len(known):
+        return train(known, [])
+    placed = bags.mapInArrow(_placed(known), "features binary, sentences binary, size int, label int")
+    rows = [(bytes(r[0]), bytes(r[1]), r[2], r[3]) for r in placed.collect()]
+    return train(known, sorted(rows))
 
 
 def _scorer(model: NoisyOr):
