@@ -430,12 +430,12 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_column: str = "doc_id",
     rows = columns(docs, id_column, text)
     rows = rows.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     width = shuffle_width(docs.sparkSession)
-    anchored = rows.mapInArrow(_anchored(length, width), ROWS).repartition(width, "bucket")
+    anchored = rows.mapInArrow(_anchored(length, width), ROWS).repartitionById(width, F.col("bucket"))
     marks = pinned(anchored.mapInArrow(_compared(width), ROWS))
     texts = rows.mapInArrow(_texts(width), ROWS)
-    checks = marks.where(F.col("kind") == CHECK).unionByName(texts).repartition(width, "bucket")
-    stretches = checks.mapInArrow(_stretched(length, width), ROWS).repartition(width, "bucket")
+    checks = marks.where(F.col("kind") == CHECK).unionByName(texts).repartitionById(width, F.col("bucket"))
+    stretches = checks.mapInArrow(_stretched(length, width), ROWS).repartitionById(width, F.col("bucket"))
     factors = pinned(stretches.mapInArrow(_factored(length, width), ROWS))
     removed = marks.where(F.col("kind") == REMOVED).unionByName(factors)
-    found = removed.unionByName(texts).repartition(width, "bucket").mapInArrow(_cleaned, CLEANED)
+    found = removed.unionByName(texts).repartitionById(width, F.col("bucket")).mapInArrow(_cleaned, CLEANED)
     return found.unionByName(rows.where("doc_id IS NULL").mapInArrow(_untouched, CLEANED))
