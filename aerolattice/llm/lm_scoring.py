@@ -360,7 +360,7 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, id_column: s
     rows = rows.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = rows.withColumn("held_out", fold("doc_id", folds) == held)
     total, merge = _summed(width)
-    counted = rows.mapInArrow(_counted(width), OUT).repartition(width, "bucket")
+    counted = rows.mapInArrow(_counted(width), OUT).repartitionById(width, F.col("bucket"))
     sums = pinned(counted.mapInArrow(total, OUT))
 
     known = [np.frombuffer(r[0], "<i8") for r in sums.where(F.col("kind") == STATS).select("body").toLocalIterator()]
@@ -390,7 +390,7 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, id_column: s
         if len(whole):
             p = gru.unflatten(whole[:-2] / whole[-2])
 
-    parts = sums.where(F.col("kind").isin(PART, UNSEEN)).repartition(width, "bucket")
+    parts = sums.where(F.col("kind").isin(PART, UNSEEN)).repartitionById(width, F.col("bucket"))
     scored = rows.mapInArrow(_scored(vocabulary, speller, p), SCORED)
     joined = scored.join(parts.mapInArrow(merge, MERGED), "key", "left").select(*SCORED_NAMES, *MERGED_NAMES[1:])
     others = float(frequency[UNKNOWN])
