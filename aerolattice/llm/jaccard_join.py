@@ -105,8 +105,9 @@ def bitmap(shingles: np.ndarray, bits: int) -> np.ndarray:
 
 
 def bits_for(size: int) -> int:
+    """About as many bits as shingles: fewer would fill up before sets differ too much to link."""
     bits = 256
-    while bits < 4096 and bits < size:
+    while bits < size:
         bits *= 2
     return bits
 
@@ -248,7 +249,7 @@ def candidate_ties(sets: DataFrame, percent: int) -> DataFrame:
     """u, v: pairs of sets(set, n_shingles, keys, bits) through which every two sets that may link hang together."""
     width = shuffle_width(sets.sparkSession)
     dealt = sets.where("keys IS NOT NULL").select("set", "keys").mapInArrow(_dealer(width), "bucket int, keys binary, sets binary")
-    met = dealt.repartition(width, "bucket").mapInArrow(_meet, "group binary, members array<bigint>")
+    met = dealt.repartitionById(width, F.col("bucket")).mapInArrow(_meet, "group binary, members array<bigint>")
     groups = pinned(met.dropDuplicates(["group"]))
     crowd = groups.where(F.size("members") > CROWDED)
     star = crowd.select(F.col("members")[0].alias("u"), F.explode("members").alias("v")).where("u <> v")
