@@ -102,3 +102,35 @@ def test_range_circle_radius(spark):
         a, b = math.radians(lat), math.radians(-22.9)
         h = math.sin((a - b) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(lon + 43.2) / 2) ** 2
         assert 2 * scene.EARTH_RADIUS_KM * math.asin(math.sqrt(h)) == pytest.approx(10.0)
+
+
+def feature(coordinates, **more):
+    return {"type": "Feature", "properties": {}, "geometry": {"type": "Point", "coordinates": list(coordinates)}} | more
+
+
+def test_ids_of_ordinary_layers(spark, tmp_path):
+    features = [
+        feature((1, 2), properties={"id": "7"}),
+        feature((1, 2), id="node/1"),
+        feature((1, 2), id=9, properties={"id": "8"}),
+        feature((3, 4)),
+        feature((5, 6)),
+        feature((3, 4), properties={"name": "x"}),
+    ]
+    (tmp_path / "a.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    ids = [r.feature_id for r in geojson.read_layer(spark, str(tmp_path / "a.geojson"), "heliport").collect()]
+    assert ids[0] == 7 and ids[2] == 9 and None not in ids and len(set(ids)) == 6
+    again = [r.feature_id for r in geojson.read_layer(spark, str(tmp_path / "a.geojson"), "vertiport").collect()]
+    assert again == ids
+
+
+@pytest.mark.parametrize("name, fine", [("urn:ogc:def:crs:OGC:1.3:CRS84", True), ("EPSG:4326", True), ("urn:ogc:def:crs:EPSG::4326", True), ("EPSG:3857", False)])
+def test_declared_reference_system(spark, tmp_path, name, fine):
+    crs = {"type": "name", "properties": {"name": name}}
+    (tmp_path / "a.geojson").write_text(json.dumps({"type": "FeatureCollection", "crs": crs, "features": [feature((1, 2))]}))
+    layer = geojson.read_layer(spark, str(tmp_path / "a.geojson"), "heliport").select("lon", "lat")
+    if fine:
+        assert [tuple(r) for r in layer.collect()] == [(1.0, 2.0)]
+    else:
+        with pytest.raises(Exception, match="longitude and latitude"):
+            layer.collect()
