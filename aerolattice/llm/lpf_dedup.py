@@ -134,7 +134,8 @@ def anchors(data: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarr
         first, end = start[edge], start[last] + length
         back = anchor[edge] - first
         stretch = mix(span_hashes(prefix, first, end) + back.astype(np.uint64))
-        found.append((gram[anchor[edge]], stretch, first + s, end - first, back, doc[edge]))
+        # anchors are minima, so their hashes are small ones: spread them again before they are dealt
+        found.append((mix(gram[anchor[edge]] + U(1)), stretch, first + s, end - first, back, doc[edge]))
     if not found:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
