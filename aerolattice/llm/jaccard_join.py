@@ -143,7 +143,7 @@ def _dealer(buckets: int):
             blobs = batch.column(1).to_pylist()
             keys = np.frombuffer(b"".join(blobs), np.uint64)
             owner = np.repeat(batch.column(0).to_numpy(), [len(b) // 8 for b in blobs]).astype("<i8")
-            bucket = ((keys >> U(32)) * U(buckets)) >> U(32)
+            bucket = ((mix(keys) >> U(32)) * U(buckets)) >> U(32)  # the rarest shingles may have small hashes
             order = np.argsort(bucket, kind="stable")
             keys, owner = keys[order], owner[order]
             edge = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
