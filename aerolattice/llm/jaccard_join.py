@@ -269,15 +269,18 @@ def _arrays(n: int):
     return make
 
 
-def tile_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the sets of a tile."""
+def tile_links(ids: np.ndarray, sizes: np.ndarray, apart: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the sets of a tile.
+
+    `apart` is how each set differs from a set that all of a tile are seen from, as a sorted array; two sets differ from
+    each other where just one of their arrays has a shingle. Seen from the empty set, an array is the set itself.
+    """
     rule = Rule(percent)
-    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), ids[i]))
-    ids, sets = ids[order], [sets[i] for i in order]
-    sizes = np.array([len(x) for x in sets], np.int64)
-    bits = bits_for(int(sizes.max(initial=1)))
-    maps = np.stack([bitmap(x, bits) for x in sets])
-    parent = np.arange(len(sets))
+    order = np.lexsort((ids, sizes))
+    ids, sizes, apart = ids[order], sizes[order], [apart[i] for i in order]
+    bits = bits_for(max(map(len, apart), default=1))
+    maps = np.stack([bitmap(x, bits) for x in apart])
+    parent = np.arange(len(ids))
     links = []
 
     def root(i: int) -> int:
@@ -285,7 +288,7 @@ def tile_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tu
             parent[i] = i = parent[parent[i]]
         return i
 
-    for i in range(len(sets)):
+    for i in range(len(ids)):
         end = int(np.searchsorted(sizes, sizes[i] * 100 // percent, "right"))
         if end <= i + 1:
             continue
@@ -294,8 +297,10 @@ def tile_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tu
         for j in np.flatnonzero(near) + i + 1:
             a, b = root(i), root(int(j))
             if a != b:
-                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                met = len(np.intersect1d(apart[i], apart[j], assume_unique=True))
+                total = int(sizes[i] + sizes[j])
+                common = (total - (len(apart[i]) + len(apart[j]) - 2 * met)) // 2
+                if 100 * common >= percent * (total - common):
                     parent[max(a, b)] = min(a, b)
                     links.append((int(ids[i]), int(ids[j])))
     return links
@@ -303,17 +308,29 @@ def tile_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tu
 
 def _tile_solver(percent: int):
     def solve(table: pa.Table) -> pa.Table:
-        ids = table.column("set").to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
-        links = tile_links(ids, sets, percent)
+        apart = [np.frombuffer(x, np.uint64) for x in table.column("apart").to_pylist()]
+        links = tile_links(table.column("set").to_numpy(), table.column("size").to_numpy(), apart, percent)
         return pa.table({"u": pa.array([a for a, _ in links], pa.int64()), "v": pa.array([b for _, b in links], pa.int64())})
 
     return solve
 
 
+def _seen_from(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (set, shingles, base) to (set, size, apart); without a base a set is seen from the empty set."""
+    for batch in batches:
+        sizes, apart = [], []
+        for raw, base in zip(batch.column(1), batch.column(2), strict=True):
+            own = np.frombuffer(raw.as_py(), np.uint64)
+            sizes.append(len(own))
+            other = base.as_py()
+            apart.append(own if other is None else np.setxor1d(own, np.frombuffer(other, np.uint64), assume_unique=True))
+        out = [pa.array(sizes, pa.int64()), pa.array([x.tobytes() for x in apart], pa.binary())]
+        yield pa.record_batch([batch.column(0), *out], names=["set", "size", "apart"])
+
+
 def _solved(arrays: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     """Links in the tiles of placed(set, tiles)."""
-    spread = arrays.join(placed, "set").select(F.explode("tiles").alias("tile"), "set", "shingles")
+    spread = arrays.join(placed, "set").select(F.explode("tiles").alias("tile"), "set", "size", "apart")
     return pinned(spread.groupBy("tile").applyInArrow(_tile_solver(percent), "u bigint, v bigint"))
 
 
@@ -337,11 +354,19 @@ def _links(texts: DataFrame, sets: DataFrame, ties: DataFrame, n: int, percent:
     grouped = pinned(grouped)
     # the texts of these sets move once; their list grows with the corpus, so it is not broadcast at any size
     asked = grouped.select(F.col("set").alias("doc_id")).hint("merge")
-    arrays = pinned(texts.join(asked, "doc_id").mapInArrow(_arrays(n), "set bigint, shingles binary"))
+    whole = pinned(texts.join(asked, "doc_id").mapInArrow(_arrays(n), "set bigint, shingles binary"))
     sizes = grouped.groupBy("cluster").agg(F.count("*").alias("members"))
     small = with_group(grouped, sizes, "cluster", "members")
     one = small.where(F.col("members") <= BLOCK).select("set", F.array(F.col("cluster").cast("string")).alias("tiles"))
     large = pinned(small.where(F.col("members") > BLOCK).select("set", "cluster", "band"))
+    # members of a large cluster are much alike: they travel as what sets them apart from the cluster's first
+    parts = large.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    salted = large.select("set", "cluster").join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
+    first_ones = whole.join(parts.withColumnRenamed("cluster", "set"), "set")
+    copies = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    bases = first_ones.select(F.col("set").alias("cluster"), F.col("shingles").alias("base"), copies)
+    based = whole.join(salted.select("set", "cluster", "part"), "set", "left").join(bases, ["cluster", "part"], "left")
+    arrays = pinned(based.select("set", "shingles", "base").mapInArrow(_seen_from, "set bigint, size bigint, apart binary"))
     units = large.groupBy("cluster", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     here = F.broadcast(units)  # a row per BLOCK members at the most dense, a few bytes each
     before = F.broadcast(units.select("cluster", (F.col("band") + 1).alias("band"), F.col("blocks").alias("before")))
