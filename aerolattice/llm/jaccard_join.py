@@ -264,7 +264,9 @@ def _arrays(n: int):
         for batch in batches:
             data, places = flat(batch.column(1))
             found = [x.tobytes() for _, _, part, at in slices(data, places) for x in _sets(part, at, n)]
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=["set", "shingles"])
+            yield pa.record_batch(
+                [batch.column(0), batch.column(2), batch.column(3), pa.array(found, pa.binary())], names=["set", "cluster", "members", "shingles"]
+            )
 
     return make
 
@@ -315,17 +317,20 @@ def _tile_solver(percent: int):
     return solve
 
 
+SEEN = "cluster bigint, set bigint, size bigint, apart binary"
+
+
 def _seen_from(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (set, shingles, base) to (set, size, apart); without a base a set is seen from the empty set."""
+    """Rows (cluster, set, shingles, base) to SEEN; without a base a set is seen from the empty set."""
     for batch in batches:
         sizes, apart = [], []
-        for raw, base in zip(batch.column(1), batch.column(2), strict=True):
+        for raw, base in zip(batch.column(2), batch.column(3), strict=True):
             own = np.frombuffer(raw.as_py(), np.uint64)
             sizes.append(len(own))
             other = base.as_py()
             apart.append(own if other is None else np.setxor1d(own, np.frombuffer(other, np.uint64), assume_unique=True))
         out = [pa.array(sizes, pa.int64()), pa.array([x.tobytes() for x in apart], pa.binary())]
-        yield pa.record_batch([batch.column(0), *out], names=["set", "size", "apart"])
+        yield pa.record_batch([batch.column(0), batch.column(1), *out], names=["cluster", "set", "size", "apart"])
 
 
 def _solved(arrays: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
@@ -351,22 +356,25 @@ def _links(texts: DataFrame, sets: DataFrame, ties: DataFrame, n: int, percent:
     edges = F.array(*[F.lit(int(x)) for x in rule.edges if x < 1 << 31])
     band = F.size(F.filter(edges, lambda e: e <= F.col("n_shingles"))) - 1
     grouped = _labels(ties).withColumnRenamed("label", "cluster").join(sets, "set").withColumn("band", band)
-    grouped = pinned(grouped)
-    # the texts of these sets move once; their list grows with the corpus, so it is not broadcast at any size
-    asked = grouped.select(F.col("set").alias("doc_id")).hint("merge")
-    whole = pinned(texts.join(asked, "doc_id").mapInArrow(_arrays(n), "set bigint, shingles binary"))
     sizes = grouped.groupBy("cluster").agg(F.count("*").alias("members"))
-    small = with_group(grouped, sizes, "cluster", "members")
-    one = small.where(F.col("members") <= BLOCK).select("set", F.array(F.col("cluster").cast("string")).alias("tiles"))
-    large = pinned(small.where(F.col("members") > BLOCK).select("set", "cluster", "band"))
+    grouped = pinned(with_group(grouped, sizes, "cluster", "members"))
+    # the texts of these sets move once; their list grows with the corpus, so it is not broadcast at any size
+    asked = grouped.select(F.col("set").alias("doc_id"), "cluster", "members").hint("merge")
+    called = texts.join(asked, "doc_id").select("doc_id", "text", "cluster", "members")
+    whole = pinned(called.mapInArrow(_arrays(n), "set bigint, cluster bigint, members bigint, shingles binary"))
+    nothing = F.lit(None).cast("binary").alias("base")
+    alone = whole.where(F.col("members") <= BLOCK).select("cluster", "set", "shingles", nothing)
+    alone = alone.mapInArrow(_seen_from, SEEN).withColumn("tile", F.col("cluster").cast("string"))
+    small = pinned(alone.groupBy("tile").applyInArrow(_tile_solver(percent), "u bigint, v bigint"))
+    large = pinned(grouped.where(F.col("members") > BLOCK).select("set", "cluster", "band", "members"))
+    if large.isEmpty():
+        return small
     # members of a large cluster are much alike: they travel as what sets them apart from the cluster's first
-    parts = large.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    salted = large.select("set", "cluster").join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
-    first_ones = whole.join(parts.withColumnRenamed("cluster", "set"), "set")
-    copies = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    bases = first_ones.select(F.col("set").alias("cluster"), F.col("shingles").alias("base"), copies)
-    based = whole.join(salted.select("set", "cluster", "part"), "set", "left").join(bases, ["cluster", "part"], "left")
-    arrays = pinned(based.select("set", "shingles", "base").mapInArrow(_seen_from, "set bigint, size bigint, apart binary"))
+    crowd = whole.where(F.col("members") > BLOCK)
+    parts = F.ceil(F.col("members") / BLOCK).cast("int")
+    bases = crowd.where("set = cluster").select("cluster", F.col("shingles").alias("base"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    based = crowd.withColumn("part", F.pmod(F.xxhash64("set"), parts).cast("int")).join(bases, ["cluster", "part"])
+    arrays = pinned(based.select("cluster", "set", "shingles", "base").mapInArrow(_seen_from, SEEN).drop("cluster"))
     units = large.groupBy("cluster", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     here = F.broadcast(units)  # a row per BLOCK members at the most dense, a few bytes each
     before = F.broadcast(units.select("cluster", (F.col("band") + 1).alias("band"), F.col("blocks").alias("before")))
@@ -392,9 +400,7 @@ def _links(texts: DataFrame, sets: DataFrame, ties: DataFrame, n: int, percent:
             F.transform(down, lambda b: tile(F.col("band") - 1, b, F.lit("next"), F.lit("")))
         ),
     )
-    first = _solved(arrays, one.unionByName(blocked.select("set", near.alias("tiles"))), percent)
-    if large.isEmpty():
-        return first
+    first = _solved(arrays, blocked.select("set", near.alias("tiles")), percent)
     classes = large.join(_labels(first), "set", "left").withColumn("label", F.coalesce("label", "set"))
     counted = classes.groupBy("cluster", "label").agg(F.count("*").alias("held"))
     largest = counted.groupBy("cluster").agg(F.max(F.struct("held", "label"))["label"].alias("largest"))
@@ -402,7 +408,7 @@ def _links(texts: DataFrame, sets: DataFrame, ties: DataFrame, n: int, percent:
         with_group(classes, largest.withColumn("one", F.lit(1)), "cluster", "one").where("label <> largest").select("set")
     )
     if outside.isEmpty():
-        return first
+        return small.unionByName(first)
     apart = blocked.join(outside.withColumn("out", F.lit(True)), "set", "left")
     # the outside sets of a band in blocks of their own; every block of the band and its neighbours meets each of them
     rest = apart.where("out").groupBy("cluster", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rests"))
@@ -424,7 +430,7 @@ def _links(texts: DataFrame, sets: DataFrame, ties: DataFrame, n: int, percent:
     as_rest = F.transform(blocks_near, lambda x: tile(x["o"], x["p"], F.col("band"), F.col("own")))
     tiles = F.when(F.col("out"), F.array_union(as_block, as_rest)).otherwise(as_block)
     second = _solved(arrays, met.withColumn("own", own_rest).select("set", tiles.alias("tiles")), percent)
-    return first.unionByName(second)
+    return small.unionByName(first).unionByName(second)
 
 
 def jaccard_components(
