@@ -22,8 +22,8 @@ from aerolattice.llm.bytetext import BLANK, LOWER, U, columns, flat, mix, prefix
 from aerolattice.llm.labelled import fold
 from aerolattice.runtime import pinned, shuffle_width
 
-#: One in SHARE training documents takes part in gradient steps, in ROUNDS rounds; all of them are counted.
-SHARE, ROUNDS = 12, 3
+#: Every training document takes part in the gradient steps of one of so many rounds.
+ROUNDS = 3
 CHUNKS = 32
 #: Contexts of the byte model: three bytes before, hashed.
 CONTEXTS = 8192
@@ -245,7 +245,7 @@ def _others(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
 
 
 def _studied(vocabulary: Vocabulary):
-    """Byte counts of all training texts' other words, and the words of those that take part in gradient steps."""
+    """Byte counts of all training texts' other words, and the words of each text by the round that trains on it."""
 
     def study(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CONTEXTS * SYMBOLS, np.int64)
@@ -259,8 +259,7 @@ def _studied(vocabulary: Vocabulary):
                 code, _ = spelled(LOWER[part], *_others(ids, starts, ends)[:2])
                 counts += np.bincount(code, minlength=len(counts))
                 for i in range(first, end):
-                    if turn[i] < ROUNDS:
-                        out.append((int(turn[i]), TEXT, ids[begin[i - first] : begin[i - first + 1]].astype("<u2").tobytes()))
+                    out.append((int(turn[i]), TEXT, ids[begin[i - first] : begin[i - first + 1]].astype("<u2").tobytes()))
             yield from _rows(out)
         size = -(-len(counts) // CHUNKS)
         chunks = ((c, counts[c * size : (c + 1) * size]) for c in range(CHUNKS))
@@ -276,7 +275,7 @@ def _add(table: pa.Table) -> pa.Table:
 
 def _trained(p: gru.Parameters):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = [np.frombuffer(x, "<u2").astype(np.int64) for batch in batches for x in batch.column(2).to_pylist()]
+        texts = [np.frombuffer(x, "<u2") for batch in batches for x in batch.column(2).to_pylist()]
         if not texts:
             return
         new, tokens, loss = gru.train(p, texts)
@@ -372,7 +371,7 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, id_column: s
         best = sorted([*best, *found], key=lambda x: (-x[0], x[1]))[: gru.VOCABULARY - 2]
     vocabulary = Vocabulary(np.array([h for _, h in best], np.uint64), np.array([c for c, _ in best]))
     training = rows.where("NOT held_out")
-    turn = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(SHARE * ROUNDS)).cast("int")  # `ROUNDS` of them train
+    turn = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(ROUNDS)).cast("int")
     studied = training.select("text", turn.alias("turn")).mapInArrow(_studied(vocabulary), OUT)
     studied = pinned(studied)
 

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import uuid
 import zlib
 from collections import Counter
 
@@ -180,6 +181,23 @@ def test_training_learns_a_succession():
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def test_every_training_document_takes_gradient_steps(spark, tmp_path, monkeypatch):
+    trained = lm_scoring._trained
+
+    def noted(p):
+        def train(batches):
+            batches = list(batches)
+            (tmp_path / uuid.uuid4().hex).write_text(str(sum(batch.num_rows for batch in batches)))
+            yield from trained(p)(iter(batches))
+
+        return train
+
+    monkeypatch.setattr(lm_scoring, "_trained", noted)
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('word', id % 7, ' and word', id % 5) AS text")
+    held_out = lm_scoring.score_documents(docs).where("held_out").count()
+    assert sum(int(x.read_text()) for x in tmp_path.iterdir()) == 300 - held_out > 0
+
+
 def test_base_scores(messy, clashing, empty):
     tokens = [(i, [*re.findall(r"[^\x20\x09-\x0D]+", t.translate(FOLD)), None]) for i, t in PLAIN]
 
