@@ -7,10 +7,10 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Words of a class; the vocabulary is `CLASSES` such classes in order of frequency.
-PER_CLASS = 32
+PER_CLASS = 64
 CLASSES = 32
 VOCABULARY = CLASSES * PER_CLASS
-HIDDEN = 24
+HIDDEN = 32
 #: Steps between truncations. The state is carried on; gradients are not.
 WINDOW = 32
 BATCH = 48

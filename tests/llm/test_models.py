@@ -178,6 +178,14 @@ def test_training_learns_a_succession():
     assert gru.score(p, np.concatenate(words), places).sum() > 0.5 * before
 
 
+def test_model_tells_two_thousand_words_apart():
+    words = np.arange(2048)
+    p = gru.start(np.ones(gru.VOCABULARY))
+    p, tokens, _ = gru.train(p, [words])
+    states, _, _ = gru.forward(p, words[None], np.zeros((2048, gru.HIDDEN), np.float32), False)
+    assert tokens == 2048 and len(np.unique(states[0], axis=0)) == 2048 and gru.HIDDEN >= 32
+
+
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
