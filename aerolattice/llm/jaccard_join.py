@@ -121,13 +121,15 @@ def _set_maker(n: int, percent: int, counts: np.ndarray):
         for batch in batches:
             data, places = flat(batch.column(1))
             sizes, digests, keys, maps = [], [], [], []
-            for _, _, part, at in slices(data, places):
-                for shingles in _sets(part, at, n):
+            named = batch.column(0).is_valid().to_pylist()
+            for first, _, part, at in slices(data, places):
+                for row, shingles in enumerate(_sets(part, at, n), first):
                     sizes.append(len(shingles))
                     digest = hashlib.sha256(shingles.tobytes()).digest()[:16] if len(shingles) else None
                     digests.append(digest)
-                    new = digest is not None and digest not in seen
-                    seen.add(digest)
+                    new = digest is not None and named[row] and digest not in seen  # rows without id are dropped later
+                    if new:
+                        seen.add(digest)
                     keys.append(_rarest(shingles, counts, percent).tobytes() if new else None)  # once a task
                     maps.append(bitmap(shingles, bits_for(len(shingles))).tobytes() if new else None)
             out = [pa.array(sizes, pa.int64()), *[pa.array(x, pa.binary()) for x in (digests, keys, maps)]]

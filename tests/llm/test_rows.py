@@ -265,6 +265,13 @@ def test_jaccard_chains_through_large_clusters(spark, empty, monkeypatch):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_links_survive_a_copy_without_id(spark):
+    base = prose(1, 300)
+    rows = [(None, base), (1, base), (2, base + " tail"), (None, base)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    assert counted(jaccard_join.jaccard_components(docs), "doc_id", "component_id") == Counter({(None, None): 2, (1, 1): 1, (2, 1): 1})
+
+
 def test_bitmaps_bound_the_overlap_from_above():
     draw = np.random.RandomState(1)
     pool = draw.randint(0, 1 << 62, 900).astype(np.uint64)
