@@ -32,6 +32,7 @@ SENSITIVE = re.compile(
 )
 SENSITIVE_PARTS = ("pass", "pwd", "secret", "token", "key", "credential", "authorization", "bearer")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~.!@#$%^&*-]{12,}")
+LEAST = 12
 REACH = 48
 SURROUNDING = 256
 NOVEL = 0.75
@@ -109,12 +110,11 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
         return []
     found: dict[tuple[int, int], float] = {}
     for word in SENSITIVE.finditer(text):
-        stop = word.end() + REACH
-        for m in CANDIDATE.finditer(text, word.end(), min(len(text), stop + 512)):
-            a, b = m.span()
-            if a > stop:
-                break
-            string = m[0]
+        stop, at = word.end() + REACH, word.end()
+        # only where a string begins is limited; it runs to its true end
+        while m := CANDIDATE.search(text, at, min(len(text), stop + LEAST)):
+            a, at = m.start(), CANDIDATE.match(text, m.start()).end()
+            b, string = at, text[a:at]
             kinds = (any("0" <= c <= "9" for c in string), any("a" <= c <= "z" for c in string), any("A" <= c <= "Z" for c in string))
             if (a, b) in found or sum(kinds) < 2 or not kinds[0] or any(s < b and a < e for s, e, _ in base):
                 continue

@@ -176,6 +176,14 @@ def test_novel_strings_are_found_in_sensitive_context_only(spark):
     assert found[3].spans == base_text(texts[3]) or found[3].spans.startswith(base_text(texts[3]))
 
 
+def test_long_strings_end_where_they_end(spark):
+    draw = random.Random(5)
+    key = "".join(draw.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(2000))
+    rows = spark.createDataFrame([(1, "bearer " + key + " end"), (2, "credential, bearer " + key + " end")], "doc_id bigint, text string")
+    found = {r.doc_id: r.spans for r in secrets.secret_scan(rows, dictionary=b"end").collect()}
+    assert found == {1: "novel:7:2007", 2: "novel:19:2019"}
+
+
 def removed(rows, length):
     owner = {}
     for i, t in rows:
