@@ -8,6 +8,7 @@ names that the corpus knows add little, a key or a password adds about as many b
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -35,7 +36,13 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~.!@#$%^&*-]{12,}")
 LEAST = 12
 REACH = 48
 SURROUNDING = 256
-NOVEL = 0.75
+#: A string is novel if it adds so many bytes per byte, or so large a share of what random strings of its length and
+#: alphabet add in the same place. Short ones vary more, so several are drawn.
+NOVEL, NOVEL_SHARE = 0.75, 0.85
+DRAWN, DRAWN_ONCE = 4, 64
+#: A string is drawn from the union of the classes it uses, or from hexadecimal digits if it has no others.
+CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "+/_=~.!@#$%^&*-")
+HEXADECIMAL = ("0123456789abcdef", "0123456789ABCDEF")
 
 IDENTIFIER = re.compile(rb"[A-Za-z_][A-Za-z0-9_]{3,40}")
 DICTIONARY_BYTES = 1 << 16
@@ -90,6 +97,24 @@ class Novelty:
         near, own = around.encode("utf-8", "replace"), string.encode("utf-8", "replace")
         return (len(self.inner.compress(near + own)) - len(self.inner.compress(near))) / len(own)
 
+    def against_random(self, string: str, around: str) -> tuple[float, float]:
+        """Marginal bytes per byte of the string, and of random strings of its length and alphabet."""
+        near, own = around.encode("utf-8", "replace"), string.encode("utf-8", "replace")
+        bare = len(self.inner.compress(near))
+        draw, letters = random.Random(len(string)), alphabet(string)
+        times = DRAWN if len(string) < DRAWN_ONCE else 1
+        drawn = ["".join(draw.choices(letters, k=len(string))).encode() for _ in range(times)]
+        added = [(len(self.inner.compress(near + x)) - bare) / len(own) for x in (own, *drawn)]
+        return added[0], sum(added[1:]) / times
+
+
+def alphabet(string: str) -> str:
+    used = set(string)
+    for digits in HEXADECIMAL:
+        if used <= set(digits) and not used <= set(CLASSES[0]):
+            return digits
+    return "".join(x for x in CLASSES if used & set(x))
+
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind) in code points, leftmost and not overlapping within a kind."""
@@ -103,24 +128,40 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda x: (x[0], x[2]))
 
 
+def _without(a: int, b: int, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of a string outside the base spans, without those too short to be judged."""
+    for s, e, _ in base:
+        if e <= a or b <= s:
+            continue
+        if s - a >= LEAST:
+            yield a, s
+        a = max(a, e)
+    if b - a >= LEAST:
+        yield a, b
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, float]]:
     """Strings soon after a sensitive word that neither the surroundings nor the dictionary help to compress."""
     low = text.lower()
     if not any(x in low for x in SENSITIVE_PARTS):
         return []
     found: dict[tuple[int, int], float] = {}
+    measured: set[tuple[int, int]] = set()
+    covered = 0
     for word in SENSITIVE.finditer(text):
         stop, at = word.end() + REACH, word.end()
         # only where a string begins is limited; it runs to its true end
         while m := CANDIDATE.search(text, at, min(len(text), stop + LEAST)):
             a, at = m.start(), CANDIDATE.match(text, m.start()).end()
-            b, string = at, text[a:at]
-            kinds = (any("0" <= c <= "9" for c in string), any("a" <= c <= "z" for c in string), any("A" <= c <= "Z" for c in string))
-            if (a, b) in found or sum(kinds) < 2 or not kinds[0] or any(s < b and a < e for s, e, _ in base):
-                continue
-            score = novelty.of(string, text[max(0, a - SURROUNDING) : a] + text[b : b + SURROUNDING // 2])
-            if score >= NOVEL:
-                found[a, b] = score
+            for start, end in _without(a, at, base):
+                if (start, end) in measured or start < covered:  # inside a string that is found already
+                    continue
+                measured.add((start, end))
+                around = text[max(0, start - SURROUNDING) : start] + text[end : end + SURROUNDING // 2]
+                score, by_chance = novelty.against_random(text[start:end], around)
+                if score >= min(NOVEL, NOVEL_SHARE * by_chance):
+                    found[start, end] = score
+                    covered = max(covered, end)
     last, out = 0, []
     for (a, b), score in sorted(found.items()):
         if a >= last:

@@ -184,6 +184,28 @@ def test_long_strings_end_where_they_end(spark):
     assert found == {1: "novel:7:2007", 2: "novel:19:2019"}
 
 
+def test_novelty_is_measured_for_every_alphabet_and_beside_base_spans():
+    novelty, missed = secrets.Novelty(b"end"), []
+    near = prose(3, 30)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for size in (12, 40, 64, 128, 384):
+        for kind in ("0123456789ABCDEF", letters, letters + "0123456789+/", letters[:26]):
+            for k in range(20):
+                key = "".join(random.Random(k).choices(kind, k=size))
+                text = near + " bearer " + key + " " + near
+                base = secrets.base_spans(text)
+                spans = secrets.novel_spans(text, base, novelty)
+                if not base and [x[:2] for x in spans] != [(len(near) + 8, len(near) + 8 + size)]:
+                    missed.append((size, kind, k))
+    assert all(size == 12 for size, _, _ in missed) and len(missed) <= 8  # short ones vary
+    key = "Qx" + letters[::-3] + "0123456789abcdef" + letters[::-5] + "GhJkWz"
+    text = "bearer " + key + " end"
+    base = secrets.base_spans(text)
+    spans = [x[:2] for x in secrets.novel_spans(text, base, novelty)]
+    (start, end, _), = base
+    assert spans == [(7, start), (end, 7 + len(key))]
+
+
 def removed(rows, length):
     owner = {}
     for i, t in rows:
