@@ -131,7 +131,7 @@ def _postings(terms: np.ndarray, wanted: np.ndarray):
                 hit, term, doc = hit[order], term[order], doc[order]
                 edge = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])]) if len(hit) else hit
                 spots = (hit - starts[doc]).astype("<i4").tobytes()
-                ends = np.append(edge[1:], len(hit))
+                ends = np.append(edge[1:], len(hit))[: len(edge)]  # none without a hit
                 term_rows.append(back[term[edge]].astype(np.int32))
                 doc_rows.append(doc[edge] + first)
                 lists += [spots[4 * a : 4 * b] for a, b in zip(edge.tolist(), ends.tolist(), strict=True)]
@@ -214,11 +214,12 @@ def _verifier(block: Block):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, places = flat(batch.column(1))
-            counts, spans, names = [], [], []
+            counts, spans, names, digests = [], [], [], []
             for first, end, part, at in slices(data, places):
                 hashes, starts = word_hashes(part, at, NOT_ALNUM)
                 counts += np.diff(starts).tolist()
                 for row in range(first, end):
+                    digests.append(hashlib.sha256(part[at[row - first] : at[row - first + 1]].tobytes()).digest())
                     asked = batch.column(2)[row].as_py() or []
                     words = hashes[starts[row - first] : starts[row - first + 1]]
                     found, items = [], set()
@@ -233,15 +234,13 @@ def _verifier(block: Block):
                     spans.append([{"start": a, "end": b} for a, b in sorted(set(found))])
                     names.append(sorted(block.ids[i] for i in items))
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.record_batch(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(names, pa.list_(pa.string()))],
-                names=["doc_id", "n_words", "spans", "items"],
-            )
+            found = [pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(names, pa.list_(pa.string())), pa.array(digests, pa.binary())]
+            yield pa.record_batch([batch.column(0), *found], names=["doc_id", "n_words", "spans", "items", "digest"])
 
     return verify
 
 
-MATCHES = "doc_id bigint, n_words bigint, spans array<struct<start:int,end:int>>, items array<string>"
+MATCHES = "doc_id bigint, n_words bigint, spans array<struct<start:int,end:int>>, items array<string>, digest binary"
 
 
 def _named(docs: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -258,7 +257,8 @@ def phrase_matches(
     item_id: str = "item_id",
     item_text: str = "text",
 ) -> DataFrame:
-    """For every document and block of items: doc_id, n_words, spans of words in occurring windows, items that occur.
+    """For every document and block of items: doc_id, n_words, spans of words in occurring windows, items that occur,
+    digest of the text, number of the block from 0.
 
     A window is `size` consecutive words of an item, or all words of a shorter item. Null texts have no words; an empty
     benchmark gives each document once, without spans. Documents that share an id, or have none, are each matched by
@@ -266,7 +266,7 @@ def phrase_matches(
     """
     rows = _named(docs, id_column, text)
     found = None
-    for block in blocks(benchmark, item_id, item_text, size):
+    for number, block in enumerate(blocks(benchmark, item_id, item_text, size)):
         picks = block.picks(term_counts(rows.select("text"), block.terms))
         rank = np.searchsorted(block.terms, block.words)
         wanted = np.zeros(len(block.terms), bool)
@@ -275,12 +275,12 @@ def phrase_matches(
         asked = candidates(build_index(rows, block.terms, wanted), block, picks)
         per_doc = asked.groupBy(F.col("doc_id").alias("_asked")).agg(F.collect_list(F.struct("item", "diagonal", "windows")).alias("_asks"))
         joined = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_asked")), "left").select("doc_id", "text", "_asks")
-        here = joined.mapInArrow(_verifier(block), MATCHES)
+        here = joined.mapInArrow(_verifier(block), MATCHES).withColumn("block", F.lit(number))
         found = here if found is None else found.unionByName(here)
     if found is None:
         empty = Block([], np.zeros(0, np.uint64), np.zeros(1, np.int64), size)
         asks = F.lit(None).cast("array<struct<item:int,diagonal:int,windows:array<int>>>")
-        found = rows.withColumn("_asks", asks).mapInArrow(_verifier(empty), MATCHES)
+        found = rows.withColumn("_asks", asks).mapInArrow(_verifier(empty), MATCHES).withColumn("block", F.lit(0))
     return found
 
 
@@ -312,14 +312,18 @@ JUDGED = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (a twentieth of the words or more is hit).
 
-    See `phrase_matches` for nulls and repeats. If the benchmark needs several blocks, documents are taken together by
-    their id, which then has to be unique.
+    See `phrase_matches` for nulls and repeats. Each row is judged by its own text, however many blocks the benchmark needs.
     """
     total = columns(benchmark, "text").agg(F.sum(F.octet_length("text"))).first()[0] or 0
     found = phrase_matches(docs, benchmark, size, id_column, text)
+    names = ["doc_id", "n_words", "spans", "items"]
     if total >= BLOCK_WORDS:  # each word has a byte at least, so fewer bytes are one block
-        merged = found.groupBy("doc_id").agg(
-            F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")), F.flatten(F.collect_list("items"))
+        # rows that repeat id and text are found alike in each block, so sets do not grow with them
+        merged = found.groupBy("doc_id", "digest").agg(
+            F.max("n_words").alias("n_words"),
+            F.flatten(F.collect_set("spans")).alias("spans"),
+            F.flatten(F.collect_set("items")).alias("items"),
+            F.count_if(F.col("block") == 0).cast("int").alias("copies"),
         )
-        found = merged.toDF("doc_id", "n_words", "spans", "items")
-    return found.mapInArrow(_judge, JUDGED)
+        found = merged.select(*names, F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
+    return found.select(*names).mapInArrow(_judge, JUDGED)

@@ -361,3 +361,14 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     )
     names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert counted(found, *names) == contaminated(rows, items)
+
+
+def test_rows_keep_their_own_text_in_blocks(spark, monkeypatch):
+    items = [(f"i{k}", prose(k, 40)) for k in (2, 3, 5, 6, 90, 91)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    rows = [*PLAIN, (1, prose(5, 60)), (None, prose(3, 50)), (None, prose(3, 50))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for block in (decontamination.BLOCK_WORDS, 1000, 60):
+        monkeypatch.setattr(decontamination, "BLOCK_WORDS", block)
+        assert counted(decontamination.contamination(docs, bench), *names) == contaminated(rows, items)
