@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolattice.llm import decontamination, exact_dedup, jaccard_join, lm_scoring, lpf_dedup, packing, quality, secrets, toxicity
+from aerolattice.llm import (
+    decontamination,
+    exact_dedup,
+    filter_audit,
+    jaccard_join,
+    lm_scoring,
+    lpf_dedup,
+    packing,
+    quality,
+    secrets,
+    toxicity,
+)
 from aerolattice.llm.bytetext import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +121,43 @@ def op3_suffix_array_dedup(spark, sf_dir):
 @query
 def op9_lm_scoring(spark, sf_dir):
     return lm_scoring.score_documents(documents(spark, sf_dir))
+
+
+@query
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+ORACLES["op11_filter_audit"] = """
+WITH label AS (
+  SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+plain AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+judged AS (
+  SELECT doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+  FROM plain LEFT JOIN label USING (doc_id)),
+kinds AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM judged GROUP BY ALL),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, s::INT AS step, filter_order[s] AS f, filter_order[:s - 1] AS earlier FROM orders, range(1, 6) AS r(s)),
+told AS (
+  SELECT part, filter_order, step, f, n, n_good, n_toxic, contains(fails, f) AS hit,
+         length(regexp_replace(fails, '[^' || earlier || '0]', '', 'g')) > 0 AS gone, fails = f AS alone
+  FROM kinds, steps),
+tallied AS (
+  SELECT part, filter_order, step, f,
+         coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT gone AND hit), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (gone AND hit), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails,
+         coalesce(sum(n_good) FILTER (NOT gone AND hit), 0)::BIGINT AS good_lost,
+         coalesce(sum(n_toxic) FILTER (NOT gone AND hit), 0)::BIGINT AS toxic_lost
+  FROM told GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM tallied"""
