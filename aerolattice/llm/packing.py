@@ -8,6 +8,7 @@ planned slot with its rank among the pieces of its length.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +29,12 @@ PIECES_ARROW = pa.schema(
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Texts with a longer run of blanks go to `tokenizers`: the pattern takes back a run step by step, and tiktoken's matcher
+#: keeps its steps on the stack.
+MOST_BLANKS = 50_000
+BLANKS = re.compile(r"\s{2,}")
+
+
 def _merge_ranks(path: str) -> dict[bytes, int] | None:
     """The vocabulary as byte strings, or None if its ids are not the order in which its merges apply."""
     with open(path, encoding="utf-8") as f:
@@ -44,36 +51,43 @@ class TextTokenizer:
     """Token ids of whole texts under a byte-level vocabulary, as the `tokenizers` library gives them.
 
     Where the vocabulary's merges apply in the order of their ids, the same merges are run by tiktoken, which is some ten
-    times faster. A text that holds one of the vocabulary's special tokens is given to `tokenizers`.
+    times faster. A text that holds one of the vocabulary's special tokens or a very long run of blanks is given to
+    `tokenizers`. If `plain`, strings of special tokens within texts are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         import tiktoken
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.inner.get_added_tokens_decoder().values()]
+        special = [t.content for t in self.inner.get_added_tokens_decoder().values()]
+        self.inner.encode_special_tokens = plain
+        self.special = [] if plain else special
         ranks = _merge_ranks(path)
         self.fast = None
         if ranks:
-            ranks = {k: n for k, n in ranks.items() if k not in {x.encode() for x in self.special}}
+            ranks = {k: n for k, n in ranks.items() if k not in {x.encode() for x in special}}
             self.fast = tiktoken.Encoding("merges", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @staticmethod
+    def _far_blank(text: str) -> bool:
+        return len(text) > MOST_BLANKS and any(m.end() - m.start() > MOST_BLANKS for m in BLANKS.finditer(text))
+
     def encode(self, text: str) -> np.ndarray:
-        if self.fast is None or any(x in text for x in self.special):
+        if self.fast is None or any(x in text for x in self.special) or self._far_blank(text):
             ids = self.inner.encode(text, add_special_tokens=False).ids
         else:
             ids = self.fast.encode_ordinary(text)
         return np.array(ids, dtype="<u4")
 
 
-_tokenizers: dict[str, TextTokenizer] = {}
+_tokenizers: dict[tuple[str, bool], TextTokenizer] = {}
 
 
-def tokenizer(path: str) -> TextTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = TextTokenizer(path)
-    return _tokenizers[path]
+def tokenizer(path: str, plain: bool = False) -> TextTokenizer:
+    if (path, plain) not in _tokenizers:
+        _tokenizers[path, plain] = TextTokenizer(path, plain)
+    return _tokenizers[path, plain]
 
 
 def _cutter(path: str, end_id: int, room: int):

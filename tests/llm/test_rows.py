@@ -372,3 +372,9 @@ def test_rows_keep_their_own_text_in_blocks(spark, monkeypatch):
     for block in (decontamination.BLOCK_WORDS, 1000, 60):
         monkeypatch.setattr(decontamination, "BLOCK_WORDS", block)
         assert counted(decontamination.contamination(docs, bench), *names) == contaminated(rows, items)
+
+
+def test_tokenizer_takes_very_long_blank_runs():
+    t = packing.tokenizer(byte_bpe())
+    for text in (" " * 1_000_000, "\n" * 1_000_000, "a" + " " * 60_000 + "b", "a" + " " * 40_000 + "b"):
+        assert t.encode(text).tolist() == t.inner.encode(text, add_special_tokens=False).ids
