@@ -17,6 +17,7 @@ from aerolattice.llm import (
     packing,
     quality,
     secrets,
+    token_alignment,
     toxicity,
 )
 from aerolattice.llm.bytetext import documents
@@ -161,3 +162,14 @@ tallied AS (
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
        (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
 FROM tallied"""
+
+
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query
+def op12_token_alignment(spark, sf_dir):
+    return token_alignment.alignment(documents(spark, sf_dir), byte_bpe(), piece_model())
