@@ -11,6 +11,7 @@ from aerolattice.llm import (
     decontamination,
     exact_dedup,
     filter_audit,
+    html_extraction,
     jaccard_join,
     lm_scoring,
     lpf_dedup,
@@ -173,3 +174,20 @@ def piece_model() -> str:
 @query
 def op12_token_alignment(spark, sf_dir):
     return token_alignment.alignment(documents(spark, sf_dir), byte_bpe(), piece_model())
+
+
+@query
+def op13_html_extraction(spark, sf_dir):
+    return html_extraction.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+#: For pages that declare their article, as all of the tables do, and the references that stand in it.
+ORACLES["op13_html_extraction"] = """
+WITH split AS (
+  SELECT page_id, url, string_split_regex(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</?(p|h1)>') AS pieces FROM pages),
+plain AS (
+  SELECT page_id, url, list_transform(pieces, lambda x: trim(regexp_replace(
+    replace(replace(replace(replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'),
+      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g'))) AS found FROM split),
+joined AS (SELECT page_id, url, array_to_string(list_filter(found, lambda x: x <> ''), chr(10)) AS text FROM plain)
+SELECT page_id, url, text, length(text) AS n_chars FROM joined"""
