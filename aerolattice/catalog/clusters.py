@@ -12,14 +12,13 @@ from aerolattice.catalog import fixtures as fx
 from aerolattice.catalog.geometry import r6, s6
 from aerolattice.catalog.registry import c, num, query
 from aerolattice.functions import hexmath as hx
-from aerolattice.operators import cluster
+from aerolattice.operators import cluster, hierarchy
 from aerolattice.runtime import pinned
 
 # Start widths of the neighbour search, and the link length at which clusters are cut.
 BASE = 64.0
 CUT = 250.0
 SITE_BASE = 256.0
-SITE_CUT = 400.0
 
 POINTS_SQL = f"""SELECT label AS zone, vec_id AS id, round(CAST(embedding[1] AS DOUBLE) * {num(10000)}, 3) + 0e0 AS x,
        round(CAST(embedding[2] AS DOUBLE) * {num(10000)}, 3) + 0e0 AS y FROM embeddings"""
@@ -61,21 +60,21 @@ ROUND_SQL = "\n".join(
     f", m{k} AS (SELECT a.zone, a.u, b.v, min(greatest(a.n, b.n)) AS n FROM m{k - 1} a JOIN m{k - 1} b ON a.zone = b.zone AND a.v = b.u GROUP BY ALL)"
     for k in range(1, 7)
 )
-TREE_SQL = f"""WITH p AS ({POINTS_SQL}), core AS ({CORE_SQL}),
+TREE_TABLES = f"""p AS ({POINTS_SQL}), core AS ({CORE_SQL}),
 link AS (SELECT a.zone, a.id AS u, b.id AS v, greatest(ca.core, cb.core, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS w
          FROM p a JOIN p b ON a.zone = b.zone AND a.id < b.id JOIN core ca ON ca.id = a.id JOIN core cb ON cb.id = b.id),
 ranked AS (SELECT *, row_number() OVER (ORDER BY w, u, v) AS n FROM link),
 m0 AS (SELECT zone, u, v, n FROM ranked UNION ALL SELECT zone, v, u, n FROM ranked UNION ALL SELECT zone, id, id, 0 FROM p)
 {ROUND_SQL}
-SELECT r.u, r.v, round(r.w, 6) + 0e0 AS w FROM ranked r JOIN m6 ON m6.u = r.u AND m6.v = r.v AND m6.n = r.n"""
+, edge AS MATERIALIZED (SELECT r.zone, r.n, r.w, r.u, r.v FROM ranked r JOIN m6 ON m6.u = r.u AND m6.v = r.v AND m6.n = r.n)"""
 
 
-@query("mutual_reach_mst", TREE_SQL)
+@query("mutual_reach_mst", f"WITH {TREE_TABLES} SELECT u, v, {s6('w', 'w')} FROM edge")
 def mutual_reach_mst(spark, d):
     return cluster.mutual_reach_tree(points(spark, d), 2, BASE).select("u", "v", r6(c.w, "w"))
 
 
-LABELS_SQL = f"""WITH RECURSIVE p AS ({POINTS_SQL}), core AS ({CORE_SQL}),
+CUT_SQL = f"""WITH RECURSIVE p AS ({POINTS_SQL}), core AS ({CORE_SQL}),
 link AS (SELECT a.id AS u, b.id AS v FROM p a JOIN p b ON a.zone = b.zone AND a.id <> b.id JOIN core ca ON ca.id = a.id JOIN core cb ON cb.id = b.id
          WHERE greatest(ca.core, cb.core, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) <= {num(CUT)}),
 walk(id, root) AS (SELECT id, id FROM p UNION SELECT link.v, walk.root FROM walk JOIN link ON link.u = walk.id),
@@ -83,17 +82,61 @@ named AS (SELECT id, min(root) AS label FROM walk GROUP BY id)
 SELECT p.zone, p.id, CASE WHEN count(*) OVER (PARTITION BY label) >= 2 THEN label ELSE -1 END AS label FROM p JOIN named ON named.id = p.id"""
 
 
-@query("density_labels", LABELS_SQL)
-def density_labels(spark, d):
+@query("cut_labels", CUT_SQL)
+def cut_labels(spark, d):
     at = points(spark, d)
     return cluster.cut_labels(at, cluster.mutual_reach_tree(at, 2, BASE), CUT, 2)
 
 
+# Every link of the tree is a node whose members are reached by no later link; a node of two nodes (none is smaller than a
+# cluster here) is a split. Masses are found from the leaves of the cluster tree upwards, the selection from its root down.
+LABELS_SQL = f"""WITH RECURSIVE {TREE_TABLES},
+node AS MATERIALIZED (SELECT e.n, e.w, e.u, count(*) AS size FROM edge e JOIN m6 ON m6.u = e.u AND m6.n <= e.n GROUP BY ALL),
+above AS (SELECT a.n, min(b.n) AS up FROM node a JOIN m6 ON m6.u = a.u JOIN edge b ON b.u = m6.v AND b.n > a.n AND m6.n <= b.n GROUP BY a.n),
+kids AS (SELECT up AS n, count(*) AS big, sum(size) AS inside FROM node JOIN above USING (n) GROUP BY up),
+whole AS MATERIALIZED (
+  SELECT n, w, size, up, coalesce(big = 2, false) AS split, CASE WHEN big = 2 THEN size ELSE size - coalesce(inside, 0) END AS shed
+  FROM node LEFT JOIN above USING (n) LEFT JOIN kids USING (n)),
+run(n, top) AS (
+  SELECT w.n, w.n FROM whole w LEFT JOIN whole u ON u.n = w.up WHERE u.n IS NULL OR u.split
+  UNION ALL SELECT w.n, run.top FROM run JOIN whole o ON o.n = run.n AND NOT o.split JOIN whole w ON w.up = run.n),
+born AS (SELECT t.n AS top, t.up, coalesce(1 / u.w, 0) AS at FROM whole t LEFT JOIN whole u ON u.n = t.up),
+found AS MATERIALIZED (
+  SELECT run.top AS k, any_value(o.top) AS parent, sum(CASE WHEN w.w <= 0 THEN shed ELSE 0 END) AS zero,
+         sum(CASE WHEN w.w <= 0 THEN 0 ELSE shed * (1 / w.w - born.at) END) AS mass
+  FROM run JOIN whole w USING (n) JOIN born USING (top) LEFT JOIN run o ON o.n = born.up GROUP BY run.top),
+solved(i, k, parent, zero, mass, wins, bz, bm) AS (
+  SELECT 0, k, parent, zero, mass, CAST(NULL AS BOOLEAN), CAST(NULL AS HUGEINT), CAST(NULL AS DOUBLE) FROM found
+  UNION ALL
+  SELECT s.i + 1, s.k, s.parent, s.zero, s.mass,
+         CASE WHEN s.wins IS NOT NULL THEN s.wins WHEN c.k IS NULL THEN true WHEN c.waiting = 0 THEN s.zero > c.z OR (s.zero = c.z AND s.mass >= c.m - 1e-9 * (abs(s.mass) + abs(c.m))) END,
+         CASE WHEN s.wins IS NOT NULL THEN s.bz WHEN c.k IS NULL THEN s.zero WHEN c.waiting = 0 THEN greatest(s.zero, c.z) END,
+         CASE WHEN s.wins IS NOT NULL THEN s.bm WHEN c.k IS NULL THEN s.mass
+              WHEN c.waiting = 0 THEN CASE WHEN s.zero > c.z THEN s.mass WHEN s.zero < c.z THEN c.m ELSE greatest(s.mass, c.m) END END
+  FROM solved s LEFT JOIN (SELECT parent AS k, sum(bz) AS z, sum(bm) AS m, count(*) FILTER (wins IS NULL) AS waiting FROM solved GROUP BY parent) c ON c.k = s.k
+  WHERE (SELECT count(*) FROM solved WHERE wins IS NULL) > 0),
+judged AS (SELECT k, parent, bool_or(wins) AS wins FROM solved GROUP BY k, parent),
+pick(k, chosen) AS (
+  SELECT k, CAST(NULL AS BIGINT) FROM judged WHERE parent IS NULL
+  UNION ALL SELECT j.k, coalesce(pick.chosen, CASE WHEN j.wins THEN j.k END) FROM pick JOIN judged j ON j.parent = pick.k),
+held AS (SELECT id, min(n) AS n FROM (SELECT u AS id, n FROM edge UNION ALL SELECT v, n FROM edge) GROUP BY id),
+named AS (SELECT id, min(id) OVER (PARTITION BY chosen) AS label FROM held JOIN run USING (n) JOIN pick ON pick.k = run.top WHERE chosen IS NOT NULL)
+SELECT p.zone, p.id, coalesce(label, -1) AS label FROM p LEFT JOIN named USING (id)"""
+
+
+def labels(at, base):
+    return hierarchy.density_labels(at, cluster.mutual_reach_tree(at, 2, base), 2)
+
+
+@query("density_labels", LABELS_SQL)
+def density_labels(spark, d):
+    return labels(points(spark, d), BASE)
+
+
 @query("fit_zone", f"SELECT zone, label, count(*) AS n, {s6('avg(x)', 'cx')}, {s6('avg(y)', 'cy')} FROM ({LABELS_SQL}) JOIN ({POINTS_SQL}) USING (zone, id) WHERE label <> -1 GROUP BY zone, label")
 def fit_zone(spark, d):
     at = points(spark, d)
-    labels = cluster.cut_labels(at, cluster.mutual_reach_tree(at, 2, BASE), CUT, 2)
-    found = cluster.centroids(cluster.zone_members(at, labels, 2))
+    found = cluster.centroids(cluster.zone_members(at, labels(at, BASE), 2))
     return found.select("zone", "label", "n", r6(c.cx, "cx"), r6(c.cy, "cy"))
 
 
@@ -101,8 +144,7 @@ def fit_zone(spark, d):
 def zone_clusters(spark, d):
     """Heliport clusters as MAV and vertiport clusters as UAV zones."""
     at = pinned(site_points(spark, d))
-    labels = cluster.cut_labels(at, cluster.mutual_reach_tree(at, 2, SITE_BASE), SITE_CUT, 2)
-    found = cluster.centroids(cluster.zone_members(at, labels, 2))
+    found = cluster.centroids(cluster.zone_members(at, labels(at, SITE_BASE), 2))
     kind = F.when(c.zone == 0, "MAV").otherwise("UAV")
     return found.select(kind.alias("zone_type"), "label", "n", r6(c.cx, "cx"), r6(c.cy, "cy"))
 

@@ -15,22 +15,17 @@ from pyspark.sql import functions as F
 from aerolattice.runtime import pinned, release
 
 
-def _to_roots(parents: DataFrame) -> DataFrame:
+def to_roots(parents: DataFrame) -> DataFrame:
     """Follow `p` from every `c` until it no longer moves; three doublings per written table."""
     old = None
     while True:
-        before = parents.select("c", "p", F.col("p").alias("was"))
         jumped = parents.select("c", "p")
         for _ in range(2):
             jumped = _jump(jumped, jumped)
-        followed = before.join(jumped.select(F.col("c").alias("p"), F.col("p").alias("pp")), "p", "left")
-        settled = pinned(
-            followed.select("c", F.coalesce("pp", "p").alias("p"), (F.coalesce("pp", "p") != F.col("was")).alias("moved"))
-        )
-        parents = settled.select("c", "p")
+        parents = pinned(_jump(parents.select("c", "p"), jumped))
         release(*[old] if old else [])
-        old = settled
-        if settled.where("moved").isEmpty():
+        old = parents
+        if parents.join(parents.select(F.col("c").alias("p"), F.col("p").alias("pp")), "p").where("pp <> p").isEmpty():
             return parents
 
 
@@ -59,7 +54,7 @@ def minimum_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         back = picked.select(F.col("c").alias("o"), F.col("o").alias("oo"))
         mutual = (F.col("oo") == F.col("c")) & (F.col("c") < F.col("o"))
         parents = picked.select("c", "o").join(back, "o").select("c", F.when(mutual, F.col("c")).otherwise(F.col("o")).alias("p"))
-        roots = _to_roots(parents)
+        roots = to_roots(parents)
         hops.append(roots)
         renamed = (
             live.join(roots.select(F.col("c").alias("cu"), F.col("p").alias("ru")), "cu")
