@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolattice.llm import gru
-from aerolattice.llm.bytetext import BLANK, LOWER, U, columns, flat, mix, prefix_hashes, slices, span_hashes, words
+from aerolattice.llm.bytetext import BLANK, LOWER, U, byte_hashes, columns, flat, mix, slices, words
 from aerolattice.llm.labelled import fold
 from aerolattice.runtime import pinned, shuffle_width
 
@@ -47,7 +47,7 @@ def _tokens(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Word hashes with an end after each text, places of each text's first, and starts and ends of the words."""
     low = LOWER[data]
     starts, ends, at = words(low, places, BLANK)
-    hashes = span_hashes(prefix_hashes(low), starts, ends)
+    hashes = byte_hashes(low, starts, ends)
     owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
     out = np.full(len(hashes) + len(at) - 1, END)
     out[np.arange(len(hashes)) + owner] = hashes

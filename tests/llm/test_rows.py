@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from llm.conftest import messy_rows, prose
 
-from aerolattice.llm import decontamination, exact_dedup, jaccard_join, lpf_dedup, packing, secrets
+from aerolattice.llm import bytetext, decontamination, exact_dedup, jaccard_join, lpf_dedup, packing, secrets
 from aerolattice.llm.queries import byte_bpe
 
 PLAIN = [(i, t or "") for i, t, *_ in messy_rows()]
@@ -378,3 +378,32 @@ def test_tokenizer_takes_very_long_blank_runs():
     t = packing.tokenizer(byte_bpe())
     for text in (" " * 1_000_000, "\n" * 1_000_000, "a" + " " * 60_000 + "b", "a" + " " * 40_000 + "b"):
         assert t.encode(text).tolist() == t.inner.encode(text, add_special_tokens=False).ids
+
+
+def twins():
+    """Two words of 1,024 letters that any sum of powers modulo 2^64 gives one hash."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_collide_by_construction_stay_apart(spark):
+    one, two = twins()
+    docs = spark.createDataFrame([(1, f"x {one} y z"), (2, f"x {two} y z"), (3, one), (4, two)], "doc_id bigint, text string")
+    groups = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()}
+    assert groups == {1: 1, 2: 2, 3: 3, 4: 4}
+    test = spark.createDataFrame([("t", one)], "item_id string, text string")
+    assert {r.doc_id: r.n_hit for r in decontamination.contamination(docs, test).collect()} == {1: 1, 2: 0, 3: 1, 4: 0}
+
+
+def test_byte_hashes_name_their_bytes():
+    draw = random.Random(3)
+    parts = [bytes(draw.randrange(3) for _ in range(n)) for n in [*range(0, 140), 8, 8, 16, 64, 65, 5000] for _ in range(8)] + [b"", b"\0", b"\0" * 8, b"\0" * 9]
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    ends = np.cumsum([len(p) for p in parts])
+    hashes = bytetext.byte_hashes(data, ends - [len(p) for p in parts], ends)
+    named = {}
+    for part, value in zip(parts, hashes.tolist(), strict=True):
+        assert named.setdefault(part, value) == value
+    assert len(set(named.values())) == len(named)
