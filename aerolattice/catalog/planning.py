@@ -261,25 +261,23 @@ walk(aq, ar, q, r, d) AS (SELECT DISTINCT aq, ar, aq, ar, 0 FROM pair JOIN open
 found AS (SELECT p.aq, p.ar, p.bq, p.br, min(d) AS d FROM pair p JOIN walk w ON w.aq = p.aq AND w.ar = p.ar AND w.q = p.bq AND w.r = p.br GROUP BY ALL)"""
 
 
-COARSE_LEGS = """SELECT DISTINCT q AS aq, r AS ar, bq, br FROM (
-  SELECT q, r, lead(q) OVER (ORDER BY feature_id) AS bq, lead(r) OVER (ORDER BY feature_id) AS br FROM placed_coarse WHERE layer = 'vertiport')
-  WHERE bq IS NOT NULL AND (bq <> q OR br <> r)"""
+LEGS = "SELECT DISTINCT aq, ar, bq, br FROM legs"
 
 
 @query(
     "shortest_path",
     with_views(
-        "coarse placed_coarse dirs",
+        "g0v legs dirs",
         "SELECT aq, ar, bq, br, d * 2e0 AS cost, d + 1 AS num_cells FROM found",
-        recursive="open AS (SELECT q, r FROM coarse EXCEPT SELECT q, r FROM placed_coarse WHERE layer = 'heliport'), " + search_sql(COARSE_LEGS, 60),
+        recursive="open AS (SELECT q, r FROM g0v), " + search_sql(LEGS, 160),
     ),
 )
 def shortest_path(spark, d):
     """Cost of the cheapest path between consecutive vertiports."""
-    site = fx.Site(spark, d, COARSE)
+    site = fx.Site(spark, d)
     legs = site.paths().select(F.element_at("cells", 1).alias("a"), F.element_at("cells", -1).alias("b"))
     ends = legs.select(F.col("a.q").alias("aq"), F.col("a.r").alias("ar"), F.col("b.q").alias("bq"), F.col("b.r").alias("br"))
-    return routing.shortest_paths(ends, site.vertices()).select("aq", "ar", "bq", "br", r6(c.cost, "cost"), F.size("cells").alias("num_cells"))
+    return routing.shortest_paths(ends.where("aq <> bq OR ar <> br"), site.vertices()).select("aq", "ar", "bq", "br", r6(c.cost, "cost"), F.size("cells").alias("num_cells"))
 
 
 @query(

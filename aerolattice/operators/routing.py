@@ -1,9 +1,13 @@
 """Shortest paths for many terminal pairs at once.
 
-All sources advance together: a state row (source, cell) holds the best cost so far and the directions walked, one
-character per hop, so the path is known on arrival and no walk back is needed. A source stops growing when no
-frontier row can still improve one of its targets. Several hops are planned at a time, because the state is written
-once per turn and not once per hop; all but the last hop's states have then been grown already.
+No path is cheaper than its ends' distance in hops times the cheapest step. Pairs whose two straight runs cost just that
+are answered by looking at those cells alone. All other pairs are searched within a bound: a state is only grown if it may
+still reach one of its targets for that bound, so states stay in a narrow ellipse around the pair. Pairs that the bound is
+too small for are searched again within a wider one.
+
+A state row (source, group of targets, cell) holds the best cost so far and the directions walked, one character per hop,
+so the path is known on arrival and no walk back is needed. Several hops are planned at a time. States that no frontier
+row can improve any more are set down once and not written again.
 """
 
 from __future__ import annotations
@@ -20,9 +24,15 @@ from aerolattice.runtime import pinned
 
 PAIR = ["aq", "ar", "bq", "br"]
 SOURCE = ["aq", "ar"]
-# Hops per written state, and the number of hops after which unreachable pairs are looked for.
+STATE = [*SOURCE, "group", "q", "r"]
+# Hops per written state, and targets of one source that are searched for together.
 HOPS = 3
-PATIENCE = 12
+TARGETS = 32
+# Steps of average cost that a path may cost beyond its straight runs in the first search, and how much more in each further one.
+SLACK = 4.0
+WIDEN = 4.0
+# Costs are sums in different orders.
+NEAR = 1 + 1e-12
 
 
 def routable_pairs(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -48,44 +58,119 @@ def shortest_paths(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
     Edge weight is 1 plus the mean cost of both cells. Among equal costs the smallest direction string wins.
     """
     graph = pinned(vertices.select("q", "r", "cost"))
-    wanted = pinned(routable_pairs(pairs, graph))
-    lightest = STEP_WEIGHT + (graph.agg(F.min("cost")).first()[0] or 0.0)
-    state = pinned(
-        wanted.select(*SOURCE)
-        .distinct()
-        .join(graph.select(F.col("q").alias("aq"), F.col("r").alias("ar"), "cost"), SOURCE)
-        .select(
-            *SOURCE,
-            F.col("aq").alias("q"),
-            F.col("ar").alias("r"),
-            F.struct(F.lit(0.0).alias("g"), F.lit("").alias("steps"), F.lit(0).alias("round"), "cost").alias("best"),
-        )
-    )
-    turn, checked = 0, False
-    while not state.where(F.col("best.round") == turn).isEmpty():
-        if turn >= PATIENCE and not checked:
-            wanted, checked = pinned(reachable_pairs(wanted, graph)), True
-        reach = _reach(wanted, state)
-        grown = [state]
-        front = state.where(F.col("best.round") == turn)
+    least, most, mean = graph.agg(F.min("cost"), F.max("cost"), F.avg("cost")).first()
+    a, b = (graph.select(F.col("q").alias(f"{x}q"), F.col("r").alias(f"{x}r"), F.col("cost").alias(f"{x}cost")) for x in "ab")
+    wanted = routable_pairs(pairs, graph).join(a, SOURCE).join(b, ["bq", "br"])
+    lower = _remaining(F.col("aq"), F.col("ar"), F.col("acost"), F.col("bq"), F.col("br"), F.col("bcost"), least or 0.0)
+    wanted = pinned(wanted.withColumn("lower", lower))
+    runs = pinned(_straight(wanted, graph, least or 0.0))
+    answers = [runs.where("cost <= lower").select(*PAIR, "cost", "steps")]
+    usual = STEP_WEIGHT + (mean or 0.0)
+    afar = hx.distance(F.col("aq"), F.col("ar"), F.col("bq"), F.col("br")) * usual - F.col("lower") + SLACK * usual
+    open_pairs = wanted.join(runs.select(*PAIR, "cost"), PAIR, "left").where("cost IS NULL OR cost > lower")
+    left = pinned(open_pairs.withColumn("slack", F.coalesce(F.col("cost") - F.col("lower"), afar)).select(*wanted.columns, "slack"))
+    checked = False
+    while not left.isEmpty():
+        answers.append(pinned(_search(left.withColumn("bound", F.col("lower") + F.col("slack")), graph, least, most)))
+        left = left.join(answers[-1], PAIR, "left_anti").withColumn("slack", F.col("slack") * WIDEN)
+        if not checked and not left.isEmpty():
+            left, checked = left.join(reachable_pairs(left, graph), PAIR, "left_semi"), True
+        left = pinned(left)
+    found = reduce(DataFrame.unionByName, answers)
+    return found.select(*PAIR, "cost", _walk(F.col("aq"), F.col("ar"), F.col("steps")).alias("cells"))
+
+
+def _remaining(q: Column, r: Column, cost: Column, bq: Column, br: Column, bcost: Column, least: float) -> Column:
+    """Least cost of any path between two cells: as many steps as they lie apart, over the cheapest cells."""
+    hops = hx.distance(q, r, bq, br)
+    return F.when(hops == 0, F.lit(0.0)).otherwise(hops * STEP_WEIGHT + (hops - 1) * F.lit(least) + (cost + bcost) / 2)
+
+
+def _straight(wanted: DataFrame, graph: DataFrame, least: float) -> DataFrame:
+    """Cost and steps of the path of two straight runs, the lower direction first, where all its cells are open.
+
+    All paths of so few hops are orders of the same steps, so if it costs no more than the lower bound, no other path of
+    that cost has a smaller direction string. If it costs more, it bounds the search.
+    """
+    dq, dr = F.col("bq") - F.col("aq"), F.col("br") - F.col("ar")
+    runs = F.lit(None).cast("struct<one:int,n:int,two:int,m:int>")
+    for i, (oq, orr) in enumerate(hx.DIRECTIONS):
+        k = (i + 1) % len(hx.DIRECTIONS)
+        tq, tr = hx.DIRECTIONS[k]
+        turn = oq * tr - orr * tq
+        n, m = (dq * tr - dr * tq) / turn, (dr * oq - dq * orr) / turn
+        (one, first), (two, second) = sorted([(i, n), (k, m)], key=lambda x: x[0])
+        parts = F.struct(F.lit(one).alias("one"), first.cast("int").alias("n"), F.lit(two).alias("two"), second.cast("int").alias("m"))
+        runs = F.when((n > 0) & (m >= 0), parts).otherwise(runs)
+    one, two = (F.repeat(F.col(f"runs.{way}").cast("string"), F.col(f"runs.{n}")) for way, n in (("one", "n"), ("two", "m")))
+    told = wanted.select(*PAIR, "lower", runs.alias("runs"))
+    told = told.select(*PAIR, "lower", F.when(F.col("runs").isNull(), F.lit("")).otherwise(F.concat(one, two)).alias("steps"))
+    walked = told.select(*PAIR, "lower", "steps", F.posexplode(_walk(F.col("aq"), F.col("ar"), F.col("steps"))).alias("pos", "at"))
+    inner = (F.col("pos") > 0) & (F.col("pos") < F.length("steps"))
+    met = walked.select(*PAIR, "lower", "steps", inner.alias("inner"), "at.q", "at.r").join(graph, ["q", "r"])
+    above = F.sum(F.when(F.col("inner"), F.col("cost") - least).otherwise(0.0))
+    seen = met.groupBy(*PAIR, "lower", "steps").agg(F.count("*").alias("cells"), above.alias("above"))
+    return seen.where(F.col("cells") == F.length("steps") + 1).select(*PAIR, "lower", (F.col("lower") + F.col("above")).alias("cost"), "steps")
+
+
+def _search(wanted: DataFrame, graph: DataFrame, least: float, most: float) -> DataFrame:
+    """Cheapest paths (aq, ar, bq, br, cost, steps) of the pairs that have one within their `bound`."""
+    sizes = wanted.groupBy(*SOURCE).agg(F.ceil(F.count("*") / TARGETS).alias("_groups"))
+    spread = F.pmod(F.xxhash64("bq", "br"), F.col("_groups")).cast("int")
+    wanted = pinned(wanted.join(sizes, SOURCE).withColumn("group", spread).drop("_groups"))
+    start = F.struct(F.lit(0.0).alias("g"), F.lit("").alias("steps"), F.lit(0).alias("round"), F.col("acost").alias("cost"))
+    live = wanted.select(*SOURCE, "group", F.col("aq").alias("q"), F.col("ar").alias("r"), start.alias("best")).distinct()
+    settled: list[tuple[DataFrame, float]] = []
+    lightest, heaviest, turn = STEP_WEIGHT + least, STEP_WEIGHT + most, 0
+    while True:
+        live = pinned(live)
+        front = live.where(F.col("best.round") == turn)
+        low = front.agg(F.min("best.g")).first()[0]
+        if low is None:
+            break
+        final = F.col("best.g") < low + lightest
+        met = live.select(*SOURCE, "group", F.col("q").alias("bq"), F.col("r").alias("br"), "best.g")
+        nearer = wanted.join(met, [*PAIR, "group"], "left").withColumn("bound", F.least("bound", "g"))
+        wanted = pinned(nearer.select(*wanted.columns))
+        front, fresh = front.join(_aims(wanted), [*SOURCE, "group"]), []
         for _ in range(HOPS):
             turn += 1
-            useful = front.join(reach, SOURCE).where(F.col("best.g") + lightest <= F.col("reach"))
-            front = _best(_hop(useful, graph, turn))
-            grown.append(front)
-        state = pinned(_best(reduce(DataFrame.unionByName, grown)))
-    arrived = state.select(*SOURCE, F.col("q").alias("bq"), F.col("r").alias("br"), "best")
-    found = wanted.join(arrived, PAIR)
-    return found.select(*PAIR, F.col("best.g").alias("cost"), _walk(F.col("aq"), F.col("ar"), F.col("best.steps")).alias("cells"))
+            front = _best(_hop(_useful(front, least), graph, turn), F.any_value("aims").alias("aims"))
+            fresh.append(front.select(*STATE, "best"))
+        settled.append((live.where(final), low + lightest))
+        grown = reduce(DataFrame.unionByName, fresh)
+        for part, top in settled:
+            if top >= low - heaviest:
+                grown = grown.join(part.select(*STATE), STATE, "left_anti")
+        live = _best(live.where(~final).unionByName(grown))
+    arrived = reduce(DataFrame.unionByName, [live, *[part for part, _ in settled]])
+    arrived = arrived.select(*SOURCE, "group", F.col("q").alias("bq"), F.col("r").alias("br"), "best")
+    found = wanted.join(arrived, [*PAIR, "group"]).where(F.col("best.g") <= F.col("bound") * NEAR)
+    return found.select(*PAIR, F.col("best.g").alias("cost"), "best.steps")
+
+
+def _aims(wanted: DataFrame) -> DataFrame:
+    """Targets of every source and group, with the cost beyond which no path to them is looked for."""
+    aim = F.struct("bq", "br", "bcost", (F.col("bound") * NEAR).alias("within"))
+    return wanted.groupBy(*SOURCE, "group").agg(F.collect_list(aim).alias("aims"))
+
+
+def _useful(front: DataFrame, least: float) -> DataFrame:
+    """States that may still reach one of their targets, which they carry along, within its bound."""
+    at, g = (F.col("q"), F.col("r"), F.col("best.cost")), F.col("best.g")
+    hopeful = F.exists("aims", lambda x: g + _remaining(*at, x.bq, x.br, x.bcost, least) <= x.within)
+    return front.where(hopeful)
 
 
 def _hop(front: DataFrame, graph: DataFrame, turn: int) -> DataFrame:
     """Neighbours of the frontier, one direction character longer."""
-    ahead = front.select(*SOURCE, "q", "r", "best", F.posexplode(hx.direction_literal()).alias("way", "d")).select(
+    ahead = front.select(*STATE, "best", "aims", F.posexplode(hx.direction_literal()).alias("way", "d")).select(
         *SOURCE,
+        "group",
         (F.col("q") + F.col("d.q")).alias("q"),
         (F.col("r") + F.col("d.r")).alias("r"),
         "best",
+        "aims",
         F.col("way").cast("string").alias("way"),
     )
     arrival = F.struct(
@@ -94,18 +179,11 @@ def _hop(front: DataFrame, graph: DataFrame, turn: int) -> DataFrame:
         F.lit(turn).alias("round"),
         F.col("cost"),
     )
-    return ahead.join(graph, ["q", "r"]).select(*SOURCE, "q", "r", arrival.alias("best"))
-
-
-def _best(states: DataFrame) -> DataFrame:
-    return states.groupBy(*SOURCE, "q", "r").agg(F.min("best").alias("best"))
+    return ahead.join(graph, ["q", "r"]).select(*STATE, arrival.alias("best"), "aims")
 
 
-def _reach(wanted: DataFrame, state: DataFrame) -> DataFrame:
-    """Per source, the cost up to which its search must go on: infinite until every target has been met."""
-    met = state.select(*SOURCE, F.col("q").alias("bq"), F.col("r").alias("br"), F.col("best.g").alias("g"))
-    known = F.coalesce(F.col("g"), F.lit(float("inf")))
-    return wanted.join(met, PAIR, "left").groupBy(*SOURCE).agg(F.max(known).alias("reach"))
+def _best(states: DataFrame, *more: Column) -> DataFrame:
+    return states.groupBy(*STATE).agg(F.min("best").alias("best"), *more)
 
 
 def _walk(q: Column, r: Column, steps: Column) -> Column:
