@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolattice.llm import (
+    compact_windows,
     decontamination,
     exact_dedup,
     filter_audit,
@@ -191,3 +192,9 @@ plain AS (
       '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g'))) AS found FROM split),
 joined AS (SELECT page_id, url, array_to_string(list_filter(found, lambda x: x <> ''), chr(10)) AS text FROM plain)
 SELECT page_id, url, text, length(text) AS n_chars FROM joined"""
+
+
+@query
+def op2_substring_dedup(spark, sf_dir):
+    found = compact_windows.substring_dedup(documents(spark, sf_dir))
+    return found.withColumn("first_ids", F.array_join(F.transform("first_ids", lambda x: x.cast("string")), ","))
