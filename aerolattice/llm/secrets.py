@@ -147,12 +147,14 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
         return []
     found: dict[tuple[int, int], float] = {}
     measured: set[tuple[int, int]] = set()
-    covered = 0
+    covered = done = 0
     for word in SENSITIVE.finditer(text):
-        stop, at = word.end() + REACH, word.end()
+        # an unbroken string is looked at once, from the first sensitive word that leads to it or lies in it
+        stop, at = word.end() + REACH, max(word.end(), done)
         # only where a string begins is limited; it runs to its true end
         while m := CANDIDATE.search(text, at, min(len(text), stop + LEAST)):
             a, at = m.start(), CANDIDATE.match(text, m.start()).end()
+            done = at
             for start, end in _without(a, at, base):
                 if (start, end) in measured or start < covered:  # inside a string that is found already
                     continue

@@ -407,3 +407,12 @@ def test_byte_hashes_name_their_bytes():
     for part, value in zip(parts, hashes.tolist(), strict=True):
         assert named.setdefault(part, value) == value
     assert len(set(named.values())) == len(named)
+
+
+def test_unbroken_strings_of_sensitive_words_are_measured_once():
+    novelty, asked = secrets.Novelty(b"dictionary"), []
+    counted = type("Counted", (), {"against_random": lambda self, *x: asked.append(len(x[0])) or novelty.against_random(*x)})()
+    for text in ("token" * 20_000, "password" + "secret" * 20_000 + "!"):
+        asked.clear()
+        secrets.novel_spans(text, secrets.base_spans(text), counted)
+        assert len(asked) <= 2
