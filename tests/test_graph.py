@@ -152,52 +152,6 @@ def test_shortest_paths(spark, costs):
         assert all(dist(x, y) == 1 for x, y in zip(cells, cells[1:]))
 
 
-def smallest_steps(vertices, a, b, best):
-    """Smallest direction string among the cheapest paths, by walking on where the rest can still be had for the rest."""
-    back, known = dijkstra(vertices, b), {(q, r): c for q, r, c in vertices}
-    at, steps, left = a, "", best
-    while at != b:
-        for way, (dq, dr) in enumerate(DIRECTIONS):
-            to = (at[0] + dq, at[1] + dr)
-            if to in known and abs(1 + 0.5 * (known[at] + known[to]) + back.get(to, float("inf")) - left) < 1e-9:
-                at, steps, left = to, steps + str(way), back[to]
-                break
-    return steps
-
-
-@pytest.mark.parametrize("share, slack", [(0.0, 4.0), (0.3, 0.5)])
-def test_search_is_exact_whatever_the_first_bound(spark, monkeypatch, share, slack):
-    monkeypatch.setattr(routing, "SLACK", slack)
-    monkeypatch.setattr(routing, "TARGETS", 2)
-    vertices = blocked_grid(5, n=4, share=share)
-    rnd = random.Random(9)
-    ends = [(vertices[0][:2], rnd.choice(vertices)[:2]) for _ in range(6)] + [(rnd.choice(vertices)[:2], rnd.choice(vertices)[:2]) for _ in range(6)]
-    table = spark.createDataFrame([a + b for a, b in ends], "aq int, ar int, bq int, br int")
-    grid = spark.createDataFrame(vertices, "q int, r int, cost double")
-    got = {((x.aq, x.ar), (x.bq, x.br)): x for x in routing.shortest_paths(table, grid).collect()}
-    for a, b in set(ends):
-        best = dijkstra(vertices, a).get(b)
-        if best is None:
-            assert (a, b) not in got
-            continue
-        assert got[a, b].cost == pytest.approx(best)
-        ways = [DIRECTIONS.index((y.q - x.q, y.r - x.r)) for x, y in zip(got[a, b].cells, got[a, b].cells[1:])]
-        assert "".join(map(str, ways)) == smallest_steps(vertices, a, b, best)
-
-
-def test_states_stay_near_the_path(spark, monkeypatch):
-    """A wall across an open grid: the search grows a small part of the grid's cells."""
-    cells = [(q, r, 1.0) for q in range(-40, 41) for r in range(-40, 41) if not (q == 0 and -3 <= r <= 2)]
-    grown, hop = [], routing._hop
-    monkeypatch.setattr(routing, "_hop", lambda front, *rest: grown.append(front) or hop(front, *rest))
-    grid = spark.createDataFrame(cells, "q int, r int, cost double")
-    table = spark.createDataFrame([(-8, 0, 8, 0), (-40, -40, 40, -40)], "aq int, ar int, bq int, br int")
-    found = {x.aq: x for x in routing.shortest_paths(table, grid).collect()}
-    best = dijkstra(cells, (-8, 0))[(8, 0)]
-    assert found[-8].cost == pytest.approx(best) and found[-40].cost == pytest.approx(160.0)
-    assert sum(f.count() for f in grown) < 700 < len(cells)
-
-
 def test_betweenness(spark):
     rnd = random.Random(2)
     cells = [c[:2] for c in blocked_grid(3, n=3, share=0.3)]
