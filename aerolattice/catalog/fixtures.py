@@ -153,8 +153,8 @@ NEEDS = {
 }
 
 
-def with_views(names: str, body: str, recursive: str = "") -> str:
-    """Prefix `body` with the named views and what they need."""
+def with_views(names: str, body: str, recursive: str = "", views: dict[str, str] = VIEWS) -> str:
+    """Prefix `body` with the named views and what they need; `views` may hold other definitions of them."""
     order: list[str] = []
 
     def add(name: str) -> None:
@@ -165,7 +165,7 @@ def with_views(names: str, body: str, recursive: str = "") -> str:
 
     for name in names.split():
         add(name)
-    parts = [f"{n} AS ({VIEWS[n]})" for n in order]
+    parts = [f"{n} AS ({views[n]})" for n in order]
     if recursive:
         parts.append(recursive)
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n" + body
@@ -200,12 +200,13 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points(spark, sf_dir).select(
-        "layer",
-        "feature_id",
-        (F.lit(-43.2) + F.col("x") / F.lit(102000.0)).alias("lon"),
-        (F.lit(-22.9) + F.col("y") / F.lit(111000.0)).alias("lat"),
-    )
+    return on_map(points(spark, sf_dir))
+
+
+def on_map(rows: DataFrame) -> DataFrame:
+    """Rows with `lon`, `lat` instead of `x`, `y`."""
+    lon, lat = F.lit(-43.2) + F.col("x") / F.lit(102000.0), F.lit(-22.9) + F.col("y") / F.lit(111000.0)
+    return rows.select(*[n for n in rows.columns if n not in ("x", "y")], lon.alias("lon"), lat.alias("lat"))
 
 
 def domain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,6 +261,26 @@ class Site:
         return placed.select("seq", "ts", "session_id", "kind", "q", "r")
 
 
+class GeoSite(Site):
+    """The fixture over a frame that comes from longitude and latitude, with intents where a user clicks on a map."""
+
+    @cached_property
+    def _framed(self) -> tuple[DataFrame, SimpleNamespace]:
+        return frame.geographic_domain(geo(self.spark, self.sf_dir), PADDING, MARGIN)
+
+    @cached_property
+    def domain(self) -> SimpleNamespace:
+        return self._framed[1]
+
+    def local(self) -> DataFrame:
+        return frame.to_local(self._framed[0], self.domain).select("layer", "feature_id", "x", "y")
+
+    def intents(self) -> DataFrame:
+        clicks = on_map(intents(self.spark, self.sf_dir))
+        placed = grid.cells_of_points(frame.positions(clicks, self.domain), self.domain, self.size)
+        return placed.select("seq", "ts", "session_id", "kind", "q", "r")
+
+
 def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     user = F.col("user_id")
     kind = (

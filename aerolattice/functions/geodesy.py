@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -109,6 +111,26 @@ def aeqd_inverse(x: Column, y: Column, lon0: float, lat0: float) -> Column:
     return unproject(x, y)
 
 
+def aeqd_inverse_lines(line: Column, lon0: float, lat0: float) -> Column:
+    """Lines of positions (array of x, y) as lines of longitude and latitude (array of lon, lat).
+
+    All points of a batch of lines are solved together and cut into lines again; a null line stays null, a null point is a
+    point without coordinates.
+    """
+
+    @F.arrow_udf("array<struct<lon double, lat double>>")
+    def unproject(lines: pa.Array) -> pa.Array:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lines), 0).to_numpy(zero_copy_only=False), dtype=np.int32)
+        points = lines.flatten()
+        xs, ys = (pc.cast(pc.struct_field(points, [i]), pa.float64()).to_numpy(zero_copy_only=False) for i in (0, 1))
+        lats, lons = direct(lat0, lon0, np.hypot(xs, ys), np.arctan2(xs, ys))
+        gone = np.isnan(xs) | np.isnan(ys)
+        solved = pa.StructArray.from_arrays([pa.array(lons, mask=gone), pa.array(lats, mask=gone)], ["lon", "lat"])
+        return pa.ListArray.from_arrays(pa.array(np.r_[np.int32(0), ends]), solved, mask=lines.is_null())
+
+    return unproject(line)
+
+
 def aeqd_definition(lon0: Column, lat0: Column, digits: int = 9) -> Column:
     return F.format_string(f"+proj=aeqd +lat_0=%.{digits}f +lon_0=%.{digits}f +datum=WGS84 +units=m", lat0, lon0)
 
@@ -150,3 +172,54 @@ def utm_forward(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]
     scale = F.lit(UTM_SCALE * radius)
     y = scale * north + F.when(lat < 0, F.lit(UTM_SOUTH)).otherwise(F.lit(0.0))
     return scale * east + F.lit(UTM_EAST), y
+
+
+def utm_inverse(x: Column, y: Column, zone: Column, south: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of an easting and northing; the series that undo `utm_forward`."""
+    n = FLATTENING / (2 - FLATTENING)
+    radius = A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480]
+    delta = [
+        2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45,
+        7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45,
+        56 * n**3 / 15 - 136 * n**4 / 35,
+        4279 * n**4 / 630,
+    ]
+    scale = F.lit(UTM_SCALE * radius)
+    xi = (y - F.when(south, F.lit(UTM_SOUTH)).otherwise(F.lit(0.0))) / scale
+    eta = (x - F.lit(UTM_EAST)) / scale
+    up, across = xi, eta
+    for j, b in enumerate(beta, start=1):
+        up = up - F.lit(b) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        across = across - F.lit(b) * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(up) / F.cosh(across))
+    lat = chi
+    for j, d in enumerate(delta, start=1):
+        lat = lat + F.lit(d) * F.sin(2 * j * chi)
+    lon = zone * 6 - 183 + F.degrees(F.atan2(F.sinh(across), F.cos(up)))
+    return F.pmod(lon + 540.0, F.lit(360.0)) - 180.0, F.degrees(lat)
+
+
+# How WGS84 and its UTM zones are named.
+DEGREES = r"(?i)(EPSG:(?:[0-9.]*:)?4326|CRS:?84)$"
+UTM_CODE = r"(?i)EPSG:(?:[0-9.]*:)?32([67])(0[1-9]|[1-5][0-9]|60)$"
+UTM_TEXT = r"(?i)^\+proj=utm .*\+zone=([1-9]|[1-5][0-9]|60)( |$)"
+OTHER_EARTH = r"(?i)\+(datum|ellps)=(?!WGS84( |$))|\+towgs84=|\+to_meter=|\+units=(?!m( |$))"
+
+
+def to_wgs84(x: Column, y: Column, crs: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of coordinates whose reference system `crs` names, row by row.
+
+    WGS84 degrees stay as they are, WGS84 / UTM positions (by EPSG code or definition) are converted. Any other system, and
+    none, is an error.
+    """
+    code = F.regexp_extract(crs, UTM_CODE, 2)
+    text = F.when(~crs.rlike(OTHER_EARTH), F.regexp_extract(crs, UTM_TEXT, 1)).otherwise(F.lit(""))
+    zone = F.when(code != "", code).when(text != "", text).cast("int")
+    south = F.when(code != "", F.regexp_extract(crs, UTM_CODE, 1) == "7").otherwise(crs.contains("+south"))
+    lon, lat = utm_inverse(x, y, zone, south)
+    known, placed = crs.rlike(DEGREES), zone.isNotNull()
+    wrong = F.raise_error(
+        F.concat(F.lit("neither longitude and latitude nor UTM on WGS84: "), F.coalesce(crs, F.lit("no reference system")))
+    ).cast("double")
+    return F.when(known, x).when(placed, lon).otherwise(wrong), F.when(known, y).when(placed, lat).otherwise(wrong)

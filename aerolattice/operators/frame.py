@@ -12,6 +12,8 @@ from types import SimpleNamespace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aerolattice.functions import geodesy
+
 BOUND_NAMES = ["min_x", "max_x", "min_y", "max_y"]
 
 
@@ -34,6 +36,35 @@ def union_layers(layers: Sequence[DataFrame]) -> DataFrame:
     return joined.withColumn("crs", known)
 
 
+def geographic(layer: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
+    """Coordinates `x`, `y` in longitude and latitude, whatever system the row's `crs` names: UTM is converted."""
+    lon, lat = geodesy.to_wgs84(F.col(x), F.col(y), F.col("crs"))
+    return layer.withColumns({x: lon, y: lat, "crs": F.lit("EPSG:4326")})
+
+
+def geographic_domain(points: DataFrame, padding: float, margin: float) -> tuple[DataFrame, SimpleNamespace]:
+    """Points with metric `x`, `y` around the centre of their positions, and the domain: centres, bounds and CRS.
+
+    The frame is azimuthal equidistant about the mean of the distinct positions (`lon0`, `lat0`); `x`, `y` of the domain is
+    the mean of the projected points, as in `build_domain`.
+    """
+    at = fixed(centroid(points, "lon", "lat"))
+    if at.lon is None:
+        raise ValueError("no points provided")
+    place = geodesy.aeqd_forward(F.col("lon"), F.col("lat"), at.lon, at.lat)
+    metric = points.withColumn("_place", place).withColumns({"x": F.col("_place.x"), "y": F.col("_place.y")}).drop("_place")
+    domain = fixed(build_domain(metric, padding, margin))
+    crs = f"+proj=aeqd +lat_0={at.lat!r} +lon_0={at.lon!r} +datum=WGS84 +units=m"
+    return metric, SimpleNamespace(**vars(domain), lon0=at.lon, lat0=at.lat, crs=crs)
+
+
+def positions(points: DataFrame, domain: SimpleNamespace) -> DataFrame:
+    """Add local `x`, `y` to points in longitude and latitude, such as where a user clicks on a map."""
+    place = geodesy.aeqd_forward(F.col("lon"), F.col("lat"), domain.lon0, domain.lat0)
+    metric = points.withColumn("_place", place).withColumns({"x": F.col("_place.x"), "y": F.col("_place.y")})
+    return to_local(metric.drop("_place"), domain)
+
+
 def nonempty_layers(layers: Sequence[DataFrame]) -> list[DataFrame]:
     """Drop layers without rows; `isEmpty` stops at the first row it meets."""
     kept = [layer for layer in layers if not layer.isEmpty()]

@@ -8,6 +8,7 @@ from types import SimpleNamespace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aerolattice.functions import geodesy
 from aerolattice.functions import hexmath as hx
 from aerolattice.operators.frame import from_local
 from aerolattice.operators.grid import cells_of_points
@@ -49,6 +50,19 @@ def route_layer(paths: DataFrame, domain: SimpleNamespace, size: float) -> DataF
     )
 
 
+def points_on_map(points: DataFrame, domain: SimpleNamespace) -> DataFrame:
+    """A point layer in domain coordinates with `x`, `y` as longitude and latitude (EPSG:4326)."""
+    place = geodesy.aeqd_inverse(F.col("x"), F.col("y"), domain.lon0, domain.lat0)
+    return points.withColumn("_place", place).withColumns({"x": F.col("_place.lon"), "y": F.col("_place.lat")}).drop("_place")
+
+
+def routes_on_map(routes: DataFrame, domain: SimpleNamespace) -> DataFrame:
+    """A route layer in domain coordinates with its lines in longitude and latitude (EPSG:4326)."""
+    line = geodesy.aeqd_inverse_lines(F.col("line"), domain.lon0, domain.lat0)
+    named = F.transform("line", lambda p: F.struct(p.lon.alias("x"), p.lat.alias("y")))
+    return routes.withColumn("line", line).withColumn("line", named)
+
+
 def _pair_text(x: Column, y: Column, digits: int) -> Column:
     return F.format_string(f"[%.{digits}f, %.{digits}f]", x, y)
 

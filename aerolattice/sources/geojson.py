@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from aerolattice.functions import geodesy
+
 COLLECTION = T.StructType(
     [
         T.StructField(
@@ -50,9 +52,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place))
 
 
-def read_layer(spark: SparkSession, path: str | None, layer: str, base: str | None = None, lines: bool = False) -> DataFrame:
+def read_layer(
+    spark: SparkSession, path: str | None, layer: str, base: str | None = None, lines: bool = False, crs: str | None = None
+) -> DataFrame:
     """Point layer of a GeoJSON file or folder; a blank or missing path is an empty layer, not an error.
 
+    `crs` names the reference system of a file that does not declare one itself; without either it is EPSG:4326.
+
     A FeatureCollection is one document and is parsed by one task. Large layers come as one feature per line
     (`lines=True`), as `write_features` makes them, and are split like any text.
     """
@@ -62,38 +68,34 @@ def read_layer(spark: SparkSession, path: str | None, layer: str, base: str | No
     if lines:
         features = spark.read.schema(FEATURE).json(full)
     else:
-        crs = T.StructType([T.StructField("properties", T.MapType(T.StringType(), T.StringType()))])
-        document = spark.read.schema(T.StructType([*COLLECTION.fields, T.StructField("crs", crs)])).json(full, multiLine=True)
+        member = T.StructType([T.StructField("properties", T.MapType(T.StringType(), T.StringType()))])
+        document = spark.read.schema(T.StructType([*COLLECTION.fields, T.StructField("crs", member)])).json(full, multiLine=True)
         named = F.col("crs.properties")["name"].alias("crs_name")
         features = document.select(F.explode("features").alias("f"), named).select("f.*", "crs_name")
-    return features_as_points(features, layer)
+    return features_as_points(features, layer, crs or "EPSG:4326")
 
 
-def features_as_points(features: DataFrame, layer: str) -> DataFrame:
+def features_as_points(features: DataFrame, layer: str, crs: str = "EPSG:4326") -> DataFrame:
     """Rows of POINTS from feature structs.
 
     The id is the feature's own or its `id` property, hashed if it is no integer; a feature without either goes by a hash
-    of its geometry and properties, so the same feature has the same id in every run. Coordinates have to be longitude
-    and latitude: a layer that declares another reference system (`crs_name`) is an error.
+    of its geometry and properties, so the same feature has the same id in every run. Coordinates in the WGS84 UTM zone
+    that a layer declares (`crs_name`, else `crs`) become longitude and latitude; any other system is an error.
     """
     given = F.coalesce("id", F.col("properties")["id"])
     entries = F.to_json(F.array_sort(F.map_entries("properties")))
     content = F.xxhash64(F.to_json("geometry"), entries)
-    name = F.col("crs_name") if "crs_name" in features.columns else F.lit(None).cast("string")
-    degrees = name.isNull() | name.rlike("(?i)(EPSG:+4326|CRS:?84)$")
-    wrong = F.raise_error(F.concat(F.lit("layer is not in longitude and latitude: "), name))
-
-    def coordinate(i: int):
-        return F.when(degrees, F.get("geometry.coordinates", F.lit(i))).otherwise(wrong.cast("double"))
-
+    declared = F.col("crs_name") if "crs_name" in features.columns else F.lit(None).cast("string")
+    x, y = (F.get("geometry.coordinates", F.lit(i)) for i in (0, 1))
+    lon, lat = geodesy.to_wgs84(x, y, F.coalesce(declared, F.lit(crs)))
     return features.select(
         F.lit(layer).alias("layer"),
         F.coalesce(given.try_cast("bigint"), F.when(given.isNotNull(), F.xxhash64(given)), content).alias("feature_id"),
         F.col("geometry.type").alias("geometry_type"),
-        coordinate(0).alias("lon"),
-        coordinate(1).alias("lat"),
+        lon.alias("lon"),
+        lat.alias("lat"),
         F.col("properties").alias("props"),
-        F.when(degrees, F.lit("EPSG:4326")).otherwise(wrong.cast("string")).alias("crs"),
+        F.lit("EPSG:4326").alias("crs"),
     )
 
 
