@@ -344,6 +344,49 @@ def validity_after_publish(spark, d):
     return lineage.validity_after(pipeline(spark), runs(spark, d, modules, "restrict", "grid"))
 
 
+RING_ROWS = [
+    ("ping", "b", "CONSUMED"),
+    ("ping", "a", "PRODUCED"),
+    ("pong", "a", "CONSUMED"),
+    ("pong", "b", "PRODUCED"),
+    ("tail", "b", "CONSUMED"),
+    ("tail", "t", "PRODUCED"),
+]
+RING_MODULES = {"view": "ping", "click": "pong", "signup": "tail"}
+RING_ARTIFACTS = {"view": "a", "click": "b", "signup": "t", "purchase": "a"}
+
+
+def lookup(names):
+    return F.create_map(*[F.lit(v) for pair in names.items() for v in pair])[c.event_type]
+
+
+@query(
+    "validity_on_cycle",
+    f"""WITH RECURSIVE pub AS (SELECT user_id AS run_id, {case_sql(RING_MODULES, 'operator')} AS module, {case_sql(RING_ARTIFACTS, 'b')} AS artifact,
+               row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+        walk(run_id, n, a, b, t) AS (
+          SELECT DISTINCT run_id, CAST(0 AS BIGINT), false, false, false FROM pub
+          UNION ALL
+          SELECT w.run_id, p.n,
+                 CASE WHEN module = 'ping' THEN true WHEN module = 'operator' THEN a AND artifact = 'a' AND NOT b ELSE a END,
+                 CASE WHEN module = 'pong' THEN true WHEN module = 'operator' THEN b AND artifact = 'b' AND NOT a ELSE b END,
+                 CASE WHEN module = 'tail' THEN true WHEN module = 'operator' THEN t AND artifact = 'a' AND NOT b ELSE t END
+          FROM walk w JOIN pub p ON p.run_id = w.run_id AND p.n = w.n + 1),
+        ends AS (SELECT run_id, arg_max(a, n) AS a, arg_max(b, n) AS b, arg_max(t, n) AS t FROM walk GROUP BY run_id)
+        SELECT run_id, 'a' AS artifact, a AS valid FROM ends UNION ALL SELECT run_id, 'b', b FROM ends UNION ALL SELECT run_id, 't', t FROM ends""",
+)
+def validity_on_cycle(spark, d):
+    """Two modules that feed each other and one behind them, with direct writes to what the two make."""
+    rules = spark.createDataFrame(RING_ROWS, "module string, artifact string, role string")
+    log = table(spark, d, "events").select(
+        c.user_id.alias("run_id"),
+        c.event_id.alias("seq"),
+        F.coalesce(lookup(RING_MODULES), F.lit("operator")).alias("module"),
+        F.coalesce(lookup(RING_ARTIFACTS), F.lit("b")).alias("artifact"),
+    )
+    return lineage.validity_after(rules, log)
+
+
 NODES_SQL = f"""SELECT 'F' || (CAST(substr(module, 2) AS BIGINT) % 50) AS flow, module,
        CASE substr(module, 1, 1) WHEN 'S' THEN 'INPUT' WHEN 'R' THEN 'OUTPUT' WHEN 'N' THEN 'INPUT' ELSE 'TRANSFORM' END AS kind,
        substr(module, 1, 1) = 'R' OR CAST(substr(module, 2) AS BIGINT) % 100 = 7 AS returns, artifact, role FROM trade"""

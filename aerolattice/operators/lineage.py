@@ -7,6 +7,7 @@ artifact) is the log of writes. Every ordered operator works per (run, artifact)
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 from pyspark.sql import DataFrame
@@ -111,53 +112,90 @@ def validity_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def _artifact_levels(links: DataFrame) -> DataFrame:
-    """Longest distance of every artifact from a source of the artifact graph; a cycle is an error."""
-    names = pinned(links.select(F.explode(F.array("up", "down")).alias("artifact")).distinct())
-    bound, turn = names.count(), 0
-    levels = names.withColumn("level", F.lit(0))
+    """Longest distance of every artifact from a source of the artifact graph; null on a cycle and behind one.
+
+    Artifacts whose upstream all has a level get the next one, so there are as many rounds as levels.
+    """
+    left = pinned(links.select(F.explode(F.array("up", "down")).alias("artifact")).distinct())
+    levels = left.limit(0).withColumn("level", F.lit(None).cast("int"))
+    for level in itertools.count():
+        waiting = links.join(left.withColumnRenamed("artifact", "up"), "up", "left_semi").select(F.col("down").alias("artifact"))
+        free = pinned(left.join(waiting, "artifact", "left_anti"))
+        if free.isEmpty():
+            return levels.unionByName(left.withColumn("level", F.lit(None).cast("int")))
+        levels = levels.unionByName(free.withColumn("level", F.lit(level)))
+        left = pinned(left.join(free, "artifact", "left_anti"))
+
+
+def _cyclic_touches(made: DataFrame, arrived: DataFrame, links: DataFrame, artifacts: int) -> DataFrame:
+    """All touches (run_id, seq, artifact) within a cyclic part of `artifacts` artifacts, from those that arrive from outside.
+
+    Between two productions of an artifact only its first touch meets it valid and goes on. Which one that is follows from
+    the touches of the round before, so a touch may come and go until the rounds no longer change anything; earlier moments
+    settle first. Every touch knows how many hops it has come: a ring of touches that only hold each other up ages past
+    the number of artifacts and falls out.
+    """
+    place = ["run_id", "artifact"]
+    start = arrived.select(*place, "seq", F.lit(0).alias("hops"))
+    supply = pinned(made.select(*place, "seq", F.lit(None).cast("int").alias("hops"), F.lit(1).alias("made"), F.lit(0).alias("turn")))
+    touches = pinned(start)
     while True:
-        pushed = links.join(levels.withColumnRenamed("artifact", "up"), "up").select(
-            F.col("down").alias("artifact"), (F.col("level") + 1).alias("level")
+        events = supply.unionByName(touches.withColumns({"made": F.lit(0), "turn": F.lit(1)}))
+        lives = running(events, place, "seq", {"life": ("sum", F.col("made"))}, ties=["turn"])
+        first = lives.where("turn = 1 and life > 0").groupBy(*place, "life").agg(
+            F.min("seq").alias("seq"), F.min_by("hops", "seq").alias("hops")
         )
-        raised = pinned(levels.unionByName(pushed).groupBy("artifact").agg(F.max("level").alias("level")))
-        if raised.exceptAll(levels).isEmpty():
-            return raised
-        levels, turn = raised, turn + 1
-        if turn > bound:
-            raise ValueError("contracts form a cycle")
+        onward = first.where(F.col("hops") < artifacts).withColumnRenamed("artifact", "up").join(links, "up")
+        reached = start.unionByName(onward.select("run_id", F.col("down").alias("artifact"), "seq", (F.col("hops") + 1).alias("hops")))
+        now = pinned(reached.groupBy(*place, "seq").agg(F.min("hops").alias("hops")))
+        settled = now.exceptAll(touches).isEmpty() and touches.exceptAll(now).isEmpty()
+        release(touches)
+        touches = now
+        if settled:
+            release(supply)
+            return touches.select("run_id", "seq", "artifact")
 
 
 def validity_after(contracts: DataFrame, publishes: DataFrame) -> DataFrame:
     """Validity of every produced artifact after each run's log: (run_id, artifact, valid); one not touched is not valid.
 
     Producing makes an artifact valid. Writing an artifact that the module neither produces nor consumes touches
-    what depends on it, and a touch that meets a valid artifact makes it invalid and touches further. Artifacts are
-    settled level by level of their dependency graph: all touches of a level are known before it is looked at, and
-    whether a touch meets a valid artifact is seen from the event before it.
+    what depends on it, and a touch that meets a valid artifact makes it invalid and touches further; of one moment,
+    production comes first. Artifacts are settled level by level of their dependency graph: all touches of a level are known
+    before it is looked at, and whether a touch meets a valid artifact is seen from the event before it. What lies on a cycle
+    of contracts, or behind one, has no level and is settled last, all of it together.
     """
     makes, uses = produced(contracts), consumed(contracts)
     links = pinned(
         uses.withColumnRenamed("artifact", "up").join(makes.withColumnRenamed("artifact", "down"), "module").select("up", "down").distinct()
     )
-    levels = _artifact_levels(links)
+    levels = pinned(_artifact_levels(links))
     log = publishes.select("run_id", "seq", "module", "artifact")
     made = log.join(makes, ["module", "artifact"], "left_semi")
     mutated = log.join(makes.unionByName(uses), ["module", "artifact"], "left_anti")
     touch = mutated.select("run_id", "seq", F.col("artifact").alias("up")).join(links, "up").select("run_id", "seq", F.col("down").alias("artifact"))
     settled = pinned(made.select("run_id", "artifact", "seq", F.lit(True).alias("valid")))
     pending = pinned(touch.distinct())
-    for level in range((levels.agg(F.max("level")).first()[0] or 0) + 1):
+    top = levels.agg(F.max("level")).first()[0]
+    for level in range(0 if top is None else top + 1):
         here = levels.where(F.col("level") == level).select("artifact")
         arrived = pending.join(here, "artifact", "left_semi")
         if arrived.isEmpty():
             continue
-        events = settled.join(here, "artifact", "left_semi").unionByName(arrived.withColumn("valid", F.lit(False)))
-        seen = running(events, ["run_id", "artifact"], "seq", {"was": ("last", F.col("valid"))}, inclusive=False)
+        fallen = arrived.select("run_id", "artifact", "seq", F.lit(False).alias("valid"))
+        events = settled.join(here, "artifact", "left_semi").unionByName(fallen).withColumn("turn", (~F.col("valid")).cast("int"))
+        seen = running(events, ["run_id", "artifact"], "seq", {"was": ("last", F.col("valid"))}, inclusive=False, ties=["turn"])
         fell = seen.where("not valid and was").select("run_id", "seq", F.col("artifact").alias("up"))
         onward = fell.join(links, "up").select("run_id", "seq", F.col("down").alias("artifact"))
-        settled = pinned(settled.unionByName(arrived.withColumn("valid", F.lit(False)).select("run_id", "artifact", "seq", "valid")))
-        pending = pinned(pending.join(here, "artifact", "left_anti").unionByName(onward, allowMissingColumns=False).distinct())
-    last = settled.groupBy("run_id", "artifact").agg(F.max_by("valid", "seq").alias("last"))
+        settled = pinned(settled.unionByName(fallen))
+        pending = pinned(pending.join(here, "artifact", "left_anti").unionByName(onward).distinct())
+    core = levels.where("level is null").select("artifact")
+    arrived = pinned(pending.join(core, "artifact", "left_semi"))
+    if not arrived.isEmpty():
+        inside = links.join(core.withColumnRenamed("artifact", "up"), "up", "left_semi")
+        touched = _cyclic_touches(settled.join(core, "artifact", "left_semi"), arrived, inside, core.count())
+        settled = settled.unionByName(touched.select("run_id", "artifact", "seq", F.lit(False).alias("valid")))
+    last = settled.groupBy("run_id", "artifact").agg(F.max_by("valid", F.struct("seq", ~F.col("valid"))).alias("last"))
     every = log.select(F.col("run_id").alias("_run")).distinct().join(makes.select(F.col("artifact").alias("_made")).distinct())
     found = every.join(last, F.col("run_id").eqNullSafe(F.col("_run")) & (F.col("artifact") == F.col("_made")), "left")
     return found.select(F.col("_run").alias("run_id"), F.col("_made").alias("artifact"), F.coalesce("last", F.lit(False)).alias("valid"))

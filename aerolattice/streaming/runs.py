@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from aerolattice.operators.lineage import upserted
+from aerolattice.operators.lineage import consumed, upserted
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -57,7 +57,7 @@ class Barrier(StatefulProcessor):
 
 def fire_all_stream(contracts: DataFrame, publishes: DataFrame) -> DataFrame:
     """Moments a module has heard of every dependency again. Events of a key must arrive in `seq` order across batches."""
-    uses = contracts.where("role = 'CONSUMED'").select("module", "artifact")
+    uses = consumed(contracts)
     needed = uses.groupBy("module").agg(F.count("*").cast("int").alias("needed"))
     heard = publishes.select("run_id", "seq", "artifact").join(uses.join(needed, "module"), "artifact")
     return heard.groupBy("run_id", "module").transformWithStateInPandas(

@@ -83,9 +83,9 @@ def test_duplicate_producers(spark):
     assert [(r.artifact, r.first_producer, r.last_producer) for r in row] == [("number", "other", "source")]
 
 
-def replay_validity(rows):
-    made = {m: {a for mm, a, r in CONTRACTS if mm == m and r == "PRODUCED"} for m, _, _ in CONTRACTS}
-    used = {m: {a for mm, a, r in CONTRACTS if mm == m and r == "CONSUMED"} for m, _, _ in CONTRACTS}
+def replay_validity(rows, rules=CONTRACTS):
+    made = {m: {a for mm, a, r in rules if mm == m and r == "PRODUCED"} for m, _, _ in rules}
+    used = {m: {a for mm, a, r in rules if mm == m and r == "CONSUMED"} for m, _, _ in rules}
     valid = {}
     for run, _, module, artifact in rows:
         state = valid.setdefault(run, {a: False for group in made.values() for a in group})
@@ -147,6 +147,39 @@ def test_running_values_keep_rows_with_null_keys_and_orders(spark):
     }
 
 
+# Two modules that feed each other, a third ring of three, something in front of the rings and something behind them.
+RINGS = [
+    ("seed", "s", "PRODUCED"),
+    ("front", "s", "CONSUMED"), ("front", "f", "PRODUCED"),
+    ("ping", "f", "CONSUMED"), ("ping", "b", "CONSUMED"), ("ping", "a", "PRODUCED"),
+    ("pong", "a", "CONSUMED"), ("pong", "b", "PRODUCED"),
+    ("one", "b", "CONSUMED"), ("one", "z", "CONSUMED"), ("one", "x", "PRODUCED"),
+    ("two", "x", "CONSUMED"), ("two", "y", "PRODUCED"),
+    ("three", "y", "CONSUMED"), ("three", "z", "PRODUCED"),
+    ("self", "z", "CONSUMED"), ("self", "own", "CONSUMED"), ("self", "own", "PRODUCED"),
+    ("last", "z", "CONSUMED"), ("last", "end", "PRODUCED"),
+]
+
+
+@pytest.mark.parametrize("seed, mutations", [(1, 1), (2, 1), (3, 3)])
+def test_validity_on_cycles_of_contracts(spark, seed, mutations):
+    rnd = random.Random(seed)
+    own = [(m, a) for m, a, role in RINGS if role == "PRODUCED"]
+    foreign = [("operator", a) for a in "sfabxyz"] + [("last", "s"), ("operator", "own")]
+    rows = [(rnd.choice([1, 1, 2, None]), i, *rnd.choice(own * 3 + foreign * mutations)) for i in range(300)]
+    table = spark.createDataFrame(RINGS, "module string, artifact string, role string")
+    got = lineage.validity_after(table, publishes(spark, rows)).collect()
+    want = replay_validity(rows, RINGS)
+    assert {(r.run_id, r.artifact): r.valid for r in got} == {(run, a): v for run, state in want.items() for a, v in state.items()}
+
+
+def test_production_comes_before_touches_of_its_moment(spark):
+    rows = [(1, 0, "pong", "b"), (1, 1, "ping", "a"), (1, 1, "ping", "z"), (1, 2, "front", "f"), (1, 2, "front", "a"), (2, 0, "three", "z")]
+    table = spark.createDataFrame(RINGS, "module string, artifact string, role string")
+    valid = {(r.run_id, r.artifact) for r in lineage.validity_after(table, publishes(spark, rows)).collect() if r.valid}
+    assert valid == {(1, "f"), (2, "z")}  # the write to `a` touches `b`, which was valid and touches `a`
+
+
 def test_closure_on_a_cycle_and_through_invalid_artifacts(spark):
     ring = [(f"m{i}", f"a{i}", "CONSUMED") for i in range(4)] + [(f"m{i}", f"a{(i + 1) % 4}", "PRODUCED") for i in range(4)]
     table = spark.createDataFrame(ring, "module string, artifact string, role string")

@@ -66,6 +66,17 @@ def test_barrier_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_barrier_stream_with_a_repeated_contract_row(spark, tmp_path):
+    use_state_store(spark)
+    rules = [("m", "a", "CONSUMED"), ("m", "b", "CONSUMED"), ("m", "a", "CONSUMED")]
+    contracts = spark.createDataFrame(rules, "module string, artifact string, role string")
+    rows = [(1, i, "x", "ab"[i % 3 == 2]) for i in range(30)]
+    schema = "run_id bigint, seq bigint, module string, artifact string"
+    out = run(fire_all_stream(contracts, feed(spark, rows, schema, str(tmp_path / "in"))), "repeated_out", tmp_path)
+    want = lineage.fire_all(contracts, spark.createDataFrame(rows, schema))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) and want.count() == 10
+
+
 def test_lifecycle_stream_equals_batch(spark, tmp_path):
     use_state_store(spark)
     rnd = random.Random(2)
