@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from aerolattice.catalog import fixtures as fx
 from aerolattice.catalog.fixtures import with_views
 from aerolattice.catalog.registry import c, query
 from aerolattice.operators import intents, sites
+from aerolattice.runtime import shared_folder
+from aerolattice.streaming import store
 
 
 @query("intent_cells", with_views("intent_at", "SELECT seq, kind, q, r FROM intent_at"))
@@ -108,10 +112,22 @@ def intent_drag(spark, d):
     return intents.drag_pairs(log.select("session_id", "seq", button.alias("button"), action.alias("action"), "q", "r"))
 
 
-@query(
-    "publish_upsert",
-    "SELECT user_id AS run_id, event_type AS artifact, max(event_id) AS seq, arg_max(value, event_id) AS payload FROM events GROUP BY ALL",
-)
+LAST_WRITES_SQL = "SELECT user_id AS run_id, event_type AS artifact, max(event_id) AS seq, arg_max(value, event_id) AS payload FROM events GROUP BY ALL"
+
+
+@query("publish_store", LAST_WRITES_SQL)
+def publish_store(spark, d):
+    """Last writes of a store on disk that took in the later half of the log, then the earlier half, then that once more."""
+    log = fx.table(spark, d, "events").select(
+        c.user_id.alias("run_id"), c.event_type.alias("artifact"), c.event_id.alias("seq"), c.value.alias("payload")
+    )
+    half, folder = log.agg(F.max("seq")).first()[0] // 2, f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    for part in (log.where(c.seq > half), log.where(c.seq <= half), log.where(c.seq <= half)):
+        store.take_in(part, folder, 4)
+    return store.stored(spark, folder, log.schema)
+
+
+@query("publish_upsert", LAST_WRITES_SQL)
 def publish_upsert(spark, d):
     """Last write per run and artifact, after the second half of the log is applied to the first half's table."""
     from aerolattice.operators.lineage import upserted

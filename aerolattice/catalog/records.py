@@ -417,9 +417,13 @@ NODES_SQL = f"""SELECT 'F' || (CAST(substr(module, 2) AS BIGINT) % 50) AS flow,
     ),
 )
 def contract_lint(spark, d):
+    return lineage.contract_lint(flow_nodes(spark, d))
+
+
+def flow_nodes(spark, d):
     number, letter = F.expr("cast(substr(module, 2) as bigint)"), F.substring("module", 1, 1)
     kind = F.when(letter.isin("S", "N"), "INPUT").when(letter == "R", "OUTPUT").otherwise("TRANSFORM")
-    nodes = trade(spark, d).select(
+    return trade(spark, d).select(
         F.concat(F.lit("F"), (number % 50).cast("string")).alias("flow"),
         "module",
         kind.alias("kind"),
@@ -427,7 +431,29 @@ def contract_lint(spark, d):
         "artifact",
         "role",
     )
-    return lineage.contract_lint(nodes)
+
+
+@query(
+    "contract_lint_inputs",
+    over_trade(
+        """SELECT DISTINCT flow, module, rule FROM (
+             SELECT flow, module, 'optional_dependency' AS rule FROM nodes WHERE role = 'CONSUMED' AND substr(artifact, 2) LIKE '%7'
+             UNION ALL SELECT flow, module, 'output_takes_outside_input' FROM nodes WHERE kind = 'OUTPUT' AND module IN ('R1', 'R3')
+             UNION ALL SELECT flow, module, 'output_returns_artifact' FROM nodes WHERE kind = 'OUTPUT' AND module IN ('R2', 'R3'))""",
+        f", nodes AS ({NODES_SQL})",
+    ),
+)
+def contract_lint_inputs(spark, d):
+    """The rules on optional dependencies, outside inputs and returned artifacts."""
+    told = flow_nodes(spark, d).withColumns(
+        {
+            "optional": c.artifact.endswith("7"),
+            "outside": c.module.isin("R1", "R3", "N3").cast("int"),
+            "wraps": c.module.isin("R2", "R3", "N3"),
+        }
+    )
+    rules = ["optional_dependency", "output_takes_outside_input", "output_returns_artifact"]
+    return lineage.contract_lint(told).where(c.rule.isin(rules))
 
 
 # messages

@@ -340,16 +340,27 @@ def contract_lint(nodes: DataFrame) -> DataFrame:
     """Broken definition rules: (flow, module, rule).
 
     nodes(flow, module, kind, returns, artifact, role) has a row per declared artifact, `artifact` being null for a
-    node without any; `kind` is INPUT, TRANSFORM or OUTPUT and `returns` tells whether a plain value is returned.
+    node without any; `kind` is INPUT, TRANSFORM or OUTPUT and `returns` tells whether a plain value is returned. Three more
+    columns may be there: `optional` (this consumption is declared optional), `outside` (how many inputs of the flow itself
+    the node takes) and `wraps` (the plain value holds an artifact). Missing or null they mean no.
     """
-    per_artifact = nodes.groupBy("flow", "module", "kind", "returns", "artifact").agg(
-        F.count_if(F.col("role") == "CONSUMED").alias("used"), F.count_if(F.col("role") == "PRODUCED").alias("made")
+    told = {"optional": F.lit(False), "outside": F.lit(0), "wraps": F.lit(False)}
+    given = {n: F.coalesce(n, no) if n in nodes.columns else no for n, no in told.items()}
+    per_artifact = nodes.withColumns(given).groupBy("flow", "module", "kind", "returns", "artifact").agg(
+        F.count_if(F.col("role") == "CONSUMED").alias("used"),
+        F.count_if(F.col("role") == "PRODUCED").alias("made"),
+        F.count_if((F.col("role") == "CONSUMED") & F.col("optional")).alias("spared"),
+        F.max("outside").alias("outside"),
+        F.max("wraps").alias("wraps"),
     )
     per_node = per_artifact.groupBy("flow", "module", "kind", "returns").agg(
         F.sum("used").alias("used"),
         F.sum("made").alias("made"),
         F.count_if((F.col("used") > 1) | (F.col("made") > 1)).alias("twice"),
         F.count_if((F.col("used") > 0) & (F.col("made") > 0)).alias("both"),
+        F.sum("spared").alias("spared"),
+        F.max("outside").alias("outside"),
+        F.max("wraps").alias("wraps"),
     )
     kind, used, made = F.col("kind"), F.col("used"), F.col("made")
     rules = {
@@ -364,6 +375,9 @@ def contract_lint(nodes: DataFrame) -> DataFrame:
         "output_returns_nothing": (kind == "OUTPUT") & ~F.col("returns"),
         "artifact_twice": F.col("twice") > 0,
         "consumes_what_it_produces": F.col("both") > 0,
+        "optional_dependency": F.col("spared") > 0,
+        "output_takes_outside_input": (kind == "OUTPUT") & (F.col("outside") > 0),
+        "output_returns_artifact": (kind == "OUTPUT") & F.col("wraps"),
     }
     broken = F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]), lambda x: x.isNotNull())
     node_rows = per_node.select("flow", "module", F.explode(broken).alias("rule"))

@@ -217,6 +217,22 @@ def test_lint_of_a_sound_and_a_broken_flow(spark):
     }
 
 
+def test_lint_of_optional_and_outside_inputs(spark):
+    rows = [
+        ("f", "in", "INPUT", False, "a", "PRODUCED", True, 2, True),
+        ("f", "mid", "TRANSFORM", False, "a", "CONSUMED", True, 1, None),
+        ("f", "mid", "TRANSFORM", False, "b", "PRODUCED", None, 1, None),
+        ("f", "out", "OUTPUT", True, "a", "CONSUMED", False, 1, True),
+        ("f", "out", "OUTPUT", True, "b", "CONSUMED", None, None, None),
+    ]
+    names = "flow string, module string, kind string, returns boolean, artifact string, role string, optional boolean, outside int, wraps boolean"
+    assert {(r.module, r.rule) for r in lineage.contract_lint(spark.createDataFrame(rows, names)).collect()} == {
+        ("mid", "optional_dependency"),
+        ("out", "output_takes_outside_input"),
+        ("out", "output_returns_artifact"),
+    }
+
+
 def replay_intents(rows, start, heliports):
     state = dict(start)
     for _, kind, q, r in sorted(rows):
