@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(app: str = "aerolattice", cores: str = "8") -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
@@ -41,11 +43,17 @@ def pinned(df: DataFrame) -> DataFrame:
 
     A lost executor then costs a re-read of files and not a replay of the rounds before them. A written table also
     carries its size, so joins can choose to broadcast it; and unlike a checkpointed frame it does not carry the
-    constraints of the plan behind it, which multiply from round to round until planning no longer ends.
+    constraints of the plan behind it, which multiply from round to round until planning no longer ends. What was
+    shuffled for it goes once it is written, not when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before or "false")
     back = spark.read.schema(df.schema).parquet(path)
     back._pinned_at = path
     return back
