@@ -23,6 +23,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Spark's setting for the bytes of an Arrow batch, its default, and the bound for operators that hold several forms of a
+#: batch at once (text, hashes, arrays): with the default a batch of ordinary texts is ten thousand rows whatever they hold.
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_DEFAULT = 64 << 20
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES, or of one row if that is longer; a session that sets its own bound keeps it."""
+    if spark.conf.get(BATCH_SETTING, None) in (None, f"{BATCH_DEFAULT}b"):
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only, found by their exact place even if other columns differ from them in case alone."""
     if all([c.lower() for c in df.columns].count(name.lower()) == 1 for name in names):

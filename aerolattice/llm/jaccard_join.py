@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolattice.llm.bytetext import BLANK, U, columns, flat, mix, shingle_hashes, slices, word_hashes
+from aerolattice.llm.bytetext import BLANK, U, bound_batches, columns, flat, mix, shingle_hashes, slices, word_hashes
 from aerolattice.llm.lookup import with_group
 from aerolattice.operators import forest
-from aerolattice.runtime import pinned, shuffle_width
+from aerolattice.runtime import pinned, release, shuffle_width
 
 #: Hash buckets in which shingles are counted over the corpus; the counts order shingles, so their size is fixed.
 SKETCH_BITS = 20
@@ -258,19 +258,9 @@ def candidate_ties(sets: DataFrame, percent: int) -> DataFrame:
     spread = groups.where(F.size("members") <= CROWDED).select("group", F.explode("members").alias("set"))
     facts = spread.join(sets.select("set", "n_shingles", "bits").hint("merge"), "set").select("group", "set", "n_shingles", "bits")
     ordered = facts.repartition(width, "group").sortWithinPartitions("group")
-    return pinned(ordered.mapInArrow(_tier(percent), "u bigint, v bigint").unionByName(star).distinct())
-
-
-def _arrays(n: int):
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, places = flat(batch.column(1))
-            found = [x.tobytes() for _, _, part, at in slices(data, places) for x in _sets(part, at, n)]
-            yield pa.record_batch(
-                [batch.column(0), batch.column(2), batch.column(3), pa.array(found, pa.binary())], names=["set", "cluster", "members", "shingles"]
-            )
-
-    return make
+    ties = pinned(ordered.mapInArrow(_tier(percent), "u bigint, v bigint").unionByName(star).distinct())
+    release(groups)
+    return ties
 
 
 def tile_links(ids: np.ndarray, sizes: np.ndarray, apart: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -310,35 +300,61 @@ def tile_links(ids: np.ndarray, sizes: np.ndarray, apart: list[np.ndarray], perc
     return links
 
 
+def _text_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+    data, places = flat(texts)
+    return [x for _, _, part, at in slices(data, places) for x in _sets(part, at, n)]
+
+
+LINKS = "u bigint, v bigint"
+
+
+def _linked(links: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"u": pa.array([a for a, _ in links], pa.int64()), "v": pa.array([b for _, b in links], pa.int64())})
+
+
+def _cluster_solver(n: int, percent: int):
+    """Rows (set, text) of a cluster that is one tile. Texts travel, since they compress and hashes of words do not."""
+
+    def solve(table: pa.Table) -> pa.Table:
+        shingles = [x for part in table.column("text").chunks for x in _text_sets(part, n)]
+        sizes = np.array([len(x) for x in shingles], np.int64)
+        return _linked(tile_links(table.column("set").to_numpy(), sizes, shingles, percent))
+
+    return solve
+
+
 def _tile_solver(percent: int):
     def solve(table: pa.Table) -> pa.Table:
         apart = [np.frombuffer(x, np.uint64) for x in table.column("apart").to_pylist()]
-        links = tile_links(table.column("set").to_numpy(), table.column("size").to_numpy(), apart, percent)
-        return pa.table({"u": pa.array([a for a, _ in links], pa.int64()), "v": pa.array([b for _, b in links], pa.int64())})
+        return _linked(tile_links(table.column("set").to_numpy(), table.column("size").to_numpy(), apart, percent))
 
     return solve
 
 
-SEEN = "cluster bigint, set bigint, size bigint, apart binary"
+SEEN = "set bigint, size bigint, apart binary"
 
 
-def _seen_from(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cluster, set, shingles, base) to SEEN; without a base a set is seen from the empty set."""
-    for batch in batches:
-        sizes, apart = [], []
-        for raw, base in zip(batch.column(2), batch.column(3), strict=True):
-            own = np.frombuffer(raw.as_py(), np.uint64)
-            sizes.append(len(own))
-            other = base.as_py()
-            apart.append(own if other is None else np.setxor1d(own, np.frombuffer(other, np.uint64), assume_unique=True))
-        out = [pa.array(sizes, pa.int64()), pa.array([x.tobytes() for x in apart], pa.binary())]
-        yield pa.record_batch([batch.column(0), batch.column(1), *out], names=["cluster", "set", "size", "apart"])
+def _seen_from(n: int):
+    def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (set, text, base), in runs of one base, to SEEN: the shingles that just one of text and base has."""
+        name, base = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            sizes, apart = [], []
+            for row, own in enumerate(_text_sets(batch.column(1), n)):
+                if (other := batch.column(2)[row].as_py()) != name:
+                    name, base = other, _text_sets(batch.column(2)[row : row + 1], n)[0]
+                sizes.append(len(own))
+                apart.append(np.setxor1d(own, base, assume_unique=True).tobytes())
+            out = [pa.array(sizes, pa.int64()), pa.array(apart, pa.binary())]
+            yield pa.record_batch([batch.column(0), *out], names=["set", "size", "apart"])
+
+    return see
 
 
 def _solved(arrays: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     """Links in the tiles of placed(set, tiles)."""
     spread = arrays.join(placed, "set").select(F.explode("tiles").alias("tile"), "set", "size", "apart")
-    return pinned(spread.groupBy("tile").applyInArrow(_tile_solver(percent), "u bigint, v bigint"))
+    return pinned(spread.groupBy("tile").applyInArrow(_tile_solver(percent), LINKS))
 
 
 def _labels(edges: DataFrame) -> DataFrame:
@@ -361,22 +377,24 @@ def _links(texts: DataFrame, sets: DataFrame, ties: DataFrame, n: int, percent:
     sizes = grouped.groupBy("cluster").agg(F.count("*").alias("members"))
     grouped = pinned(with_group(grouped, sizes, "cluster", "members"))
     # the texts of these sets move once; their list grows with the corpus, so it is not broadcast at any size
-    asked = grouped.select(F.col("set").alias("doc_id"), "cluster", "members").hint("merge")
-    called = texts.join(asked, "doc_id").select("doc_id", "text", "cluster", "members")
-    whole = pinned(called.mapInArrow(_arrays(n), "set bigint, cluster bigint, members bigint, shingles binary"))
-    nothing = F.lit(None).cast("binary").alias("base")
-    alone = whole.where(F.col("members") <= BLOCK).select("cluster", "set", "shingles", nothing)
-    alone = alone.mapInArrow(_seen_from, SEEN).withColumn("tile", F.col("cluster").cast("string"))
-    small = pinned(alone.groupBy("tile").applyInArrow(_tile_solver(percent), "u bigint, v bigint"))
+    asked = grouped.select("set", "cluster", "members").hint("merge")
+    named = texts.withColumnRenamed("doc_id", "set")
+    called = pinned(named.join(asked, "set").select("set", "text", "cluster", "members"))
+    alone = called.where(F.col("members") <= BLOCK).select("cluster", "set", "text")
+    small = pinned(alone.groupBy("cluster").applyInArrow(_cluster_solver(n, percent), LINKS))
     large = pinned(grouped.where(F.col("members") > BLOCK).select("set", "cluster", "band", "members"))
+    release(grouped)
     if large.isEmpty():
+        release(called)
         return small
     # members of a large cluster are much alike: they travel as what sets them apart from the cluster's first
-    crowd = whole.where(F.col("members") > BLOCK)
+    crowd = called.where(F.col("members") > BLOCK)
     parts = F.ceil(F.col("members") / BLOCK).cast("int")
-    bases = crowd.where("set = cluster").select("cluster", F.col("shingles").alias("base"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    based = crowd.withColumn("part", F.pmod(F.xxhash64("set"), parts).cast("int")).join(bases, ["cluster", "part"])
-    arrays = pinned(based.select("cluster", "set", "shingles", "base").mapInArrow(_seen_from, SEEN).drop("cluster"))
+    first_texts = crowd.where("set = cluster").groupBy("cluster").agg(F.min("text").alias("base"), F.max("members").alias("members"))
+    bases = first_texts.select("cluster", "base", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    based = crowd.withColumn("part", F.pmod(F.xxhash64("set"), parts).cast("int")).join(bases, ["cluster", "part"]).sortWithinPartitions("cluster", "part")
+    arrays = pinned(based.select("set", "text", "base").mapInArrow(_seen_from(n), SEEN))
+    release(called)
     units = large.groupBy("cluster", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     here = F.broadcast(units)  # a row per BLOCK members at the most dense, a few bytes each
     before = F.broadcast(units.select("cluster", (F.col("band") + 1).alias("band"), F.col("blocks").alias("before")))
@@ -410,6 +428,7 @@ def _links(texts: DataFrame, sets: DataFrame, ties: DataFrame, n: int, percent:
         with_group(classes, largest.withColumn("one", F.lit(1)), "cluster", "one").where("label <> largest").select("set")
     )
     if outside.isEmpty():
+        release(arrays)
         return small.unionByName(first)
     apart = blocked.join(outside.withColumn("out", F.lit(True)), "set", "left")
     # the outside sets of a band in blocks of their own; every block of the band and its neighbours meets each of them
@@ -432,6 +451,7 @@ def _links(texts: DataFrame, sets: DataFrame, ties: DataFrame, n: int, percent:
     as_rest = F.transform(blocks_near, lambda x: tile(x["o"], x["p"], F.col("band"), F.col("own")))
     tiles = F.when(F.col("out"), F.array_union(as_block, as_rest)).otherwise(as_block)
     second = _solved(arrays, met.withColumn("own", own_rest).select("set", tiles.alias("tiles")), percent)
+    release(arrays, outside)
     return small.unionByName(first).unionByName(second)
 
 
@@ -446,6 +466,7 @@ def jaccard_components(
     links, since ids name the components, and keep a null component_id; rows that repeat an id with different texts are
     compared by each text and the id joins their components. Other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     rows = columns(docs, id_column, text)
     rows = rows.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     counts = sketch(rows.select("text"), n)
