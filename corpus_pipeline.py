@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolattice.llm import decontamination, exact_dedup, jaccard_join, packing, toxicity
+from aerolattice.llm.bytetext import bound_batches
 from aerolattice.llm.queries import byte_bpe
-from aerolattice.runtime import pinned
+from aerolattice.runtime import pinned, release
 
 #: No stage but exact dedup and decontamination can be said in SQL, so the whole cannot.
 ORACLE_SQL = None
@@ -27,12 +28,14 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose sentences' noisy-or is below 0.3."""
+    bound_batches(spark)
     scored = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _without(docs, scored.where("predicted = 1"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for case in A-Z, the one with the largest doc_id."""
+    bound_batches(spark)
     return exact_dedup.keep_one(docs)
 
 
@@ -44,12 +47,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words lie in 13-word windows of the benchmark."""
+    bound_batches(spark)
     judged = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(docs, judged.where("contaminated"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents left, with their places in sequences of 1024 tokens."""
+    bound_batches(spark)
     return packing.best_fit_packing(docs, byte_bpe())
 
 
@@ -65,5 +70,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = pinned(stage(spark, docs, sf_dir))
+        kept = pinned(stage(spark, docs, sf_dir))
+        release(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
