@@ -199,25 +199,34 @@ def _folded(raw: bytes, bits: int) -> np.ndarray:
 
 
 def group_ties(ids: np.ndarray, sizes: np.ndarray, raw: list[bytes], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of a group whose sizes and bitmaps allow a link."""
+    """A spanning forest of the pairs of a group whose sizes and bitmaps allow a link.
+
+    A set is compared with those of about its size in as many bits as the smallest of them has, whatever else is in the
+    group: folded to the bits of a much smaller set, maps of large ones would differ in too few bits to tell them apart.
+    """
     rule = Rule(percent)
     order = np.lexsort((ids, sizes))
     ids, sizes, raw = ids[order], sizes[order], [raw[i] for i in order]
-    bits = min(len(x) for x in raw) * 8
-    maps = np.stack([_folded(x, bits) for x in raw])
+    firsts = np.searchsorted(sizes, -(-sizes * percent // 100))
+    widths = np.array([len(x) * 8 for x in raw])[firsts]  # sizes ascend, so widths do
     label = np.arange(len(ids))
     ties = []
-    for i in range(1, len(ids)):
-        first = int(np.searchsorted(sizes[:i], -(-sizes[i] * percent // 100)))
-        if first == i:
-            continue
-        both = sizes[first:i] + sizes[i]
-        near = np.flatnonzero(_overlap_bound(maps[first:i], maps[i], both) >= rule.least_overlap(both, 0)) + first
-        for other in np.unique(label[near]):
-            ties.append((int(ids[near[label[near] == other][0]]), int(ids[i])))
-        if len(near):
-            label[np.isin(label[:i], label[near]).nonzero()[0]] = label[near].min()
-            label[i] = label[near].min()
+    for bits in np.unique(widths):
+        these = np.flatnonzero(widths == bits)
+        start = int(firsts[these[0]])
+        maps = np.stack([_folded(x, int(bits)) for x in raw[start : these[-1] + 1]])
+        for i in these.tolist():
+            first = int(firsts[i])
+            if first == i:
+                continue
+            both = sizes[first:i] + sizes[i]
+            differ = maps[first - start : i - start]
+            near = np.flatnonzero(_overlap_bound(differ, maps[i - start], both) >= rule.least_overlap(both, 0)) + first
+            for other in np.unique(label[near]):
+                ties.append((int(ids[near[label[near] == other][0]]), int(ids[i])))
+            if len(near):
+                label[np.isin(label[:i], label[near]).nonzero()[0]] = label[near].min()
+                label[i] = label[near].min()
     return ties
 
 

@@ -295,6 +295,17 @@ def test_jaccard_chains_through_large_clusters(spark, empty, monkeypatch):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_a_small_set_in_a_group_does_not_tie_large_ones():
+    draw = np.random.default_rng(5)
+    base = np.unique(draw.integers(0, 1 << 63, 5000).astype(np.uint64))
+    other = np.unique(draw.integers(0, 1 << 63, 5000).astype(np.uint64))
+    near = np.unique(np.r_[base[20:], other[:20]])
+    sets = [base[:40], base, other, near]
+    maps = [jaccard_join.bitmap(x, jaccard_join.bits_for(len(x))).tobytes() for x in sets]
+    ties = jaccard_join.group_ties(np.arange(4), np.array([len(x) for x in sets]), maps, 90)
+    assert [sorted(t) for t in ties] == [[1, 3]]
+
+
 def test_jaccard_links_survive_a_copy_without_id(spark):
     base = prose(1, 300)
     rows = [(None, base), (1, base), (2, base + " tail"), (None, base)]
