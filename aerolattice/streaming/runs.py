@@ -17,6 +17,15 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 NAME = StructType([StructField("artifact", StringType())])
 FLAG = StructType([StructField("changed", BooleanType())])
+MOMENT = StructType([StructField("seq", LongType())])
+HEARD = StructType(
+    [
+        StructField("seq", LongType()),
+        StructField("artifact", StringType()),
+        StructField("needed", LongType()),
+        StructField("at_ms", LongType()),
+    ]
+)
 FIRED = StructType(
     [StructField("run_id", LongType()), StructField("module", StringType()), StructField("seq", LongType())]
 )
@@ -55,13 +64,79 @@ class Barrier(StatefulProcessor):
         pass
 
 
-def fire_all_stream(contracts: DataFrame, publishes: DataFrame) -> DataFrame:
-    """Moments a module has heard of every dependency again. Events of a key must arrive in `seq` order across batches."""
+class PatientBarrier(StatefulProcessor):
+    """The barrier over publishes in any order: they wait until the watermark has passed them and count in `seq` order.
+
+    A publish that is no later than the last firing tells nothing new, so repeated rows count once. One that comes after the
+    watermark has passed it counts if it is later than the last firing, and leaves what was given out as it is.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.changed = handle.getMapState("changed", NAME, FLAG)
+        self.last = handle.getValueState("last", MOMENT)
+        self.waiting = handle.getListState("waiting", HEARD)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fresh = [
+            (int(r.seq), r.artifact, int(r.needed), int(pd.Timestamp(r.ts).timestamp() * 1000))
+            for frame in rows
+            for r in frame.itertuples(index=False)
+        ]
+        self.waiting.appendList(fresh)
+        for at_ms in {row[3] for row in fresh}:
+            self.handle.registerTimer(at_ms)
+        yield pd.DataFrame(columns=FIRED.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        waiting = [tuple(row) for row in self.waiting.get()] if self.waiting.exists() else []
+        due = sorted({row[:3] for row in waiting if row[3] <= watermark})
+        if not due:  # an earlier timer of this batch has taken them
+            yield pd.DataFrame(columns=FIRED.names)
+            return
+        rest = [row for row in waiting if row[3] > watermark]
+        self.waiting.put(rest) if rest else self.waiting.clear()
+        changed = {name[0] for name in self.changed.keys()} if self.changed.exists() else set()
+        last = self.last.get()[0] if self.last.exists() else None
+        fired = []
+        for seq, artifact, needed in due:
+            if last is not None and seq <= last:
+                continue
+            changed.add(artifact)
+            if len(changed) == needed:
+                fired.append((key[0], key[1], seq))
+                last, changed = seq, set()
+        self.changed.clear()
+        for artifact in changed:
+            self.changed.updateValue((artifact,), (True,))
+        if fired:
+            self.last.update((last,))
+        yield pd.DataFrame(fired, columns=FIRED.names)
+
+    def close(self) -> None:
+        pass
+
+
+def fire_all_stream(contracts: DataFrame, publishes: DataFrame, delay: str | None = None) -> DataFrame:
+    """Moments a module has heard of every dependency again.
+
+    Without `delay`, events of a key must arrive in `seq` order across batches. With it, `publishes` has an event time `ts`
+    that grows with `seq` within a run, and events may arrive that much out of order; see `PatientBarrier`. Publishes
+    without `seq`, or then without `ts`, have no moment and fire nothing.
+    """
     uses = consumed(contracts)
     needed = uses.groupBy("module").agg(F.count("*").cast("int").alias("needed"))
-    heard = publishes.select("run_id", "seq", "artifact").join(uses.join(needed, "module"), "artifact")
+    wanted = uses.join(needed, "module")
+    if delay is None:
+        heard = publishes.where("seq is not null").select("run_id", "seq", "artifact").join(wanted, "artifact")
+        return heard.groupBy("run_id", "module").transformWithStateInPandas(
+            Barrier(), outputStructType=FIRED, outputMode="Append", timeMode="None"
+        )
+    timely = publishes.where("seq is not null and ts is not null").withWatermark("ts", delay)
+    heard = timely.select("run_id", "seq", "artifact", "ts").join(wanted, "artifact")
     return heard.groupBy("run_id", "module").transformWithStateInPandas(
-        Barrier(), outputStructType=FIRED, outputMode="Append", timeMode="None"
+        PatientBarrier(), outputStructType=FIRED, outputMode="Append", timeMode="EventTime"
     )
 
 

@@ -77,6 +77,24 @@ def test_barrier_stream_with_a_repeated_contract_row(spark, tmp_path):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) and want.count() == 10
 
 
+def test_barrier_stream_under_disorder(spark, tmp_path):
+    use_state_store(spark)
+    rules = [("m", "a", "CONSUMED"), ("m", "b", "CONSUMED"), ("m", "a", "CONSUMED"), ("n", "a", "CONSUMED")]
+    contracts = spark.createDataFrame(rules, "module string, artifact string, role string")
+    rnd = random.Random(4)
+    rows = [(rnd.choice([1, 1, 2]), i, START + dt.timedelta(seconds=i), rnd.choice("abb")) for i in range(60)]
+    rows += rnd.sample(rows, 10)
+    rows += [(1, None, START, "a"), (1, 7, None, "b"), (1, 61, START, "unheard")]
+    rnd.shuffle(rows)
+    rows += [(99, 100 + i, START + dt.timedelta(days=1 + i), "b") for i in range(40)]  # move the watermark past the rest
+    schema = "run_id bigint, seq bigint, ts timestamp, artifact string"
+    stream = fire_all_stream(contracts, feed(spark, rows, schema, str(tmp_path / "in"), 5), "2 minutes")
+    out = run(stream, "disorder_out", tmp_path)
+    timed = spark.createDataFrame([r for r in rows if r[2] and r[0] < 99], schema)
+    want = lineage.fire_all(contracts, timed.select("run_id", "seq", F.lit("x").alias("module"), "artifact"))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) and want.count() > 20
+
+
 def test_lifecycle_stream_equals_batch(spark, tmp_path):
     use_state_store(spark)
     rnd = random.Random(2)
