@@ -509,5 +509,5 @@ SELECT kind, feature_id, radius_km, CAST(i AS INT) AS pos, round(degrees(lon1),
 def range_circles(spark, d):
     kind = F.when(c.layer == "vertiport", "droneport").otherwise("heliport")
     at = fx.geo(spark, d).select(kind.alias("kind"), "feature_id", "lon", "lat")
-    ranges = scene.operating_ranges(at).select("kind", "feature_id", "radius_km", F.posexplode("ring").alias("pos", "p"))
+    ranges = scene.operating_range_points(at)
     return ranges.select("kind", "feature_id", "radius_km", "pos", (F.round("p.lon", 5) + 0.0).alias("lon"), (F.round("p.lat", 5) + 0.0).alias("lat"))

@@ -12,6 +12,7 @@ from aerolattice.functions import geodesy
 from aerolattice.functions import hexmath as hx
 from aerolattice.operators.frame import from_local
 from aerolattice.operators.grid import cells_of_points
+from aerolattice.runtime import shuffle_width
 
 # Fixed values of the map view.
 OPERATING_RANGE_KM = {"droneport": 10.0, "heliport": 2 * 1.852}
@@ -126,23 +127,34 @@ def infrastructure(scene_rows: DataFrame, visible: Sequence[str] = ("vertiports"
 
 def range_circle(lon: Column, lat: Column, radius_km: Column, steps: int = RANGE_STEPS) -> Column:
     """Closed ring of points at a great-circle distance, counter-clockwise from north."""
+    return F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: range_point(lon, lat, radius_km, i, steps))
+
+
+def range_point(lon: Column, lat: Column, radius_km: Column, i: Column, steps: int = RANGE_STEPS) -> Column:
+    """Point `i` of the ring."""
     angle = radius_km / EARTH_RADIUS_KM
     lat0, lon0 = F.radians(lat), F.radians(lon)
+    bearing = F.radians(-(i % steps) * F.lit(360.0) / steps)
+    lat1 = F.asin(F.sin(lat0) * F.cos(angle) + F.cos(lat0) * F.sin(angle) * F.cos(bearing))
+    lon1 = lon0 + F.atan2(F.sin(bearing) * F.sin(angle) * F.cos(lat0), F.cos(angle) - F.sin(lat0) * F.sin(lat1))
+    return F.struct(F.degrees(lon1).alias("lon"), F.degrees(lat1).alias("lat"))
 
-    def at(i: Column) -> Column:
-        bearing = F.radians(-(i % steps) * F.lit(360.0) / steps)
-        lat1 = F.asin(F.sin(lat0) * F.cos(angle) + F.cos(lat0) * F.sin(angle) * F.cos(bearing))
-        lon1 = lon0 + F.atan2(
-            F.sin(bearing) * F.sin(angle) * F.cos(lat0), F.cos(angle) - F.sin(lat0) * F.sin(lat1)
-        )
-        return F.struct(F.degrees(lon1).alias("lon"), F.degrees(lat1).alias("lat"))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(steps)), at)
+def _range_km() -> Column:
+    return F.create_map(*[F.lit(v) for pair in OPERATING_RANGE_KM.items() for v in pair])[F.col("kind")]
 
 
 def operating_ranges(points: DataFrame) -> DataFrame:
     """Range polygon of every point of `points(kind, feature_id, lon, lat)`."""
-    radius = F.create_map(*[F.lit(v) for pair in OPERATING_RANGE_KM.items() for v in pair])[F.col("kind")]
-    return points.select(
-        "kind", "feature_id", radius.alias("radius_km"), range_circle(F.col("lon"), F.col("lat"), radius).alias("ring")
-    )
+    ring = range_circle(F.col("lon"), F.col("lat"), _range_km())
+    return points.select("kind", "feature_id", _range_km().alias("radius_km"), ring.alias("ring"))
+
+
+def operating_range_points(points: DataFrame) -> DataFrame:
+    """The rings of `operating_ranges` as rows (kind, feature_id, radius_km, pos, p), in compiled code instead of a lambda.
+
+    Points are dealt out first, since each makes many rows and a file of points may be a single split.
+    """
+    dealt = points.select("kind", "feature_id", _range_km().alias("radius_km"), "lon", "lat").repartition(shuffle_width(points.sparkSession))
+    rows = dealt.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(RANGE_STEPS))))
+    return rows.select("kind", "feature_id", "radius_km", "pos", range_point(F.col("lon"), F.col("lat"), F.col("radius_km"), F.col("pos")).alias("p"))

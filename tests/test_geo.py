@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from aerolattice.catalog import load_all
 from aerolattice.functions import geodesy
 from aerolattice.operators import frame, scene
 from aerolattice.sources import geojson
@@ -134,3 +135,15 @@ def test_declared_reference_system(spark, tmp_path, name, fine):
     else:
         with pytest.raises(Exception, match="longitude and latitude"):
             layer.collect()
+
+
+def test_range_points_are_the_rings_rows_from_many_tasks(spark):
+    """Points of a single split are dealt out before each makes its ring's rows, and no lambda makes them."""
+    rows = [("droneport", 1, -43.2, -22.9), ("heliport", 2, 179.99, 60.0), ("heliport", 2, 0.0, -89.99), ("droneport", None, None, 1.0), ("other", 4, 1.0, 1.0)]
+    points = spark.createDataFrame(rows, "kind string, feature_id int, lon double, lat double").coalesce(1)
+    whole = scene.operating_ranges(points).select("kind", "feature_id", "radius_km", F.posexplode("ring").alias("pos", "p"))
+    found = scene.operating_range_points(points)
+    assert found.count() == whole.count() == len(rows) * (scene.RANGE_STEPS + 1)
+    assert found.exceptAll(whole).isEmpty() and found.columns == whole.columns
+    plan = load_all()[0]["range_circles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "Repartition" in plan
