@@ -362,7 +362,7 @@ def cell_neighbors(spark, d):
     ),
 )
 def hex_ring(spark, d):
-    return fx.Site(spark, d).placed().select(*ID, F.posexplode(hx.ring(c.q, c.r, F.lit(3))).alias("pos", "c")).select(*ID, "pos", "c.q", "c.r")
+    return grid.ring_rows(fx.Site(spark, d).placed().select(*ID, "q", "r"), 3)
 
 
 @query(

@@ -141,26 +141,22 @@ def around(q: Column, r: Column, radius: Column) -> Column:
     return F.flatten(columns)
 
 
-def ring(q: Column, r: Column, radius: Column) -> Column:
-    """Ordered ring: it starts `radius` steps along direction 4 and walks directions 0 to 5."""
-    start_q, start_r = DIRECTIONS[4]
-    dirs = direction_literal()
-
-    def at(i: Column) -> Column:
-        side = F.floor(i / radius).cast("int")
-        step = i - side * radius
-        ahead = F.element_at(dirs, side + 1)
-        walked = F.aggregate(
-            F.slice(dirs, F.lit(1), side),
-            F.struct(F.lit(0).alias("q"), F.lit(0).alias("r")),
-            lambda acc, d: F.struct((acc.q + d.q).alias("q"), (acc.r + d.r).alias("r")),
-        )
-        return F.struct(
-            (q + radius * (walked.q + F.lit(start_q)) + step * ahead.q).cast("int").alias("q"),
-            (r + radius * (walked.r + F.lit(start_r)) + step * ahead.r).cast("int").alias("r"),
-        )
+def ring_cell(q: Column, r: Column, radius: Column, i: Column) -> Column:
+    """Cell `i` of the ring of a radius above 0: it starts `radius` steps along direction 4 and walks directions 0 to 5."""
+    side = F.floor(i / radius).cast("int")
+    step = i - side * radius
+    ahead = F.element_at(direction_literal(), side + 1)
+    corners = [tuple(map(sum, zip(DIRECTIONS[4], *DIRECTIONS[:n]))) for n in range(6)]
+    corner = F.element_at(F.array(*[F.struct(F.lit(cq).alias("q"), F.lit(cr).alias("r")) for cq, cr in corners]), side + 1)
+    return F.struct(
+        (q + radius * corner.q + step * ahead.q).cast("int").alias("q"),
+        (r + radius * corner.r + step * ahead.r).cast("int").alias("r"),
+    )
 
+
+def ring(q: Column, r: Column, radius: Column) -> Column:
+    """Ordered ring of a cell, which is its own ring of radius 0."""
     own = F.array(F.struct(q.cast("int").alias("q"), r.cast("int").alias("r")))
     return F.when(radius == 0, own).otherwise(
-        F.transform(F.sequence(F.lit(0), F.greatest(radius * 6 - 1, F.lit(0))), at)
+        F.transform(F.sequence(F.lit(0), F.greatest(radius * 6 - 1, F.lit(0))), lambda i: ring_cell(q, r, radius, i))
     )

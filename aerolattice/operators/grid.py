@@ -61,6 +61,18 @@ def neighbours(cells: DataFrame) -> DataFrame:
     return ahead.join(cells.select(F.col("q").alias("nq"), F.col("r").alias("nr")), ["nq", "nr"])
 
 
+def ring_rows(cells: DataFrame, radius: int) -> DataFrame:
+    """`cells` (q, r and more) with one row per cell of their ring, `pos` and its `q`, `r`, in compiled code instead of a lambda.
+
+    Cells are dealt out first, since each makes many rows and a file of points may be a single split.
+    """
+    keep = [n for n in cells.columns if n not in ("q", "r")]
+    dealt = cells.repartition(shuffle_width(cells.sparkSession))
+    rows = dealt.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(max(6 * radius - 1, 0)))))
+    at = hx.ring_cell(F.col("q"), F.col("r"), F.lit(radius), F.col("pos")) if radius else F.struct("q", "r")
+    return rows.select(*keep, "pos", at.alias("_at")).select(*keep, "pos", "_at.q", "_at.r")
+
+
 def cell_costs(cells: DataFrame) -> DataFrame:
     """Traversal cost: infinite when restricted; a negative cost is an error."""
     bad = F.raise_error(F.lit("cell cost must not be negative"))

@@ -4,7 +4,9 @@ import math
 
 from pyspark.sql import functions as F
 
+from aerolattice.catalog import load_all
 from aerolattice.functions import hexmath as hx
+from aerolattice.operators import grid
 
 
 def cells(spark, n=12):
@@ -71,3 +73,15 @@ def test_polygon_area(spark):
     v = [(p.x, p.y) for p in row.v]
     area = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(v, v[1:] + v[:1]))) / 2
     assert math.isclose(area, 3 * math.sqrt(3) / 2 * 100)
+
+
+def test_ring_rows_are_the_rings_from_many_tasks(spark):
+    """Cells of a single split are dealt out before each makes its ring, and no lambda makes it."""
+    cells = spark.createDataFrame([("a", 3, -2), ("a", 3, -2), (None, 0, 0), ("b", None, 1)], "name string, q int, r int").coalesce(1)
+    for radius in (0, 1, 4):
+        whole = cells.select("name", F.posexplode(hx.ring(F.col("q"), F.col("r"), F.lit(radius))).alias("pos", "c")).select("name", "pos", "c.q", "c.r")
+        rows = grid.ring_rows(cells, radius)
+        assert rows.columns == whole.columns and rows.count() == whole.count() == 4 * max(6 * radius, 1)
+        assert rows.exceptAll(whole).isEmpty()
+    plan = load_all()[0]["hex_ring"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "Repartition" in plan
