@@ -17,8 +17,11 @@ from aerolattice.functions import hexmath as hx
 from aerolattice.functions.hexmath import CELL_SIZE, MARGIN, PADDING
 from aerolattice.operators import frame, grid, sites
 from aerolattice.operators.ordered import running
+from aerolattice.runtime import shuffle_width
 
 COARSE = 2000.0
+#: Ids of vertiports whose legs are found in one task.
+LEG_RANGE = 1 << 14
 
 POINTS_SQL = """
 SELECT 'heliport' AS layer, s_suppkey AS feature_id,
@@ -248,12 +251,16 @@ class Site:
         return sites.traversable(self.grid_state()).select("q", "r", "cost")
 
     def paths(self) -> DataFrame:
-        """Straight cell lines between consecutive vertiports whose cells differ."""
+        """Straight cell lines between consecutive vertiports whose cells differ.
+
+        Legs are dealt out before each makes its line, since a file of points may be a single split. The line goes through
+        `inline`, so that filters on it are not pushed below the dealing, where every line would be made once more.
+        """
         at = self.terminals().withColumn("back", -F.col("feature_id"))
-        after = running(at, [], "back", {"next": ("last", F.struct("q", "r"))}, inclusive=False)
-        legs = after.where("next is not null and (next.q <> q or next.r <> r)")
+        after = running(at, [], "back", {"next": ("last", F.struct("q", "r"))}, inclusive=False, width=LEG_RANGE)
+        legs = after.where("next is not null and (next.q <> q or next.r <> r)").repartition(shuffle_width(self.spark))
         line = hx.line_cells(F.col("q"), F.col("r"), F.col("next.q"), F.col("next.r"))
-        return legs.select(F.col("feature_id").alias("path_id"), line.alias("cells"))
+        return legs.select(F.col("feature_id").alias("path_id"), F.inline(F.array(F.struct(line.alias("cells")))))
 
     def intents(self) -> DataFrame:
         here = frame.to_local(intents(self.spark, self.sf_dir), self.domain)

@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from aerolattice.catalog import load_all
+from aerolattice.catalog import fixtures, load_all
 from aerolattice.functions import hexmath as hx
 from aerolattice.operators import grid
 
@@ -85,3 +85,19 @@ def test_ring_rows_are_the_rings_from_many_tasks(spark):
         assert rows.exceptAll(whole).isEmpty()
     plan = load_all()[0]["hex_ring"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in plan and "Repartition" in plan
+
+
+def test_lines_are_made_once_and_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Legs of a single split are dealt out, and no filter on a line makes it again below."""
+    spark.range(1, 400).select(F.col("id").cast("int").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(1, 30).select(F.col("id").cast("int").alias("s_suppkey")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    monkeypatch.setattr(fixtures, "LEG_RANGE", 64)
+    paths = fixtures.Site(spark, str(tmp_path)).paths()
+    steps = paths.where(F.size("cells") >= 2).select("path_id", F.explode("cells").alias("c"))
+    above, below = steps._jdf.queryExecution().optimizedPlan().toString().split("Repartition", 1)
+    assert "lambda" in above and "lambda" not in below
+    ends = [(r.path_id, r.cells[-1]) for r in paths.collect()]
+    assert len(ends) == len({p for p, _ in ends}) > 300
+    cells = {r.feature_id: (r.q, r.r) for r in fixtures.Site(spark, str(tmp_path)).terminals().collect()}
+    after = dict(zip(sorted(cells), sorted(cells)[1:]))
+    assert all(tuple(last) == cells[after[p]] for p, last in ends)
