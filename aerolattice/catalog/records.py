@@ -13,6 +13,7 @@ from aerolattice.catalog.fixtures import table
 from aerolattice.catalog.registry import c, query
 from aerolattice.functions import text
 from aerolattice.operators import lineage, messages
+from aerolattice.runtime import shuffle_width
 
 TRADE_SQL = """
 SELECT 'S' || min(l_suppkey) AS module, 'P' || l_partkey AS artifact, 'PRODUCED' AS role FROM lineitem GROUP BY l_partkey
@@ -564,9 +565,15 @@ STATS_SQL = r"""SELECT doc_id, CAST(len(tokens) AS INT) AS word_count, CAST(coal
 FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\s\x0B\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda w: w <> '') AS tokens FROM documents)"""
 
 
+def document_stats(spark, d):
+    """Documents are dealt out first, since a file of them may be a single split."""
+    dealt = table(spark, d, "documents").select("doc_id", "text").repartition(shuffle_width(spark))
+    return dealt.select("doc_id", text.text_stats(c.text).alias("s"))
+
+
 @query("text_stats", STATS_SQL)
 def text_stats(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.inline(F.array(text.text_stats(c.text))))
+    return document_stats(spark, d).select("doc_id", "s.*")
 
 
 @query(
@@ -575,8 +582,7 @@ def text_stats(spark, d):
                CASE WHEN contains_python THEN 'True' ELSE 'False' END AS report FROM ({STATS_SQL})""",
 )
 def text_report(spark, d):
-    stats = table(spark, d, "documents").select("doc_id", text.text_stats(c.text).alias("s"))
-    return stats.select("doc_id", text.text_report(c.s).alias("report"))
+    return document_stats(spark, d).select("doc_id", text.text_report(c.s).alias("report"))
 
 
 @query(

@@ -2,9 +2,12 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from aerolattice.catalog import load_all
+from aerolattice.functions import text
 from aerolattice.operators import intents, lineage, messages, ordered
 from aerolattice.operators.ordered import running
 
@@ -291,3 +294,29 @@ def test_broadcast_skips_sender_and_excluded(spark):
 def test_unknown_publisher_label(spark):
     row = spark.createDataFrame([(None, 7), ("Grid", 8)], "name string, id int").select(messages.publisher_label(F.col("name"), F.col("id")).alias("l")).collect()
     assert [r.l for r in row] == ["Publisher#p:7", "Grid#p:8"]
+
+
+def test_text_stats_from_many_tasks(spark, tmp_path, monkeypatch):
+    """Counts equal those by regular expressions, whatever the slices, and documents of a single split are dealt out."""
+    blanks = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+    draw = random.Random(7)
+    letters = list("ab\u00e9\u4e2d\U0001f600\u200b\u180e\ufeff\u2030\u3001\u00c2") + list(text.BLANKS)
+    rows = [(i, "".join(draw.choice(letters) for _ in range(draw.randrange(12)))) for i in range(400)]
+    rows += [(400, None), (401, ""), (402, "PyTHON\u00a0is"), (402, "PyTHON\u00a0is"), (None, "\u3000"), (403, "x" * 5000 + " y"), (404, "a\u00a0")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    documents = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = documents.select(
+        "doc_id",
+        F.regexp_count("text", F.lit("[^" + blanks[1:])).alias("word_count"),
+        F.length(F.regexp_replace("text", blanks, "")).alias("character_count"),
+        F.contains(F.lower("text"), F.lit("python")).alias("contains_python"),
+    )
+    found = load_all()[0]["text_stats"](spark, str(tmp_path))
+    assert found.schema.simpleString() == want.schema.simpleString() and found.count() == len(rows)
+    assert found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and plan.index("ArrowEvalPython") < plan.index("Repartition")
+    texts = [t for _, t in rows]
+    whole = text._counted(pa.array(texts)).to_pylist()
+    monkeypatch.setattr(text, "SLICE", 16)
+    assert text._counted(pa.array([None, *texts]).slice(1)).to_pylist() == whole and len(text._counted(pa.array([], pa.string()))) == 0
