@@ -38,10 +38,11 @@ def trade(spark, d):
     def rows(source, module, artifact, role):
         return source.select(tag(*module).alias("module"), tag(*artifact).alias("artifact"), F.lit(role).alias("role"))
 
+    takes = item.select("l_orderkey", "l_partkey").repartition("l_orderkey", "l_partkey").distinct()
     first = item.groupBy("l_partkey").agg(F.min("l_suppkey").alias("l_suppkey"))
     parts = [
         rows(first, ("S", "l_suppkey"), ("P", "l_partkey"), "PRODUCED"),
-        rows(item, ("O", "l_orderkey"), ("P", "l_partkey"), "CONSUMED").distinct(),
+        rows(takes, ("O", "l_orderkey"), ("P", "l_partkey"), "CONSUMED"),
         rows(order, ("O", "o_orderkey"), ("D", "o_orderkey"), "PRODUCED"),
         rows(order, ("C", "o_custkey"), ("D", "o_orderkey"), "CONSUMED"),
         rows(customer, ("C", "c_custkey"), ("A", "c_custkey"), "PRODUCED"),

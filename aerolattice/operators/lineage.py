@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from aerolattice.operators.ordered import running
 from aerolattice.runtime import pinned, release, shared_folder
 
-
 def consumed(contracts: DataFrame) -> DataFrame:
     """What each module consumes, each pair once however often it is stated."""
     return contracts.where("role = 'CONSUMED'").select("module", "artifact").distinct()
@@ -342,11 +341,14 @@ def contract_lint(nodes: DataFrame) -> DataFrame:
     nodes(flow, module, kind, returns, artifact, role) has a row per declared artifact, `artifact` being null for a
     node without any; `kind` is INPUT, TRANSFORM or OUTPUT and `returns` tells whether a plain value is returned. Three more
     columns may be there: `optional` (this consumption is declared optional), `outside` (how many inputs of the flow itself
-    the node takes) and `wraps` (the plain value holds an artifact). Missing or null they mean no.
+    the node takes) and `wraps` (the plain value holds an artifact). Missing or null they mean no. Nodes are grouped once, in
+    partitions of a few megabytes, and written; both kinds of rules read them from there.
     """
     told = {"optional": F.lit(False), "outside": F.lit(0), "wraps": F.lit(False)}
     given = {n: F.coalesce(n, no) if n in nodes.columns else no for n, no in told.items()}
-    per_artifact = nodes.withColumns(given).groupBy("flow", "module", "kind", "returns", "artifact").agg(
+    place = ["flow", "module", "kind", "returns", "artifact"]
+    # Hardly any two rows of a file share their place: grouping before the shuffle would only hold whole splits in memory.
+    per_artifact = nodes.withColumns(given).repartition(*place).groupBy(*place).agg(
         F.count_if(F.col("role") == "CONSUMED").alias("used"),
         F.count_if(F.col("role") == "PRODUCED").alias("made"),
         F.count_if((F.col("role") == "CONSUMED") & F.col("optional")).alias("spared"),
@@ -362,6 +364,7 @@ def contract_lint(nodes: DataFrame) -> DataFrame:
         F.max("outside").alias("outside"),
         F.max("wraps").alias("wraps"),
     )
+    per_node = pinned(per_node, fine=True)
     kind, used, made = F.col("kind"), F.col("used"), F.col("made")
     rules = {
         "input_consumes": (kind == "INPUT") & (used > 0),

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from aerolattice import runtime
 from aerolattice.catalog import load_all
 from aerolattice.functions import text
 from aerolattice.operators import intents, lineage, messages, ordered
@@ -220,6 +221,22 @@ def test_lint_of_a_sound_and_a_broken_flow(spark):
     }
 
 
+def test_lint_groups_nodes_once_in_small_partitions(spark, monkeypatch):
+    monkeypatch.setitem(runtime.FINE, "spark.sql.shuffle.partitions", "64")
+    monkeypatch.setitem(runtime.FINE, "spark.sql.adaptive.advisoryPartitionSizeInBytes", "1k")
+    monkeypatch.setitem(runtime.FINE, "spark.sql.adaptive.coalescePartitions.minPartitionSize", "1k")
+    before = {name: spark.conf.get(name, None) for name in runtime.FINE}
+    made = F.concat(F.lit("m"), F.col("id") % 5000).alias("module")
+    nodes = spark.range(20_000).select(
+        F.lit("f").alias("flow"), made, F.lit("TRANSFORM").alias("kind"), F.lit(False).alias("returns"),
+        F.concat(F.lit("a"), "id").alias("artifact"), F.lit("CONSUMED").alias("role"),
+    )
+    lint = lineage.contract_lint(nodes)
+    assert len(set(lint.inputFiles())) > 16  # written once, by many tasks
+    assert {name: spark.conf.get(name, None) for name in runtime.FINE} == before
+    assert {tuple(r) for r in lint.groupBy("rule").count().collect()} == {("transform_produces_nothing", 5000)}
+
+
 def test_lint_of_optional_and_outside_inputs(spark):
     rows = [
         ("f", "in", "INPUT", False, "a", "PRODUCED", True, 2, True),
