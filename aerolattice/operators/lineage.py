@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import itertools
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,10 @@ from pyspark.sql import functions as F
 from aerolattice.operators.ordered import running
 from aerolattice.runtime import pinned, release, shared_folder
 
+#: Share of the runs at which those that still change are written apart from those that are done.
+GOES_ON = 0.6
+
+
 def consumed(contracts: DataFrame) -> DataFrame:
     """What each module consumes, each pair once however often it is stated."""
     return contracts.where("role = 'CONSUMED'").select("module", "artifact").distinct()
@@ -132,12 +137,14 @@ def _cyclic_touches(made: DataFrame, arrived: DataFrame, links: DataFrame, artif
     Between two productions of an artifact only its first touch meets it valid and goes on. Which one that is follows from
     the touches of the round before, so a touch may come and go until the rounds no longer change anything; earlier moments
     settle first. Every touch knows how many hops it has come: a ring of touches that only hold each other up ages past
-    the number of artifacts and falls out.
+    the number of artifacts and falls out. Runs know nothing of each other, so one that a round leaves as it was is done; once
+    few go on, later rounds read those only.
     """
     place = ["run_id", "artifact"]
-    start = arrived.select(*place, "seq", F.lit(0).alias("hops"))
+    start = pinned(arrived.select(*place, "seq", F.lit(0).alias("hops")))
     supply = pinned(made.select(*place, "seq", F.lit(None).cast("int").alias("hops"), F.lit(1).alias("made"), F.lit(0).alias("turn")))
-    touches = pinned(start)
+    touches, done = start, []
+    running_on = start.select("run_id").distinct().count()
     while True:
         events = supply.unionByName(touches.withColumns({"made": F.lit(0), "turn": F.lit(1)}))
         lives = running(events, place, "seq", {"life": ("sum", F.col("made"))}, ties=["turn"])
@@ -147,12 +154,23 @@ def _cyclic_touches(made: DataFrame, arrived: DataFrame, links: DataFrame, artif
         onward = first.where(F.col("hops") < artifacts).withColumnRenamed("artifact", "up").join(links, "up")
         reached = start.unionByName(onward.select("run_id", F.col("down").alias("artifact"), "seq", (F.col("hops") + 1).alias("hops")))
         now = pinned(reached.groupBy(*place, "seq").agg(F.min("hops").alias("hops")))
-        settled = now.exceptAll(touches).isEmpty() and touches.exceptAll(now).isEmpty()
-        release(touches)
+        both = touches.withColumn("side", F.lit(1)).unionByName(now.withColumn("side", F.lit(-1)))
+        differing = both.groupBy(*place, "seq", "hops").agg(F.sum("side").alias("side")).where("side <> 0")
+        moving = pinned(differing.select(F.col("run_id").alias("_run")).distinct())
+        left = moving.count()
+        if touches is not start:
+            release(touches)
         touches = now
-        if settled:
-            release(supply)
-            return touches.select("run_id", "seq", "artifact")
+        if not left:
+            release(start, supply, moving)
+            return reduce(DataFrame.unionByName, [*done, touches]).select("run_id", "seq", "artifact")
+        if left <= running_on * GOES_ON:
+            same, past = F.col("run_id").eqNullSafe(F.col("_run")), (start, supply)
+            done.append(pinned(now.join(moving, same, "left_anti")))
+            start, supply, touches = (pinned(x.join(moving, same, "left_semi")) for x in (start, supply, now))
+            release(*past, now)
+            running_on = left
+        release(moving)
 
 
 def validity_after(contracts: DataFrame, publishes: DataFrame) -> DataFrame:

@@ -184,6 +184,27 @@ def test_production_comes_before_touches_of_its_moment(spark):
     assert valid == {(1, "f"), (2, "z")}  # the write to `a` touches `b`, which was valid and touches `a`
 
 
+def test_rounds_on_a_cycle_leave_out_runs_that_are_done(spark, monkeypatch):
+    sizes = []
+
+    def counted(events, *given, **named):
+        sizes.append(events.select("run_id").distinct().count())
+        return running(events, *given, **named)
+
+    monkeypatch.setattr(lineage, "running", counted)
+    rnd = random.Random(5)
+    own = [(m, a) for m, a, role in RINGS if role == "PRODUCED"]
+    foreign = [("operator", a) for a in "fabxyz"]
+    rows = [(99, i, *rnd.choice(own * 3 + foreign)) for i in range(200)]
+    for run in [None, *range(9)]:
+        rows += [(run, 0, "ping", "a"), (run, 1, "operator", "f")]
+    table = spark.createDataFrame(RINGS, "module string, artifact string, role string")
+    got = lineage.validity_after(table, publishes(spark, rows)).collect()
+    want = replay_validity(rows, RINGS)
+    assert {(r.run_id, r.artifact): r.valid for r in got} == {(run, a): v for run, state in want.items() for a, v in state.items()}
+    assert max(sizes) == 11 and sizes[-1] == 1
+
+
 def test_closure_on_a_cycle_and_through_invalid_artifacts(spark):
     ring = [(f"m{i}", f"a{i}", "CONSUMED") for i in range(4)] + [(f"m{i}", f"a{(i + 1) % 4}", "PRODUCED") for i in range(4)]
     table = spark.createDataFrame(ring, "module string, artifact string, role string")
