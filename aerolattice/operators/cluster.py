@@ -21,6 +21,8 @@ CIRCLE_SIDES = 64
 PAIR_WORK = 4096
 FINEST = 2.0**-40
 WIDEN = 4.0
+#: Positions that share a bucket with a position, itself included and on average, at the first scale of a tree.
+SHARED = 8
 
 
 def euclid(u: Column, v: Column, ou: Column, ov: Column) -> Column:
@@ -101,9 +103,11 @@ def _closest_links(spots: DataFrame, limit: float) -> DataFrame:
     """Shortest link (u, v, w) between each two components that come within `limit` of each other.
 
     Boxes of components are paired with those of the nine buckets around; pairs that cannot hold the shortest link are
-    dropped by their bounds, and boxes are halved until the pairs left are small. Points only meet in those.
+    dropped by their bounds, and boxes are halved until the pairs left are small. Points only meet in those. A point whose
+    core distance is above `limit` has no such link.
     """
     side = limit
+    spots = spots.where(F.col("core") <= limit)
     nodes = _nodes(spots, side)
     nine = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     around = (
@@ -142,12 +146,28 @@ def _closest_links(spots: DataFrame, limit: float) -> DataFrame:
     )
 
 
+def _first_limit(spots: DataFrame, base: float) -> float:
+    """The widest scale, `base` or below, at which positions share a bucket with few others.
+
+    All positions are components of their own at the first scale, so it makes as many pairs as positions share buckets;
+    where more positions stand on the same ground, a fixed scale would make their square.
+    """
+    limit = base
+    while limit > base * FINEST:
+        held = spots.groupBy("zone", F.floor(F.col("u") / limit), F.floor(F.col("v") / limit)).agg(F.count("*").alias("n"))
+        found = held.agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("met")).first()
+        if (found.met or 0) <= SHARED * (found["all"] or 0):
+            break
+        limit /= WIDEN
+    return limit
+
+
 def mutual_reach_tree(points: DataFrame, min_samples: int, base: float) -> DataFrame:
     """Minimum spanning tree (u, v, w) of every zone under mutual reachability distance.
 
     Components grow by distance scale: at each scale only the shortest link of two nearby components is looked for,
     and a spanning forest of these links merges them. Points closer than the scale before are already one component,
-    so a bucket holds few components however many points it has. Copies of a position are linked to its first member
+    so a bucket holds few components however many points it has; the first scale is chosen by how dense they stand. Copies of a position are linked to its first member
     at the position's core distance.
     """
     spots = pinned(position_cores(positions(points), min_samples, base).where("core is not null"))
@@ -156,7 +176,7 @@ def mutual_reach_tree(points: DataFrame, min_samples: int, base: float) -> DataF
     )
     top = reach.agg(F.max(F.greatest(F.col("hu") - F.col("lu") + F.col("hv") - F.col("lv"), "c"))).first()[0] or 0.0
     state = spots.withColumn("comp", F.col("id"))
-    limit = base
+    limit = _first_limit(spots, base)
     trees: list[DataFrame] = []
     while True:
         links = pinned(_closest_links(state, limit))

@@ -55,6 +55,21 @@ def test_tree_and_cores(spark, monkeypatch, work):
         assert got == pytest.approx(tree_weights([r for r in rows if r[0] == zone], cores))
 
 
+def test_pairs_grow_with_points_where_all_stand_close(spark, monkeypatch):
+    rnd, made, kept = random.Random(7), [], cluster._kept
+    rows = [(0, i, round(rnd.uniform(0, 100), 2), round(rnd.uniform(0, 100), 2)) for i in range(300)]
+
+    def counted(pairs, limit):
+        made.append(pairs.count())
+        return kept(pairs, limit)
+
+    monkeypatch.setattr(cluster, "_kept", counted)
+    df = spark.createDataFrame(rows, "zone int, id bigint, x double, y double")
+    tree = cluster.mutual_reach_tree(df, 2, 256.0).collect()
+    assert max(made) < 60 * len(rows)  # 44,850 when all meet all
+    assert sorted(e.w for e in tree) == pytest.approx(tree_weights(rows, cores_of(rows, 2)))
+
+
 def test_cut_and_members(spark):
     rows = [(0, i, float(i), 0.0) for i in range(5)] + [(0, 10 + i, 500.0 + i, 0.0) for i in range(4)] + [(0, 99, 5000.0, 0.0)]
     rows += [(1, 200, 0.0, 0.0), (1, 201, 90.0, 0.0)]
