@@ -29,6 +29,8 @@ CHUNKS = 32
 CONTEXTS = 8192
 SYMBOLS = 257
 COUNT_SLICE = 4 << 20
+#: Batches are scored together once they hold so many tokens.
+ABREAST = 2 << 20
 
 END = U(0xE4D0F70E4D0F7E4D)
 UNKNOWN = 1  # place of other words in the vocabulary; place 0 is the end of a text
@@ -249,6 +251,7 @@ def _studied(vocabulary: Vocabulary):
 
     def study(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CONTEXTS * SYMBOLS, np.int64)
+        codes: list[np.ndarray] = []
         for batch in batches:
             data, places = flat(batch.column(0))
             turn = np.asarray(batch.column(1))
@@ -257,10 +260,14 @@ def _studied(vocabulary: Vocabulary):
                 hashes, begin, starts, ends = _tokens(part, at)
                 ids = vocabulary.ids(hashes)
                 code, _ = spelled(LOWER[part], *_others(ids, starts, ends)[:2])
-                counts += np.bincount(code, minlength=len(counts))
+                codes.append(code)
+                if sum(map(len, codes)) >= len(counts):  # counting costs as much as the model is large
+                    counts += np.bincount(np.concatenate(codes), minlength=len(counts))
+                    codes = []
                 for i in range(first, end):
                     out.append((int(turn[i]), TEXT, ids[begin[i - first] : begin[i - first + 1]].astype("<u2").tobytes()))
             yield from _rows(out)
+        counts += np.bincount(np.concatenate([np.zeros(0, np.int64), *codes]), minlength=len(counts))
         size = -(-len(counts) // CHUNKS)
         chunks = ((c, counts[c * size : (c + 1) * size]) for c in range(CHUNKS))
         yield from _rows([(c, SPELL, zlib.compress(x.astype("<i8").tobytes(), 1)) for c, x in chunks])
@@ -294,34 +301,49 @@ SCORED = (
 
 
 def _scored(vocabulary: Vocabulary, speller: Speller, p: gru.Parameters):
+    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+        """The batch's words and its texts' sizes, and the columns but the recurrent score."""
+        data, places = flat(batch.column(1))
+        held = np.asarray(batch.column(2))
+        ids, own, sizes, others, spelling = [], [], [], [], []
+        for head, end, part, at in slices(data, places):
+            hashes, begin, starts, ends = _tokens(part, at)
+            mine = vocabulary.ids(hashes)
+            owner = np.repeat(np.arange(len(at) - 1), np.diff(begin))
+            own.append(np.stack([np.bincount(owner, x, minlength=len(at) - 1) for x in (vocabulary.logs[mine], mine > UNKNOWN)]))
+            first, last, where = _others(mine, starts, ends)
+            asked = held[head:end][owner[where]]  # only these may be unseen
+            logs = speller.score(LOWER[part], first[asked], last[asked]).astype("<f4")
+            other, cut = hashes[where][asked], np.searchsorted(owner[where][asked], np.arange(len(at)))
+            for i in range(len(at) - 1):
+                unique, place = np.unique(other[cut[i] : cut[i + 1]], return_index=True)
+                others.append(unique.tobytes())
+                spelling.append(logs[cut[i] : cut[i + 1]][place].tobytes())
+            ids.append(mine.astype(np.uint16))
+            sizes.append(np.diff(begin))
+        size = np.concatenate([np.zeros(0, np.int64), *sizes])
+        own_log, n_own = np.concatenate([np.zeros((2, 0)), *own], 1)
+        out = [batch.column(0), batch.column(2), pa.array(_keys(batch.column(0), data, places).astype(np.int64)), pa.array(size)]
+        out += [pa.array(own_log), pa.array(n_own.astype(np.int64)), pa.array(others, pa.binary()), pa.array(spelling, pa.binary())]
+        return np.concatenate([np.zeros(0, np.uint16), *ids]), size, out
+
+    def together(waiting: list[tuple[np.ndarray, np.ndarray, list[pa.Array]]]) -> Iterator[pa.RecordBatch]:
+        """The waiting batches with the recurrent scores, whose texts go through the model side by side."""
+        ids, sizes, kept = zip(*waiting, strict=True)
+        logs = gru.score(p, np.concatenate(ids), np.cumsum(np.concatenate([[0], *sizes]))) / np.log(10)
+        ends = np.cumsum([len(x) for x in sizes])
+        for cols, mine in zip(kept, np.split(logs, ends[:-1]), strict=True):
+            yield pa.record_batch([*cols[:4], pa.array(mine), *cols[4:]], names=SCORED_NAMES)
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = []
         for batch in batches:
-            data, places = flat(batch.column(1))
-            held = np.asarray(batch.column(2))
-            ids, own, sizes, others, spelling = [], [], [], [], []
-            for head, end, part, at in slices(data, places):
-                hashes, begin, starts, ends = _tokens(part, at)
-                mine = vocabulary.ids(hashes)
-                owner = np.repeat(np.arange(len(at) - 1), np.diff(begin))
-                own.append(
-                    np.stack([np.bincount(owner, x, minlength=len(at) - 1) for x in (vocabulary.logs[mine], mine > UNKNOWN)])
-                )
-                first, last, where = _others(mine, starts, ends)
-                asked = held[head:end][owner[where]]  # only these may be unseen
-                logs = speller.score(LOWER[part], first[asked], last[asked]).astype("<f4")
-                other, cut = hashes[where][asked], np.searchsorted(owner[where][asked], np.arange(len(at)))
-                for i in range(len(at) - 1):
-                    unique, place = np.unique(other[cut[i] : cut[i + 1]], return_index=True)
-                    others.append(unique.tobytes())
-                    spelling.append(logs[cut[i] : cut[i + 1]][place].tobytes())
-                ids.append(mine.astype(np.int32))
-                sizes.append(np.diff(begin))
-            size = np.concatenate([np.zeros(0, np.int64), *sizes])
-            logs = gru.score(p, np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate([[0], np.cumsum(size)]))
-            own_log, n_own = np.concatenate([np.zeros((2, 0)), *own], 1)
-            out = [pa.array(_keys(batch.column(0), data, places).astype(np.int64)), pa.array(size), pa.array(logs / np.log(10))]
-            out += [pa.array(own_log), pa.array(n_own.astype(np.int64)), pa.array(others, pa.binary()), pa.array(spelling, pa.binary())]
-            yield pa.record_batch([batch.column(0), batch.column(2), *out], names=SCORED_NAMES)
+            waiting.append(read(batch))
+            if sum(len(x[0]) for x in waiting) >= ABREAST:
+                yield from together(waiting)
+                waiting = []
+        if waiting:
+            yield from together(waiting)
 
     return score
 

@@ -178,6 +178,38 @@ def test_training_learns_a_succession():
     assert gru.score(p, np.concatenate(words), places).sum() > 0.5 * before
 
 
+def test_no_text_of_a_task_goes_on_alone(monkeypatch):
+    draw = np.random.RandomState(4)
+    texts = [draw.randint(0, gru.VOCABULARY, n) for n in (2000, *[40] * 200, 0, 1)]
+    p = gru.start(np.ones(gru.VOCABULARY))
+    for k in p:
+        p[k] = p[k] + 0.3 * draw.standard_normal(p[k].shape).astype(np.float32)
+    sizes, forward = [], gru.forward
+
+    def noted(p, words, *more):
+        sizes.append(words.size)
+        return forward(p, words, *more)
+
+    monkeypatch.setattr(gru, "forward", noted)
+    _, tokens, loss = gru.train(p, texts, rate=0.0)
+    assert tokens == 10001 and len(sizes) <= 64 and sum(sizes) < 1.1 * tokens
+    places = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    alone = [-gru.score(p, x, np.array([0, len(x)])).sum() for x in texts]
+    assert -gru.score(p, np.concatenate(texts), places) == pytest.approx(alone, rel=1e-4)
+    assert loss == pytest.approx(sum(alone), rel=1e-4)
+
+
+def test_rows_are_summed_by_word():
+    draw = np.random.RandomState(5)
+    words = np.concatenate([np.full(70, 1), np.full(gru.ABREAST, 3), np.full(gru.ABREAST + 1, 9), draw.randint(0, 40, 300), [2000]])
+    words = draw.permutation(words)
+    values, out = draw.standard_normal((len(words), 96)), np.zeros((gru.VOCABULARY, 96))
+    gru._sum_by_word(out, words, values)
+    want = np.zeros_like(out)
+    np.add.at(want, words, values)
+    assert out == pytest.approx(want)
+
+
 def test_model_tells_two_thousand_words_apart():
     words = np.arange(2048)
     p = gru.start(np.ones(gru.VOCABULARY))
