@@ -164,18 +164,30 @@ def _placed(known: np.ndarray):
     return place
 
 
+def _learned(known: np.ndarray):
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = train(known, sorted(tuple(r.values()) for batch in batches for r in batch.to_pylist()))
+        out = [[model.hashes.tobytes()], [model.weights.tobytes()], [model.bias]]
+        yield pa.record_batch([pa.array(x, t) for x, t in zip(out, (pa.binary(), pa.binary(), pa.float64()), strict=True)], names=["hashes", "weights", "bias"])
+
+    return learn
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held: int = 2, most: int = TRAIN_DOCS) -> NoisyOr:
-    """Learn from at most `most` labelled documents outside the held-out fold; only their frequent features reach the driver."""
+    """Learn from at most `most` labelled documents outside the held-out fold, in one task.
+
+    The frequent features and the weights that are not zero reach the driver, the documents' features do not.
+    """
     sample = labelled_sample(docs, labels, label, folds, held, most).select("text", F.col("label").cast("int"))
     bags = pinned(sample.mapInArrow(_bags, "words binary, sentences binary, label int"))
     counted = bags.select("words").mapInArrow(_spread, "feature bigint, docs bigint").groupBy("feature").agg(F.sum("docs").alias("docs"))
-    frequent = counted.where(F.col("docs") >= MIN_DOCS).select("feature").toPandas()["feature"].to_numpy(np.int64)
+    frequent = counted.where(F.col("docs") >= MIN_DOCS).select("feature").toArrow()["feature"].to_numpy()
     known = np.sort(frequent.astype(np.uint64))
     if not len(known):
         return train(known, [])
     placed = bags.mapInArrow(_placed(known), "features binary, sentences binary, size int, label int")
-    rows = [(bytes(r[0]), bytes(r[1]), r[2], r[3]) for r in placed.collect()]
-    return train(known, sorted(rows))
+    hashes, weights, bias = placed.repartition(1).mapInArrow(_learned(known), "hashes binary, weights binary, bias double").first()
+    return NoisyOr(np.frombuffer(hashes, np.uint64), np.frombuffer(weights), bias)
 
 
 def _scorer(model: NoisyOr):
