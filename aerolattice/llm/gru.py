@@ -306,6 +306,9 @@ def score(p: Parameters, words: np.ndarray, places: np.ndarray, most: int = 256)
     state = np.zeros((len(lanes.sizes), HIDDEN), np.float32)
     for before, target, spot, first, live in lanes.windows():
         states, state, _ = forward(p, before, state[: len(first[0])], False, first)
-        found[spot[live]] = log_probability(p, states[live], target[live])
+        if live.all():
+            found[spot.ravel()] = log_probability(p, states.reshape(-1, HIDDEN), target.ravel())
+        else:
+            found[spot[live]] = log_probability(p, states[live], target[live])
     sizes = np.diff(places)
     return np.bincount(np.repeat(np.arange(len(sizes)), sizes), found, minlength=len(sizes))

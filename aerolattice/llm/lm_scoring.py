@@ -213,31 +213,41 @@ def spelled(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     """Places in the byte model of every byte of the words and of their ends, and the word each belongs to."""
     sizes = ends - starts + 1
     owner = np.repeat(np.arange(len(starts)), sizes)
-    step = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    at = starts[owner] + step
-    last = step == sizes[owner] - 1
-    n = max(0, len(low) - 1)
-    symbol = np.where(last, 256, low[np.minimum(at, n)])
-    one = np.where(step > 0, low[np.clip(at - 1, 0, n)].astype(np.int64), 0)
-    two = np.where(step > 1, low[np.clip(at - 2, 0, n)].astype(np.int64), 0)
-    three = np.where(step > 2, low[np.clip(at - 3, 0, n)].astype(np.int64), 0)
+    last = np.cumsum(sizes) - 1
+    first = last + 1 - sizes
+    at = np.arange(len(owner)) + np.repeat(starts - first, sizes)
+    symbol = np.append(low, 0)[at].astype(np.int64)
+    symbol[last] = 0  # an end shares its place with byte 0
+    one, two, three = (np.zeros_like(symbol) for _ in range(3))
+    for later, earlier in ((one, symbol), (two, one), (three, two)):
+        later[1:] = earlier[:-1]
+        later[first] = 0
     context = (one * 65536 + two * 256 + three) * 2654435761 % 4294967291 % CONTEXTS
     return context * SYMBOLS + symbol, owner
 
 
 class Vocabulary:
+    #: Bits of the hashes by which a word's place is found; no two words of a vocabulary fall together in all of them.
+    BITS = U(20)
+    spread = U(0x9E3779B97F4A7C15)
+
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
         self.logs = np.concatenate([[0, 0], np.log10(np.maximum(counts, 1))])
-        self.order = np.argsort(hashes)
-        self.sorted = hashes[self.order]
+        self.hashes = np.concatenate([[END, END], hashes]).astype(np.uint64)
+        spread, slots = int(self.spread), np.zeros(0, np.uint64)
+        while len(np.unique(slots)) < len(hashes):
+            spread = (spread * 0xD1342543DE82EF95 + 2) % (1 << 64)
+            self.spread = U(spread)
+            slots = self._slots(hashes)
+        self.places = np.zeros(1 << int(self.BITS), np.uint16)
+        self.places[slots] = np.arange(2, len(hashes) + 2)
+
+    def _slots(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes * self.spread) >> (U(64) - self.BITS)
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.sorted):
-            return np.where(hashes == END, 0, UNKNOWN)
-        at = np.searchsorted(self.sorted, hashes)
-        at[at == len(self.sorted)] = 0
-        found = np.where(self.sorted[at] == hashes, self.order[at] + 2, UNKNOWN)
-        return np.where(hashes == END, 0, found)
+        place = self.places[self._slots(hashes)].astype(np.int64)
+        return np.where(self.hashes[place] == hashes, place, np.where(hashes == END, 0, UNKNOWN))
 
 
 def _others(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
