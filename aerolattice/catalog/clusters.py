@@ -13,7 +13,7 @@ from aerolattice.catalog.geometry import r6, s6
 from aerolattice.catalog.registry import c, num, query
 from aerolattice.functions import hexmath as hx
 from aerolattice.operators import cluster, hierarchy
-from aerolattice.runtime import pinned
+from aerolattice.runtime import measured, pinned
 
 # Start widths of the neighbour search, and the link length at which clusters are cut.
 BASE = 64.0
@@ -140,11 +140,15 @@ def fit_zone(spark, d):
     return found.select("zone", "label", "n", r6(c.cx, "cx"), r6(c.cy, "cy"))
 
 
+@measured
+def site_centres(at):
+    return pinned(cluster.centroids(cluster.zone_members(at, labels(at, SITE_BASE), 2)))
+
+
 @query("zone_clusters")
 def zone_clusters(spark, d):
     """Heliport clusters as MAV and vertiport clusters as UAV zones."""
-    at = pinned(site_points(spark, d))
-    found = cluster.centroids(cluster.zone_members(at, labels(at, SITE_BASE), 2))
+    found = site_centres(pinned(site_points(spark, d)))
     kind = F.when(c.zone == 0, "MAV").otherwise("UAV")
     return found.select(kind.alias("zone_type"), "label", "n", r6(c.cx, "cx"), r6(c.cy, "cy"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from aerolattice.operators.forest import components, minimum_forest
 from aerolattice.operators.proximity import near_candidates
-from aerolattice.runtime import pinned
+from aerolattice.runtime import measured, pinned
 
 # Radius of a lone cluster's circle and its number of sides.
 LONE_RADIUS = 50.0
@@ -162,6 +162,7 @@ def _first_limit(spots: DataFrame, base: float) -> float:
     return limit
 
 
+@measured
 def mutual_reach_tree(points: DataFrame, min_samples: int, base: float) -> DataFrame:
     """Minimum spanning tree (u, v, w) of every zone under mutual reachability distance.
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from aerolattice.operators.forest import to_roots
 from aerolattice.operators.ordered import running
-from aerolattice.runtime import pinned
+from aerolattice.runtime import measured, pinned
 
 #: Two masses that differ by less than this share are equal; the larger cluster is then kept whole.
 TIE = 1e-9
@@ -135,6 +135,7 @@ def excess_of_mass(clusters: DataFrame) -> DataFrame:
         else:
             known = unsolved.join(solved.select(F.col("head").alias("side"), "lz", "lm"), "side", "left")
             known = known.withColumn("ok", F.col("side").isNull() | F.col("lz").isNotNull()).fillna({"lz": 0, "lm": 0.0})
+        known = pinned(known)
         open_paths = known.where(~F.col("ok")).select("head").distinct()
         done = known.join(open_paths, "head", "left_anti")
         summed = running(done, ["head"], "size", {"pz": ("sum", F.col("lz")), "pm": ("sum", F.col("lm"))})
@@ -165,6 +166,7 @@ def excess_of_mass(clusters: DataFrame) -> DataFrame:
     return within.join(reduce(DataFrame.unionByName, found), "head").select("k", F.coalesce("given", "top").alias("chosen"))
 
 
+@measured
 def density_labels(points: DataFrame, tree: DataFrame, smallest: int) -> DataFrame:
     """(zone, id, label) of `points(zone, id, ...)` under the spanning forest `tree(u, v, w)` of their zones.
 

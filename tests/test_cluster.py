@@ -6,6 +6,9 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from aerolattice import runtime
 from aerolattice.operators import cluster
 
 
@@ -70,6 +73,32 @@ def test_pairs_grow_with_points_where_all_stand_close(spark, monkeypatch):
     assert sorted(e.w for e in tree) == pytest.approx(tree_weights(rows, cores_of(rows, 2)))
 
 
+def static_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_joins_of_a_tree_broadcast_by_measured_sizes(spark, monkeypatch):
+    """Rows that an explode makes of a table with a small file are not taken for as small as the file."""
+    wide = runtime.pinned(spark.range(300_000).select("id", (F.col("id") * 7919 % 300_007).alias("other")))
+
+    def exploded():
+        nine = wide.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(8))))
+        return wide.withColumnRenamed("id", "c").join(nine.select((F.col("id") + F.col("i")).alias("c"), F.col("other").alias("o")), "c")
+
+    plans, closest = [], cluster._closest_links
+
+    def watched(*args):
+        plans.append(static_plan(exploded()))
+        return closest(*args)
+
+    assert "BroadcastHashJoin" in static_plan(exploded())
+    monkeypatch.setattr(cluster, "_closest_links", watched)
+    df = spark.createDataFrame(cloud(5, 20), "zone int, id bigint, x double, y double")
+    cluster.mutual_reach_tree(df, 2, 256.0)
+    assert plans and not any("BroadcastHashJoin" in x for x in plans)
+    assert "BroadcastHashJoin" in static_plan(exploded())  # the session's own settings are back
+
+
 def test_cut_and_members(spark):
     rows = [(0, i, float(i), 0.0) for i in range(5)] + [(0, 10 + i, 500.0 + i, 0.0) for i in range(4)] + [(0, 99, 5000.0, 0.0)]
     rows += [(1, 200, 0.0, 0.0), (1, 201, 90.0, 0.0)]
